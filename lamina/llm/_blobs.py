@@ -31,10 +31,10 @@ def put_file(folder: str, name: str, content: bytes) -> None:
     os.replace(tmp, os.path.join(folder, name))
 
 
-def write_blobs(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[bytes, int]]], tag: str, suffix: str) -> str:
+def write_blobs(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[bytes, int, int]]], tag: str, suffix: str) -> str:
     """Run `make` on each partition and store the contents it yields; returns the folder.
 
-    `make` yields (content, first id in it).
+    `make` yields (content, first id in it, count of what it holds).
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
@@ -44,19 +44,19 @@ def write_blobs(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterat
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        for k, (content, first) in enumerate(make(batches)):
+        for k, (content, first, count) in enumerate(make(batches)):
             name = f"{part:06d}-{k:06d}{suffix}"
             if folder:
                 put_file(f"{folder}/files", name, content)
-            yield pa.RecordBatch.from_pydict({"name": [name], "first": pa.array([first], pa.int64()), "bytes": pa.array([len(content)], pa.int64()), "content": pa.array([None if folder else content], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"name": [name], "first": pa.array([first], pa.int64()), "count": pa.array([count], pa.int64()), "bytes": pa.array([len(content)], pa.int64()), "content": pa.array([None if folder else content], pa.binary())})
 
-    df.mapInArrow(run, "name string, first long, bytes long, content binary").write.parquet(f"{path}/manifest")
+    df.mapInArrow(run, "name string, first long, count long, bytes long, content binary").write.parquet(f"{path}/manifest")
     return path
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """name, first, bytes of each file."""
-    return spark.read.parquet(f"{path}/manifest").select("name", "first", "bytes")
+    """name, first, count, bytes of each file."""
+    return spark.read.parquet(f"{path}/manifest").select("name", "first", "count", "bytes")
 
 
 def read_blobs(spark: SparkSession, path: str, suffix: str) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import mixing, sharding, warc
+from lamina.llm import byte_bpe, mixing, sharding, token_blocks, warc
 from lamina.session import table
 
 
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.read_token_files(spark, token_blocks.write_token_files(table(spark, sf_dir, "documents")))
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
@@ -19,13 +23,17 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(first.asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "source", "copies", first.alias("first_position"), F.get("positions", F.lit(1)).alias("second_position"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_jump_sharding, op5_curriculum_mix, op10_warc_salvage)}
+    return {f.__name__: f for f in (op1_token_blocks, op4_jump_sharding, op5_curriculum_mix, op8_byte_bpe, op10_warc_salvage)}
 
 
 def oracle_sql() -> dict[str, str]:

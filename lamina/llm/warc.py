@@ -141,7 +141,7 @@ def salvage(data: bytes) -> Salvaged:
     return out
 
 
-def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int]]:
     buf, size, first = [], 0, None
     for b in batches:
         for page, url, html, digest, first_page in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
@@ -152,10 +152,10 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
             buf.append(m)
             size += len(m)
             if size >= _blobs.FILE_BYTES:
-                yield b"".join(buf), first or 0
+                yield b"".join(buf), first or 0, len(buf)
                 buf, size, first = [], 0, None
     if buf:
-        yield b"".join(buf), first or 0
+        yield b"".join(buf), first or 0, len(buf)
 
 
 def write_archives(pages: DataFrame) -> str:
