@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import byte_bpe, mixing, sharding, token_blocks, warc
+from lamina.llm import byte_bpe, mixing, sharding, suffix_dedup, token_blocks, warc
 from lamina.session import table
 
 
@@ -23,6 +23,10 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(first.asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "source", "copies", first.alias("first_position"), F.get("positions", F.lit(1)).alias("second_position"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_blocks, op4_jump_sharding, op5_curriculum_mix, op8_byte_bpe, op10_warc_salvage)}
+    return {f.__name__: f for f in (op1_token_blocks, op4_jump_sharding, op5_curriculum_mix, op7_suffix_dedup, op8_byte_bpe, op10_warc_salvage)}
 
 
 def oracle_sql() -> dict[str, str]:
