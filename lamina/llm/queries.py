@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import byte_bpe, mixing, sharding, suffix_dedup, token_blocks, warc
+from lamina.llm import byte_bpe, minhash_dedup, mixing, sharding, suffix_dedup, token_blocks, warc
 from lamina.session import table
 
 
@@ -31,13 +31,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_blocks, op4_jump_sharding, op5_curriculum_mix, op7_suffix_dedup, op8_byte_bpe, op10_warc_salvage)}
+    return {f.__name__: f for f in (op1_token_blocks, op4_jump_sharding, op5_curriculum_mix, op7_suffix_dedup, op8_byte_bpe, op9_circulant_minhash, op10_warc_salvage)}
 
 
 def oracle_sql() -> dict[str, str]:

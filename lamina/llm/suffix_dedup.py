@@ -43,7 +43,7 @@ PIECE = 1 << 21
 _LOW = np.uint64((1 << 23) - 1)
 
 
-@functools.cache
+@functools.lru_cache(2)
 def _tables(n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Two independent hashes: byte values, powers and inverse powers modulo 2**64."""
     rng = np.random.default_rng(20240229)
@@ -74,7 +74,7 @@ class Names:
 
     def __init__(self, data: np.ndarray):
         self.sums = []
-        for values, power, inverse in _tables(PIECE * 2 + LENGTH + 1):
+        for values, power, inverse in _tables(1 << max(22, len(data).bit_length())):
             s = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(values[data] * power[: len(data)], out=s[1:])
             self.sums.append((s, inverse))
