@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import byte_bpe, minhash_dedup, mixing, sharding, suffix_dedup, token_blocks, warc
+from lamina.llm import ball_tree, byte_bpe, crf_quality, graph_ann, minhash_dedup, mixing, sharding, suffix_dedup, token_blocks, warc
 from lamina.session import table
 
 
@@ -13,6 +13,14 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_token_files(spark, token_blocks.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op2_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
@@ -23,6 +31,10 @@ def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(first.asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "source", "copies", first.alias("first_position"), F.get("positions", F.lit(1)).alias("second_position"))
 
 
+def op6_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
 
@@ -41,7 +53,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_blocks, op4_jump_sharding, op5_curriculum_mix, op7_suffix_dedup, op8_byte_bpe, op9_circulant_minhash, op10_warc_salvage)}
+    return {f.__name__: f for f in (op1_token_blocks, op2_crf_quality, op3_pruned_graph, op4_jump_sharding, op5_curriculum_mix, op6_ball_tree, op7_suffix_dedup, op8_byte_bpe, op9_circulant_minhash, op10_warc_salvage)}
 
 
 def oracle_sql() -> dict[str, str]:
