@@ -87,3 +87,18 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
     """A row for each copy, range-sorted by position: what a trainer reads."""
     rows = mixed.select("doc_id", "source", "size", F.posexplode("positions").alias("copy", "position"))
     return rows.orderBy("position", "doc_id", "copy")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it. Rows without words have no demand and stay once.
+
+    Copies are joined back by (doc_id, source, size), so text is shuffled once at most; rows that
+    repeat a doc_id within a source at one size share their number of copies.
+    """
+    key = {"_d": F.col("doc_id"), "_s": F.col("source"), "_n": F.col("size")}
+    copies = mix(docs, **options).groupBy(*(c.alias(k) for k, c in key.items())).agg(F.max("copies").alias("_copies"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("_size", size)
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
+    rows = rows.join(copies, same).withColumn("_copies", F.when(F.col("_n") == 0, 1).otherwise(F.col("_copies"))).filter("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
