@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from lamina.plans import relational, scalars
+
+MODULES = [relational, scalars]
 
 
 def queries() -> dict:
