@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import functools
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from unicodedata import is_normalized
 
@@ -148,8 +150,8 @@ class TokenFile:
         return (x + self.least[lo:hi, None]).ravel()[a - lo * BLOCK : b - lo * BLOCK]
 
 
-#: Words that a worker's cache holds before it starts anew.
-CACHE_WORDS = 300_000
+#: Words that a worker's cache holds before it is set aside for a new one, which still draws on it.
+CACHE_WORDS = 250_000
 
 
 class Words(dict):
@@ -162,33 +164,48 @@ class Words(dict):
 
     def __init__(self, path: str, end: int):
         super().__init__()
+        self.before: dict[str, bytes] = {}
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are kept as native 32-bit integers, which must be little-endian")
         self.end = np.array([end], "<u4").tobytes()
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = (b for b in range(256) if b not in set(shown))
         self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ".,!?;:" and word[:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        elif word.isalpha() and max(word) < "ɐ" and word != (low := word.lower()) and low.isalpha():
-            ids = self[low]
-        elif word.isalpha() and max(word) < "ɐ" and len(word) < 200 and is_normalized("NFC", word):
-            text = word if word.isascii() else "".join(map(self.shown.__getitem__, word.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+        base, mark = (word[:-1], word[-1]) if len(word) > 1 and word[-1] in ".,!?;:" else (word, "")
+        if not base.isalpha() or max(base) >= "ɐ" or len(base) > 200 or not (low := base.lower()).isalpha() or not is_normalized("NFC", low):
+            base, mark, low = word, "", word
+            letters = False
         else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
+            letters = True
+        if seen := (ids := self.get(low)) is not None:
+            pass
+        elif (ids := self.before.get(low)) is None:
+            if letters:
+                text = low if low.isascii() else "".join(map(self.shown.__getitem__, low.encode()))
+                ids = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            else:
+                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(low) <= 64:
+            self[low] = ids
+        if mark:
+            if mark not in self:
+                self[mark] = array("I", self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
+            ids += self[mark]
+        if seen and len(word) <= 64:  # written otherwise for the second time
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text and the end id."""
         if len(self) > CACHE_WORDS:
+            self.before = dict(self)
             self.clear()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split alone
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
