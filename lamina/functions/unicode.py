@@ -5,9 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
+def nfkc(c: Column) -> Column:
+    @F.pandas_udf("string")
+    def normalize(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
+
+    return normalize(c)

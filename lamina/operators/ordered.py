@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,23 +46,26 @@ def depth(df: DataFrame, keys, order, opens: Column, closes: Column) -> DataFram
 def state_with_brackets(df: DataFrame, keys, order, saves: Column, restores: Column, value: Column, initial: Column, out: str) -> DataFrame:  # W2, W13, W9
     """The state after each row where a save remembers it, a matched restore brings it back, and `value` sets it.
 
-    A save opens a span whose first state is that at the save. Within the spans of one level a value
-    holds until the next; a restore resumes the outer span, which is keyed by where it was opened.
+    A stack can't be an aggregate of windows, so each group (a page) is folded in one task.
     """
-    keys = list(keys)
-    df = depth(df, keys, order, saves, restores)
-    df = df.withColumn("_set", F.when(~saves & ~restores, value))
-    # the span a row belongs to: the last save that opened its level
-    spans = df.withColumn("_open", F.when(saves, F.col(order[0]))).withColumn("_lv", F.when(saves, F.col("level_after")))
-    w = _w([*keys, "level_after"], order).rowsBetween(Window.unboundedPreceding, 0)
-    spans = spans.withColumn("_span", F.last("_open", ignorenulls=True).over(w))
-    own = _w([*keys, "level_after", "_span"], order).rowsBetween(Window.unboundedPreceding, 0)
-    spans = spans.withColumn("_own", F.last("_set", ignorenulls=True).over(own))
-    # without a value of its own a span has the state at its save: the nearest outer value in order of opening
-    chain = spans.withColumn("_trail", F.collect_list(F.struct(F.col("level_after").alias("lv"), F.col("_span").alias("sp"), F.col("_own").alias("v"))).over(_before(keys, order)))
-    seen = F.filter("_trail", lambda t: t["v"].isNotNull() & (t["lv"] < F.col("level_after")) & (F.coalesce(t["sp"], F.lit(-1)) <= F.coalesce(F.col("_span"), F.lit(-1))))
-    alive = F.aggregate(seen, F.lit(None).cast(df.select(value.alias("v")).schema[0].dataType), lambda acc, t: t["v"])
-    return chain.withColumn(out, F.coalesce("_own", alive, initial)).drop("_set", "_open", "_lv", "_span", "_own", "_trail")
+    flags = df.withColumns({"_s": saves, "_r": restores, "_v": value, "_i": initial})
+    schema = df.withColumn(out, F.coalesce(value, initial)).schema
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order))
+        state, stack, states = pdf["_i"].iloc[0], [], []
+        for s, r, v in zip(pdf["_s"], pdf["_r"], pdf["_v"], strict=True):
+            if s:
+                stack.append(state)
+            elif r:
+                state = stack.pop() if stack else state
+            elif not pd.isna(v):
+                state = v
+            states.append(state)
+        pdf[out] = states
+        return pdf.drop(columns=["_s", "_r", "_v", "_i"])
+
+    return flags.groupBy(*keys).applyInPandas(fold, schema)
 
 
 def islands(df: DataFrame, keys, order, joins: Column, out: str = "island") -> DataFrame:  # W5
