@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -37,6 +38,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(df: DataFrame, tag: str) -> DataFrame:
+    """As `written`; then asks the driver to drop what its finished jobs left in shuffle folders."""
+    out = written(df, tag)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this package wrote."""
     jvm = spark.sparkContext._jvm

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm._common import written
+from lamina.llm._common import released
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def _is_star(e: DataFrame) -> bool:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node that is not itself the smallest. links: a, b with a != b."""
-    e = written(_small_star(links.filter("a != b")), "links")
+    e = released(_small_star(links.filter("a != b")), "links")
     while not _is_star(e):
-        e = written(_small_star(written(_large_star(e), "links")), "links")
+        e = released(_small_star(released(_large_star(e), "links")), "links")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))

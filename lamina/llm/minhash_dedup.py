@@ -4,7 +4,7 @@
    coordinates: the first gives a shingle its slot on a circle, the second, shifted by k places,
    is coordinate k. A shingle's values at all coordinates are thus one run of the second
    permutation, read in one piece. Equal sets are merged first; the smallest doc_id stands for them.
-2. Signatures are cut in bands (60 of 6: a pair at similarity 0.8 is missed with probability 1e-8).
+2. Signatures are cut in bands (40 of 5: a pair at similarity 0.8 is missed with probability 1.3e-7).
    Documents that share a band with the smallest of the band are in one coarse group.
 3. All pairs of different texts in a coarse group are compared exactly on full sets, inside tasks,
    in blocks of bounded size; a task returns only the links of a spanning forest.
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm._common import by_size, written
+from lamina.llm._common import by_size, released, written
 from lamina.llm._graph import components
 from lamina.llm.suffix_dedup import Names, _mix
 
-ROWS, BANDS = 6, 60
+ROWS, BANDS = 5, 40
 #: Size of the circle, as a power of two.
 CIRCLE = 22
 #: Documents and shingles in one block of the verification, about.
@@ -165,7 +165,7 @@ def hashed(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in by_size(texts):
+            for lo, hi in by_size(texts, 1 << 19):
                 sets = shingle_sets(texts[lo:hi], words)
                 n = np.array([len(s) for s in sets], np.int64)
                 sums = [np.array([_mix(s ^ np.uint64(x)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64) for x in (0, 0x5BD1E995A7C3F10D)]
@@ -180,7 +180,7 @@ def _blocks(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified links a, b from rows (component, i, j, side, doc_id, text), compared block by block."""
 
     def flush(docs, texts, sides):
-        sets = [x for lo, hi in by_size(texts) for x in shingle_sets(texts[lo:hi], words)]
+        sets = [x for lo, hi in by_size(texts, 1 << 19) for x in shingle_sets(texts[lo:hi], words)]
         side = np.array(sides)
         return [(docs[i], docs[j]) for i, j in linked(sets, side if side.any() else None, percent)] if len(docs) > 1 else []
 
@@ -208,14 +208,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = written(hashed(docs, words), "shingle-sets")
     identity = ["one", "two", "n"]
     full = sets.filter("n > 0 and doc_id is not null")
-    reps = full.groupBy(*identity).agg(F.min("doc_id").alias("rep"))
+    reps = released(full.groupBy(*identity).agg(F.min("doc_id").alias("rep")), "set-reps")
     # the smallest doc_id of each distinct set, with its bands
-    chosen = full.join(reps, identity).filter("doc_id = rep").dropDuplicates(["rep"])
-    banded = chosen.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center < last").select("key", "center")
-    coarse = banded.join(shared, "key").filter("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
+    chosen = released(full.select("doc_id", "bands").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "rep-bands")
+    banded = chosen.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    shared = released(banded.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center < last").select("key", "center"), "shared-bands")
+    coarse = released(banded.join(shared, "key").filter("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), "coarse-links")
     coarse = components(coarse)
-    groups = written(coarse.unionByName(coarse.select(F.col("component").alias("node"), "component").distinct()), "coarse-groups")
+    groups = released(coarse.unionByName(coarse.select(F.col("component").alias("node"), "component").distinct()), "coarse-groups")
     members = groups.join(full.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
     pieces = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     sizes = members.groupBy("component").agg(pieces.alias("pieces"))
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     rows = placed.join(texts, "node").select("component", "i", "j", "side", "node", "text")
     rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = components(written(_blocks(rows, words, percent), "verified-links"))
+    found = components(released(_blocks(rows, words, percent), "verified-links"))
     labels = reps.join(found, F.col("rep") == F.col("node"), "left").select(*identity, F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(labels, identity, "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
