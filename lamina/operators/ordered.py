@@ -142,14 +142,14 @@ def clamped_fold(df: DataFrame, keys, order: str, value: Column, low: float = -1
 
 
 def flowing_filters(layers: DataFrame, keys, order: str) -> DataFrame:  # W11; columns kind ('persistent', 'clipped', 'layer'), value
-    """For each ordinary layer, the filters that flow to it: all persistent ones before it, and the clipped ones since the last layer."""
+    """For each ordinary layer, the filters that flow to it: all persistent ones before it, then the sum of the clipped ones since the last layer."""
     w = _before(keys, [order])
     is_layer = F.col("kind") == "layer"
     rows = layers.withColumn("_block", F.coalesce(F.sum(F.when(is_layer, 1).otherwise(0)).over(w), F.lit(0)))
     persistent = F.collect_list(F.when(F.col("kind") == "persistent", F.struct(F.col(order), F.col("value")))).over(w)
     clipped = F.collect_list(F.when(F.col("kind") == "clipped", F.struct(F.col(order), F.col("value")))).over(_before([*keys, "_block"], [order]))
-    both = F.array_sort(F.concat(persistent, clipped))
-    return rows.withColumn("filter", clamped_sum(F.transform(both, lambda p: p["value"]))).filter(is_layer).drop("_block")
+    fold = lambda pairs: clamped_sum(F.transform(F.array_sort(pairs), lambda p: p["value"]))
+    return rows.withColumn("filter", clamped_sum(F.array(fold(persistent), fold(clipped)))).filter(is_layer).drop("_block")
 
 
 def latest(df: DataFrame, keys, version: str) -> DataFrame:  # 2.10

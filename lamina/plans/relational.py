@@ -178,8 +178,10 @@ FLOWING_FILTERS = """
 with e as (select user_id, event_id, case event_type when 'signup' then 'p' when 'error' then 'c' else 'l' end as k, floor(value % 3 - 1) / 4 as v from events),
 b as (select *, coalesce(sum(case when k = 'l' then 1 else 0 end) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as blk from e),
 w as (select *, coalesce(list({'e': event_id, 'v': v}) filter (where k = 'p') over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), []) as ps,
- coalesce(list({'e': event_id, 'v': v}) filter (where k = 'c') over (partition by user_id, blk order by event_id rows between unbounded preceding and 1 preceding), []) as cs from b)
-select user_id, event_id, list_reduce(list_prepend(0.0::double, list_transform(list_sort(list_concat(ps, cs)), lambda x: x.v)), lambda a, v: greatest(-1.0::double, least(1.0::double, a + v))) as filter from w where k = 'l'"""
+ coalesce(list({'e': event_id, 'v': v}) filter (where k = 'c') over (partition by user_id, blk order by event_id rows between unbounded preceding and 1 preceding), []) as cs from b),
+f as (select *, list_reduce(list_prepend(0.0::double, list_transform(list_sort(ps), lambda x: x.v)), lambda a, v: greatest(-1.0::double, least(1.0::double, a + v))) as fp,
+ list_reduce(list_prepend(0.0::double, list_transform(list_sort(cs), lambda x: x.v)), lambda a, v: greatest(-1.0::double, least(1.0::double, a + v))) as fc from w where k = 'l')
+select user_id, event_id, greatest(-1.0::double, least(1.0::double, fp + fc)) as filter from f"""
 
 
 def tree_rollup(spark, d):
