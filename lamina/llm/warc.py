@@ -29,6 +29,7 @@ VERSION = b"WARC/1.1\r\n"
 ID = "urn:lamina:page:"
 LEAST_REVISIT = 100
 _START = re.compile(rb"WARC/1\.[01]\r\n")
+_CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 _MEMBER = b"\x1f\x8b\x08"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Refuse to inflate a member beyond this, so that a damaged or hostile one can't fill memory.
@@ -69,7 +70,7 @@ def _parse(data: bytes, at: int = 0):
     if not _START.match(data, at):
         return None
     stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
+    if stop < 0 or _CONTROL.search(data, at, stop):
         return None
     head = {}
     for line in data[at:stop].split(b"\r\n")[1:]:
