@@ -35,7 +35,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """The same rows, reread from Parquet in the shared folder: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.lamina_path = path
+    return out
 
 
 def released(df: DataFrame, tag: str) -> DataFrame:
@@ -46,11 +48,12 @@ def released(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this package wrote."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, when nothing that is still to run reads them."""
+    for t in tables:
+        spark = t.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.lamina_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def local_path(path: str) -> str | None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm._common import by_size, released, written
+from lamina.llm._common import by_size, discard, released, written
 from lamina.llm._graph import components
 from lamina.llm.suffix_dedup import Names, _mix
 
@@ -214,6 +214,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     banded = chosen.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     shared = released(banded.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center < last").select("key", "center"), "shared-bands")
     coarse = released(banded.join(shared, "key").filter("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), "coarse-links")
+    discard(chosen, shared)
     coarse = components(coarse)
     groups = released(coarse.unionByName(coarse.select(F.col("component").alias("node"), "component").distinct()), "coarse-groups")
     members = groups.join(full.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
@@ -234,6 +235,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` of which no near copy has a smaller doc_id; of rows with equal doc_id one stays."""
-    verdict = near_duplicates(docs, words, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("_kept"))
+    verdict = released(near_duplicates(docs, words, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("_kept")), "kept-ids")
     rows = docs.join(verdict, "doc_id", "left").filter("doc_id is null or _kept").select(*docs.columns)
     return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))

@@ -5,14 +5,16 @@ the name of a doubled prefix is made from the pair of names at the position and
 each round drops the positions whose name is unique. Sorting every byte position of the corpus in
 every round would move many times the input, so the rounds go from few positions to many:
 
-1. 32 bytes, at anchors only. Of every window of `length` bytes the anchor is the position whose
+1. 32 bytes, at anchors only. Names are counted alone before places travel with them. Of every window of `length` bytes the anchor is the position whose
    32-byte name is least (leftmost of equals), so equal windows have equal anchors at equal offsets
    and no repeat can be missed. An anchor owns the run of consecutive windows that choose it.
 2. The anchor's whole block, i.e. all bytes of the windows that it owns. A block that stood earlier
    is covered as a whole. Of each distinct block only the first place goes on, and only if the
    anchor's name stands in other blocks too; the rest is unique or settled.
 3. 64 bytes from the pair at offset 32, then `length` bytes from the pair at the last offset, at
-   every window of the blocks that are left. A window that stood earlier is covered.
+   every window of the blocks that are left. A window that stood earlier is covered. Equal windows
+   have equal anchors, so they meet under their name; a name with very many blocks is dealt out again
+   by the names of its windows.
 
 Grouping is by name with partial sums, so a passage in a third of all documents is no hot key, and
 text never meets text. A start is (doc_id, byte position); only strictly smaller starts are earlier.
@@ -34,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm._common import written
+from lamina.llm._common import discard, released
 
 GRAM = 32
 LENGTH = 100
-#: Bytes of one piece of a text and of one batch; positions in it take 23 bits.
-PIECE = 1 << 21
+#: Bytes of one piece of a text; a batch has two at most, and positions in it take 23 bits.
+PIECE = 1 << 19
 _LOW = np.uint64((1 << 23) - 1)
+#: Different blocks of one name that one task may compare; names with more are settled window by window.
+MOST_BLOCKS = 1000
 
 
 @functools.lru_cache(2)
@@ -74,7 +78,7 @@ class Names:
 
     def __init__(self, data: np.ndarray):
         self.sums = []
-        for values, power, inverse in _tables(1 << max(22, len(data).bit_length())):
+        for values, power, inverse in _tables(1 << max(20, (len(data) - 1).bit_length())):
             s = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(values[data] * power[: len(data)], out=s[1:])
             self.sums.append((s, inverse))
@@ -140,59 +144,132 @@ def anchors(batch: list[tuple[int, int, bytes]], length: int = LENGTH) -> dict[s
     return {"name": grams[least[lo]].view(np.int64), "block": names.at(lo, stop + length - 1).view(np.int64), "doc_id": doc, "lo": lo + at, "n": (stop - lo).astype(np.int16)}
 
 
-def windows(data: bytes, runs: list[tuple[int, int]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of all windows in runs (lo, n), and their names by two independent hashes, each doubled from pairs."""
-    pos, one, two = [], [], []
-    for a in range(0, len(data), PIECE):
-        inside = [(lo, n) for lo, n in runs if a <= lo < a + PIECE]
-        if not inside:
-            continue
-        part = np.frombuffer(data[a : a + PIECE + 2 * length], np.uint8)
-        names = Names(part)
-        p = np.concatenate([np.arange(lo - a, lo - a + n) for lo, n in inside])
-        for which, out in ((0, one), (1, two)):
-            f = names.dense(GRAM, which)
-            pair = lambda x, y: _mix(x * np.uint64(0x9FB21C651E98DF25) + y)
-            double = lambda q: pair(f[q], f[q + GRAM])  # noqa: E731, B023
-            out.append(pair(double(p), double(p + (length - 2 * GRAM))))
-        pos.append(p + a)
-    none = np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) if x else none for x in (pos, one, two))
-
-
-def covered(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, start, end: byte ranges whose union is what also starts earlier. docs: doc_id (not null), data (binary)."""
+def windows(parts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Names, by two independent hashes, of the first counts[i] windows of each part, each doubled from pairs."""
+    sizes = np.array([len(p) for p in parts])
+    begin = np.cumsum(sizes) - sizes
+    counts = counts.astype(np.int64)
+    at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    names = Names(np.frombuffer(b"".join(parts), np.uint8))
+    pair = lambda x, y: _mix(x * np.uint64(0x9FB21C651E98DF25) + y)
+    out = []
+    for which in (0, 1):
+        f = names.dense(GRAM, which)
+        double = lambda q: pair(f[q], f[q + GRAM])  # noqa: E731, B023
+        out.append(pair(double(at), double(at + (length - 2 * GRAM))))
+    return out[0], out[1]
+
+
+def repeated_runs(group: np.ndarray, parts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, first window, windows) of the runs of windows that also stand in an earlier part of the group; parts are in order of start."""
+    one, two = windows(parts, counts, length)
+    part = np.repeat(np.arange(len(parts)), counts)
+    key = _mix(one ^ (group[part].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    order = np.argsort(key, kind="stable")
+    k, t, g = key[order], two[order], group[part][order]
+    same = np.zeros(len(order), bool)
+    same[1:] = (k[1:] == k[:-1]) & (t[1:] == t[:-1]) & (g[1:] == g[:-1])
+    again = np.zeros(len(order), bool)
+    again[order] = same
+    first = np.cumsum(counts) - counts
+    edge = np.zeros(len(again) + 1, bool)
+    edge[first], edge[-1] = True, True
+    start = np.flatnonzero(again & (np.concatenate([[True], ~again[:-1]]) | edge[:-1]))
+    stop = np.flatnonzero(again & (np.concatenate([~again[1:], [True]]) | edge[1:])) + 1
+    return part[start], start - first[part[start]], stop - start
+
+
+def covered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, start, end: byte ranges whose union is what also starts earlier; the tables it draws on). docs: doc_id (not null), data (binary)."""
     if length < 2 * GRAM or length > 4 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} to {4 * GRAM}")
 
-    def find(batches):
+    def found(batches):
         for b in batches:
             rows = list(zip(b.column(0).to_pylist(), (x.as_buffer() for x in b.column(1)), strict=True))
             for batch in _pieces([(d, x) for d, x in rows if x.size >= length], length):
-                yield pa.RecordBatch.from_pydict(anchors(batch, length))
+                yield anchors(batch, length)
+
+    def names(batches):
+        for a in found(batches):
+            name, times = np.unique(a["name"], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"name": name, "times": times})
+
+    def places(batches):
+        for a in found(batches):
+            yield pa.RecordBatch.from_pydict({"name": a["name"], "block": a["block"], "doc_id": a["doc_id"], "run": a["lo"] << 8 | a["n"]})
 
     long = docs.filter(F.octet_length("data") >= length)
-    found = written(long.mapInArrow(find, "name long, block long, doc_id long, lo long, n short"), "repeat-anchors")
+    # round 1: names alone travel first, so that places of unique names never do more than meet the repeated ones
+    repeated = released(long.mapInArrow(names, "name long, times long").groupBy("name").agg(F.sum("times").alias("times")).filter("times > 1").select("name"), "repeat-names")
+    kept = long.mapInArrow(places, "name long, block long, doc_id long, run long").join(repeated, "name", "left_semi")
+    places_table = released(kept, "repeat-places")
+    kept = places_table.select("name", "block", "doc_id", F.shiftright("run", 8).alias("lo"), F.col("run").bitwiseAND(F.lit(255)).alias("n"))
     start = F.struct("doc_id", "lo")
-    # round 1 and 2 in one shuffle by name and block; counts of the names follow from those of the blocks
-    blocks = written(found.groupBy("name", "block", "n").agg(F.min(start).alias("first"), F.max(start).alias("last")), "repeat-blocks")
+    # round 2
+    blocks = released(kept.groupBy("name", "block", "n").agg(F.min(start).alias("first"), F.max(start).alias("last")), "repeat-blocks")
     again = blocks.filter("first < last").select("name", "block", "n", "first")
-    whole = found.join(again, ["name", "block", "n"]).filter(start > F.col("first")).select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
-    many = blocks.groupBy("name").agg(F.count("*").alias("c")).filter("c > 1").select("name")
-    left = blocks.join(many, "name").select("first.doc_id", "first.lo", "n").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
+    whole = kept.join(again, ["name", "block", "n"]).filter(start > F.col("first")).select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
+    many = blocks.groupBy("name").agg(F.count("*").alias("blocks")).filter("blocks > 1")
+    left = blocks.join(many, "name").select("first.doc_id", "first.lo", "n", "name", (F.col("blocks") > MOST_BLOCKS).alias("large")).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "name", "large")).alias("runs"))
 
-    def name(batches):
+    def cut(batches):
         for b in batches:
             for doc, data, runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                pos, one, two = windows(data.as_py(), [(r["lo"], r["n"]) for r in runs], length)
-                for i in range(0, len(pos), 1 << 18):
-                    part = slice(i, i + (1 << 18))
-                    yield pa.RecordBatch.from_pydict({"one": one[part].view(np.int64), "two": two[part].view(np.int64), "doc_id": np.full(len(pos[part]), doc, np.int64), "lo": pos[part].astype(np.int64)})
-
-    named = written(long.join(left, "doc_id").select("doc_id", "data", "runs").mapInArrow(name, "one long, two long, doc_id long, lo long"), "repeat-windows")
+                data = data.as_buffer()
+                for i in range(0, len(runs), 4096):
+                    part = runs[i : i + 4096]
+                    yield pa.RecordBatch.from_pydict({"name": [r["name"] for r in part], "doc_id": pa.array([doc] * len(part), pa.int64()), "lo": [r["lo"] for r in part], "n": pa.array([r["n"] for r in part], pa.int64()), "large": [r["large"] for r in part], "bytes": pa.array([data[r["lo"] : r["lo"] + r["n"] - 1 + length].to_pybytes() for r in part], pa.binary())})
+
+    # round 3: a block's bytes travel once, not once for each of its windows
+    contents = released(long.join(left, "doc_id").select("doc_id", "data", "runs").mapInArrow(cut, "name long, doc_id long, lo long, n long, large boolean, bytes binary"), "repeat-contents")
+
+    def settle(batches):
+        """Rows come ordered by name and start; a name's rows may go over several batches."""
+        held = None
+        for b in _with_end(batches):
+            table = b if held is None else held if b is None else pa.concat_tables([held, b])
+            held = None
+            if table is None or not len(table):
+                continue
+            name = table["name"].to_numpy()
+            if b is not None:  # the last name may go on
+                stop = int(np.flatnonzero(name != name[-1])[-1]) + 1 if (name != name[-1]).any() else 0
+                held, table, name = table.slice(stop), table.slice(0, stop), name[:stop]
+            lo, doc, n = (table[c].to_numpy() for c in ("lo", "doc_id", "n"))
+            bytes_ = table["bytes"].to_pylist()
+            a = 0
+            while a < len(name):
+                e = min(len(name), a + 8192)
+                if e < len(name):  # to the end of a name
+                    e += int((name[e:] == name[e - 1]).argmin()) if (name[e:] != name[e - 1]).any() else len(name) - e
+                part, first, count = repeated_runs(name[a:e].view(np.uint64), bytes_[a:e], n[a:e], length)
+                at = lo[a:e][part] + first
+                yield pa.RecordBatch.from_pydict({"doc_id": doc[a:e][part], "start": at, "end": at + count - 1 + length})
+                a = e
+
+    def spread(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                n = part.column(2).to_numpy()
+                one, two = windows(part.column(3).to_pylist(), n, length)
+                inside = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_pydict({"one": one.view(np.int64), "two": two.view(np.int64), "doc_id": np.repeat(part.column(0).to_numpy(), n), "lo": np.repeat(part.column(1).to_numpy(), n) + inside})
+
+    ordered = contents.filter("not large").select("name", "doc_id", "lo", "n", "bytes").repartition("name").sortWithinPartitions("name", "doc_id", "lo")
+    near = ordered.mapInArrow(settle, "doc_id long, start long, end long")
+    # names with very many different blocks are settled window by window, over all tasks
+    named = contents.filter("large").select("doc_id", "lo", "n", "bytes").mapInArrow(spread, "one long, two long, doc_id long, lo long")
     firsts = named.groupBy("one", "two").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter("first < last").select("one", "two", "first")
     single = named.join(firsts, ["one", "two"]).filter(start > F.col("first")).select("doc_id", F.col("lo").alias("start"), (F.col("lo") + length).alias("end"))
-    return whole.unionByName(single)
+    return whole.unionByName(near).unionByName(single), [repeated, places_table, blocks, contents]
+
+
+def _with_end(batches):
+    for b in batches:
+        yield pa.Table.from_batches([b])
+    yield None
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -212,8 +289,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _spans(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, spans: a document's covered byte ranges, as many at most as its bytes."""
-    ranges = covered(_keyed(docs), length)
-    return ranges.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    ranges, tables = covered(_keyed(docs), length)
+    spans = released(ranges.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "repeat-spans")
+    discard(*tables)
+    return spans
 
 
 def dedup_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
