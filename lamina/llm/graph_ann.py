@@ -3,7 +3,8 @@
 Vectors enter the graph in batches of doubling size. A greedy beam search from the medoid proposes
 the newcomers' neighbours; relaxed pruning goes through these by distance and keeps one unless an
 already kept one is nearer to it by the factor alpha, so edges stay diverse; back edges are added
-and pruned likewise. Queries run a beam search in every shard, and the shards' best are merged.
+and pruned likewise; a node that pruning leaves out of reach gets an edge from its nearest one.
+Queries run a beam search in every shard, and the shards' best are merged.
 All vectors of a batch advance together as arrays.
 
 Largest inner products become smallest distances by one more coordinate, which gives all of a
@@ -43,6 +44,7 @@ class Graph:
             self._insert(order[done : done + size])
             done += size
             size = min(size * 2, BATCH)
+        self._connect()
 
     def search(self, q: np.ndarray, beam: int, visited: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Nearest nodes found and squared distances, nearest first (-1 pads); or all nodes that were expanded."""
@@ -116,6 +118,29 @@ class Graph:
             left[r, pick] = False
         return out
 
+    def reached(self) -> np.ndarray:
+        """Which nodes a walk from the start can reach."""
+        seen = np.zeros(len(self.x), bool)
+        seen[self.start] = True
+        edge = np.array([self.start])
+        while len(edge):
+            near = np.unique(self.edges[edge])
+            edge = near[(near >= 0) & ~seen[near]]
+            seen[edge] = True
+        return seen
+
+    def _connect(self, most: int = 8) -> None:
+        """Links every node that pruning has cut off from its nearest reachable node, beyond the degree."""
+        while len(lost := np.flatnonzero(~self.reached())):
+            host = np.concatenate([self.search(self.x[lost[i : i + BATCH]], self.beam)[0][:, 0] for i in range(0, len(lost), BATCH)])
+            order = np.argsort(host, kind="stable")
+            host, lost = host[order], lost[order]
+            nth = np.arange(len(host)) - np.searchsorted(host, host)
+            some = nth < most
+            extra = np.full((len(self.x), int(nth[some].max()) + 1), -1, np.int32)
+            extra[host[some], nth[some]] = lost[some]
+            self.edges = np.concatenate([self.edges, extra], axis=1)
+
     def _insert(self, new: np.ndarray) -> None:
         cand, _ = self.search(self.x[new], self.beam, visited=True)
         beside = np.broadcast_to(new, (len(new), len(new)))[:, : self.degree] if len(new) <= self.degree else None
@@ -131,7 +156,8 @@ class Graph:
             a, e = first[lo], first[lo] + count[lo : lo + BATCH].sum()
             extra = np.full((len(some), count[lo : lo + BATCH].max()), -1, np.int32)
             extra[np.searchsorted(some, to[a:e]), nth[a:e]] = frm[a:e]
-            both = np.concatenate([self.edges[some], extra], axis=1)
+            both = np.sort(np.concatenate([self.edges[some], extra], axis=1), axis=1)[:, ::-1]
+            both[:, 1:] = np.where(both[:, 1:] == both[:, :-1], -1, both[:, 1:])  # newcomers may have chosen each other
             full = (both >= 0).sum(axis=1) > self.degree
             kept = np.sort(both, axis=1)[:, ::-1][:, : self.degree]
             if full.any():

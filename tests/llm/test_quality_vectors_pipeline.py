@@ -101,6 +101,16 @@ def test_graph_recall(spark):
     assert graph_ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_graph_is_connected_and_without_repeats():
+    r = np.random.default_rng(4)
+    for n, dim in ((1, 3), (2, 3), (57, 12), (900, 12), (1500, 64)):
+        g = graph_ann.Graph(r.normal(size=(n, dim)).astype(np.float32))
+        assert g.reached().all()
+        for row in g.edges:
+            row = row[row >= 0]
+            assert len(set(row.tolist())) == len(row)
+
+
 def test_graph_of_equal_vectors():
     x = np.ones((500, 4))
     q, ids, s = graph_ann.search_shard(x, np.arange(500), x[:2], np.array([0, 1]), 20)
