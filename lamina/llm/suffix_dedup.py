@@ -17,12 +17,13 @@ every round would move many times the input, so the rounds go from few positions
    by the names of its windows.
 
 Grouping is by name with partial sums, so a passage in a third of all documents is no hot key, and
-text never meets text. A start is (doc_id, byte position); only strictly smaller starts are earlier.
+text never meets text. A start is (doc_id, twin, byte position), where twin is a hash of the text;
+only strictly smaller starts are earlier.
 
 Edge cases: null or empty text has 0 bytes and loses none; a null doc_id stands before all others;
-repeated rows (equal doc_id and text) are one document and get equal results; rows of one doc_id
-with different texts share their starts; very long texts are read in overlapping pieces; an empty
-table gives an empty result; other columns are ignored.
+repeated rows (equal doc_id and text) are one document and get equal results; rows of one doc_id, or
+of none, with different texts are documents of their own, in the order of their twins; very long
+texts are read in overlapping pieces; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm._common import discard, released
@@ -160,8 +161,8 @@ def windows(parts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tup
     return out[0], out[1]
 
 
-def repeated_runs(group: np.ndarray, parts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, first window, windows) of the runs of windows that also stand in an earlier part of the group; parts are in order of start."""
+def repeated_runs(group: np.ndarray, document: np.ndarray, lo: np.ndarray, parts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, first window, windows) of the runs of windows that also have a strictly smaller start in the group; parts are in order of start, (document, lo)."""
     one, two = windows(parts, counts, length)
     part = np.repeat(np.arange(len(parts)), counts)
     key = _mix(one ^ (group[part].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
@@ -169,9 +170,11 @@ def repeated_runs(group: np.ndarray, parts: list[bytes], counts: np.ndarray, len
     k, t, g = key[order], two[order], group[part][order]
     same = np.zeros(len(order), bool)
     same[1:] = (k[1:] == k[:-1]) & (t[1:] == t[:-1]) & (g[1:] == g[:-1])
-    again = np.zeros(len(order), bool)
-    again[order] = same
     first = np.cumsum(counts) - counts
+    d, at = document[part][order], (np.arange(len(part)) + np.repeat(lo - first, counts))[order]
+    least = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))  # the first of equal windows
+    again = np.zeros(len(order), bool)
+    again[order] = same & ((d > d[least]) | ((d == d[least]) & (at > at[least])))
     edge = np.zeros(len(again) + 1, bool)
     edge[first], edge[-1] = True, True
     start = np.flatnonzero(again & (np.concatenate([[True], ~again[:-1]]) | edge[:-1]))
@@ -180,15 +183,17 @@ def repeated_runs(group: np.ndarray, parts: list[bytes], counts: np.ndarray, len
 
 
 def covered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[DataFrame]]:
-    """(doc_id, start, end: byte ranges whose union is what also starts earlier; the tables it draws on). docs: doc_id (not null), data (binary)."""
+    """(doc_id, twin, start, end: byte ranges whose union is what also starts earlier; the tables it draws on). docs: doc_id, twin (not null), data (binary)."""
     if length < 2 * GRAM or length > 4 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} to {4 * GRAM}")
 
     def found(batches):
         for b in batches:
-            rows = list(zip(b.column(0).to_pylist(), (x.as_buffer() for x in b.column(1)), strict=True))
-            for batch in _pieces([(d, x) for d, x in rows if x.size >= length], length):
-                yield anchors(batch, length)
+            doc, twin = b.column(0).to_numpy(), b.column(1).to_numpy()
+            rows = enumerate(x.as_buffer() for x in b.column(2))
+            for batch in _pieces([(i, x) for i, x in rows if x.size >= length], length):
+                a = anchors(batch, length)
+                yield a | {"doc_id": doc[a["doc_id"]], "twin": twin[a["doc_id"]]}
 
     def names(batches):
         for a in found(batches):
@@ -197,32 +202,33 @@ def covered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
 
     def places(batches):
         for a in found(batches):
-            yield pa.RecordBatch.from_pydict({"name": a["name"], "block": a["block"], "doc_id": a["doc_id"], "run": a["lo"] << 8 | a["n"]})
+            yield pa.RecordBatch.from_pydict({"name": a["name"], "block": a["block"], "doc_id": a["doc_id"], "twin": a["twin"], "run": a["lo"] << 8 | a["n"]})
 
     long = docs.filter(F.octet_length("data") >= length)
     # round 1: names alone travel first, so that places of unique names never do more than meet the repeated ones
     repeated = released(long.mapInArrow(names, "name long, times long").groupBy("name").agg(F.sum("times").alias("times")).filter("times > 1").select("name"), "repeat-names")
-    kept = long.mapInArrow(places, "name long, block long, doc_id long, run long").join(repeated, "name", "left_semi")
+    kept = long.mapInArrow(places, "name long, block long, doc_id long, twin long, run long").join(repeated, "name", "left_semi")
     places_table = released(kept, "repeat-places")
-    kept = places_table.select("name", "block", "doc_id", F.shiftright("run", 8).alias("lo"), F.col("run").bitwiseAND(F.lit(255)).alias("n"))
-    start = F.struct("doc_id", "lo")
+    kept = places_table.select("name", "block", "doc_id", "twin", F.shiftright("run", 8).alias("lo"), F.col("run").bitwiseAND(F.lit(255)).alias("n"))
+    start = F.struct("doc_id", "twin", "lo")
     # round 2
     blocks = released(kept.groupBy("name", "block", "n").agg(F.min(start).alias("first"), F.max(start).alias("last")), "repeat-blocks")
     again = blocks.filter("first < last").select("name", "block", "n", "first")
-    whole = kept.join(again, ["name", "block", "n"]).filter(start > F.col("first")).select("doc_id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
+    whole = kept.join(again, ["name", "block", "n"]).filter(start > F.col("first")).select("doc_id", "twin", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
     many = blocks.groupBy("name").agg(F.count("*").alias("blocks")).filter("blocks > 1")
-    left = blocks.join(many, "name").select("first.doc_id", "first.lo", "n", "name", (F.col("blocks") > MOST_BLOCKS).alias("large")).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "name", "large")).alias("runs"))
+    left = blocks.join(many, "name").select("first.doc_id", "first.twin", "first.lo", "n", "name", (F.col("blocks") > MOST_BLOCKS).alias("large")).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("lo", "n", "name", "large")).alias("runs"))
 
     def cut(batches):
         for b in batches:
-            for doc, data, runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for doc, twin, data, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 data = data.as_buffer()
                 for i in range(0, len(runs), 4096):
                     part = runs[i : i + 4096]
-                    yield pa.RecordBatch.from_pydict({"name": [r["name"] for r in part], "doc_id": pa.array([doc] * len(part), pa.int64()), "lo": [r["lo"] for r in part], "n": pa.array([r["n"] for r in part], pa.int64()), "large": [r["large"] for r in part], "bytes": pa.array([data[r["lo"] : r["lo"] + r["n"] - 1 + length].to_pybytes() for r in part], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"name": [r["name"] for r in part], "doc_id": pa.array([doc] * len(part), pa.int64()), "twin": pa.array([twin] * len(part), pa.int64()), "lo": [r["lo"] for r in part], "n": pa.array([r["n"] for r in part], pa.int64()), "large": [r["large"] for r in part], "bytes": pa.array([data[r["lo"] : r["lo"] + r["n"] - 1 + length].to_pybytes() for r in part], pa.binary())})
 
-    # round 3: a block's bytes travel once, not once for each of its windows
-    contents = released(long.join(left, "doc_id").select("doc_id", "data", "runs").mapInArrow(cut, "name long, doc_id long, lo long, n long, large boolean, bytes binary"), "repeat-contents")
+    # round 3: a block's bytes travel once, not once for each of its windows or each repeated row
+    once = long.dropDuplicates(["doc_id", "twin"])
+    contents = released(once.join(left, ["doc_id", "twin"]).select("doc_id", "twin", "data", "runs").mapInArrow(cut, "name long, doc_id long, twin long, lo long, n long, large boolean, bytes binary"), "repeat-contents")
 
     def settle(batches):
         """Rows come ordered by name and start; a name's rows may go over several batches."""
@@ -236,33 +242,34 @@ def covered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
             if b is not None:  # the last name may go on
                 stop = int(np.flatnonzero(name != name[-1])[-1]) + 1 if (name != name[-1]).any() else 0
                 held, table, name = table.slice(stop), table.slice(0, stop), name[:stop]
-            lo, doc, n = (table[c].to_numpy() for c in ("lo", "doc_id", "n"))
+            lo, doc, twin, n = (table[c].to_numpy() for c in ("lo", "doc_id", "twin", "n"))
+            document = np.cumsum(np.append(False, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1])))
             bytes_ = table["bytes"].to_pylist()
             a = 0
             while a < len(name):
                 e = min(len(name), a + 8192)
                 if e < len(name):  # to the end of a name
                     e += int((name[e:] == name[e - 1]).argmin()) if (name[e:] != name[e - 1]).any() else len(name) - e
-                part, first, count = repeated_runs(name[a:e].view(np.uint64), bytes_[a:e], n[a:e], length)
+                part, first, count = repeated_runs(name[a:e].view(np.uint64), document[a:e], lo[a:e], bytes_[a:e], n[a:e], length)
                 at = lo[a:e][part] + first
-                yield pa.RecordBatch.from_pydict({"doc_id": doc[a:e][part], "start": at, "end": at + count - 1 + length})
+                yield pa.RecordBatch.from_pydict({"doc_id": doc[a:e][part], "twin": twin[a:e][part], "start": at, "end": at + count - 1 + length})
                 a = e
 
     def spread(batches):
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
-                n = part.column(2).to_numpy()
-                one, two = windows(part.column(3).to_pylist(), n, length)
+                n = part.column(3).to_numpy()
+                one, two = windows(part.column(4).to_pylist(), n, length)
                 inside = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_pydict({"one": one.view(np.int64), "two": two.view(np.int64), "doc_id": np.repeat(part.column(0).to_numpy(), n), "lo": np.repeat(part.column(1).to_numpy(), n) + inside})
+                yield pa.RecordBatch.from_pydict({"one": one.view(np.int64), "two": two.view(np.int64), "doc_id": np.repeat(part.column(0).to_numpy(), n), "twin": np.repeat(part.column(1).to_numpy(), n), "lo": np.repeat(part.column(2).to_numpy(), n) + inside})
 
-    ordered = contents.filter("not large").select("name", "doc_id", "lo", "n", "bytes").repartition("name").sortWithinPartitions("name", "doc_id", "lo")
-    near = ordered.mapInArrow(settle, "doc_id long, start long, end long")
+    ordered = contents.filter("not large").select("name", "doc_id", "twin", "lo", "n", "bytes").repartition("name").sortWithinPartitions("name", "doc_id", "twin", "lo")
+    near = ordered.mapInArrow(settle, "doc_id long, twin long, start long, end long")
     # names with very many different blocks are settled window by window, over all tasks
-    named = contents.filter("large").select("doc_id", "lo", "n", "bytes").mapInArrow(spread, "one long, two long, doc_id long, lo long")
+    named = contents.filter("large").select("doc_id", "twin", "lo", "n", "bytes").mapInArrow(spread, "one long, two long, doc_id long, twin long, lo long")
     firsts = named.groupBy("one", "two").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter("first < last").select("one", "two", "first")
-    single = named.join(firsts, ["one", "two"]).filter(start > F.col("first")).select("doc_id", F.col("lo").alias("start"), (F.col("lo") + length).alias("end"))
+    single = named.join(firsts, ["one", "two"]).filter(start > F.col("first")).select("doc_id", "twin", F.col("lo").alias("start"), (F.col("lo") + length).alias("end"))
     return whole.unionByName(near).unionByName(single), [repeated, places_table, blocks, contents]
 
 
@@ -283,14 +290,20 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _key(docs: DataFrame) -> tuple[Column, Column, Column]:
+    """doc_id, twin and data of each row."""
+    data = F.coalesce(docs["text"], F.lit("")).cast("binary")
+    return F.coalesce(docs["doc_id"], F.lit(-(1 << 63))), F.xxhash64(data), data
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    return docs.select(*[c.alias(n) for c, n in zip(_key(docs), ("doc_id", "twin", "data"), strict=True)])
 
 
 def _spans(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, spans: a document's covered byte ranges, as many at most as its bytes."""
+    """doc_id, twin, ranges: a document's covered byte ranges, as many at most as its bytes."""
     ranges, tables = covered(_keyed(docs), length)
-    spans = released(ranges.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "repeat-spans")
+    spans = released(ranges.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "repeat-spans")
     discard(*tables)
     return spans
 
@@ -311,7 +324,7 @@ def dedup_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((doc, len(data), sum(e - s for s, e in runs), len(runs), h.hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) if out else pa.RecordBatch.from_pydict({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))})
 
-    rows = _keyed(docs).join(_spans(docs, length), "doc_id", "left").select("doc_id", "data", "ranges")
+    rows = _keyed(docs).join(_spans(docs, length), ["doc_id", "twin"], "left").select("doc_id", "data", "ranges")
     out = rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
 
@@ -338,8 +351,9 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 at = e
         return b"".join([*out, data[at:]]).decode()
 
-    spans = _spans(docs, length).withColumnRenamed("doc_id", "_d")
-    rows = docs.join(spans, F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == F.col("_d"), "left")
+    spans = _spans(docs, length).withColumnsRenamed({"doc_id": "_d", "twin": "_t"})
+    doc, twin, _ = _key(docs)
+    rows = docs.join(spans, (doc == F.col("_d")) & (twin == F.col("_t")), "left")
     changed = F.col("ranges").isNotNull()
     rows = rows.withColumn("text", F.when(changed, drop("text", "ranges")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.llm import _graph, minhash_dedup, suffix_dedup
 
@@ -57,6 +58,24 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, most):
     assert sum(r.n_removed for r in got) > 5000
 
 
+@pytest.mark.parametrize("most", [1000, 1])
+def test_suffix_dedup_of_repeated_rows_and_shared_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST_BLOCKS", most)
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    a, b, c = word(300), word(260), word(240)
+    first = word(150) + a + word(70)  # the repeated row holds the first place of a
+    rows = [(1, first), (1, first), (2, a + word(90)), (3, word(50) + a[20:] + "!"), (4, b), (4, word(130) + b + word(40)), (4, word(200)), (None, c + word(60)), (None, word(400)), (None, "x" + c), (5, c)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    twin = {x.text: x.twin for x in d.select("text", F.xxhash64(F.col("text").cast("binary")).alias("twin")).collect()}
+    want = brute_repeats([((-1 if i is None else i, twin[t]), t.encode()) for i, t in dict.fromkeys(rows)], 100)
+    got = suffix_dedup.dedup_digests(d).collect()
+    assert sorted(((-1 if x.doc_id is None else x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == sorted((-1 if i is None else i, *want[-1 if i is None else i, twin[t]]) for i, t in rows)
+    kept = [hashlib.sha256(x.text.encode()).hexdigest() for x in suffix_dedup.dedup_texts(d).collect()]
+    assert sorted(kept) == sorted(x.kept_sha256 for x in got)
+    assert [x.n_removed for x in got if x.doc_id == 1] == [0, 0]
+
+
 def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 512)
     r = random.Random(1)
