@@ -7,7 +7,8 @@ follows, and logs the bytes between as a quarantined gap.
 
 Edge cases: null html is an empty payload; a null page_id is written as the id `null` and stands
 after all others; payloads under 100 bytes are always responses; of repeated page_ids with equal
-payloads one is the response; a null url is left out; an empty table gives no archive.
+payloads one is the response; a null url is left out, and control characters in a url are
+percent-encoded; an empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ ID = "urn:lamina:page:"
 LEAST_REVISIT = 100
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_URI_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 _MEMBER = b"\x1f\x8b\x08"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Refuse to inflate a member beyond this, so that a damaged or hostile one can't fill memory.
@@ -45,7 +47,7 @@ def record(kind: str, record_id: str, payload: bytes, digest: str, uri: str | No
     block = _HTTP + (payload if kind == "response" else b"")
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
     if uri is not None:
-        head.append(("WARC-Target-URI", re.sub(r"[\r\n]+", " ", uri)))
+        head.append(("WARC-Target-URI", _URI_CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", uri)))
     if refers_to is not None:
         head += [("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     head += [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(len(payload))), ("WARC-Block-Digest", _b32(block)), ("Content-Length", str(len(block)))]

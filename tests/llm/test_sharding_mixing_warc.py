@@ -106,6 +106,17 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(spark, warc.write_archives(pages.limit(0)))[0].count() == 0
 
 
+def test_warc_keeps_pages_with_control_characters_in_the_url(spark):
+    big = "<p>" + "b" * 200
+    codes = [*range(32), 127]
+    pages = spark.createDataFrame([(c, f"{chr(c)}http://a/{chr(c)}é{chr(c)}", big) for c in codes], "page_id long, url string, html string")
+    records, gaps = warc.read_archives(spark, warc.write_archives(pages))
+    got = {r.page_id: r for r in records.collect()}
+    assert gaps.count() == 0 and sorted(got) == codes
+    assert all(got[c].url == f"%{c:02X}http://a/%{c:02X}é%{c:02X}" for c in codes)
+    assert [got[c].refers_to for c in codes] == [None] + [0] * (len(codes) - 1)
+
+
 def archive(n, compressed):
     recs = [warc.record("response", f"{warc.ID}{i}", p := bytes([65 + i]) * 50, hashlib.sha256(p).hexdigest()) for i in range(n)]
     return [warc.member(r) if compressed else r for r in recs]
