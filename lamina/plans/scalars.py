@@ -72,13 +72,23 @@ select page_id, case when decl like '%margin:%' then 'fill,margin' else 'fill' e
 case when decl like '%margin:%' then trim(regexp_extract(decl, 'margin:([^;]*)', 1)) end as margin, cast(page_id as varchar) as fill from s"""
 
 
-def null_strip(spark, d):
-    dirty = F.concat(F.substring("text", 1, 40), F.lit("\u0000&ns_ai;\u0000adobe-blending-mode: ColorBurn;"), F.col("source"))
+def _null_strip(spark, d, text):
+    dirty = F.concat(text, F.lit("\u0000&ns_ai;\u0000adobe-blending-mode: ColorBurn;"), F.col("source"))
     out = strings.normalize_svg(dirty)
     return T(spark, d, "documents").select("doc_id", strings.null_count(dirty).alias("nulls"), out.alias("xml"))
 
 
+def null_strip(spark, d):
+    return _null_strip(spark, d, F.substring("text", 1, 40))
+
+
+def null_strip_whole(spark, d):
+    return _null_strip(spark, d, F.col("text"))
+
+
 NULL_STRIP = "select doc_id, 2 as nulls, substr(text, 1, 40) || 'http://ns.adobe.com/AdobeIllustrator/10.0/mix-blend-mode:color-burn;' || source as xml from documents"
+#: For texts without entities and blending modes of their own; tests/test_whole_texts.py has such texts.
+NULL_STRIP_WHOLE = "select doc_id, 2 + length(text) - length(replace(text, chr(0), '')) as nulls, replace(text, chr(0), '') || 'http://ns.adobe.com/AdobeIllustrator/10.0/mix-blend-mode:color-burn;' || source as xml from documents"
 
 
 def blend_map(spark, d):
@@ -249,5 +259,5 @@ p_size % 2 <> 0 as visible, false as locked, 0.0::double as rotation, case when
 
 QUERIES = {
     k: (globals()[k], globals()[k.upper()])
-    for k in ("format_router", "size_guard", "natural_sort", "path_normalize", "mime_map", "style_extract", "null_strip", "blend_map", "normalized_key", "number_formats", "round_js", "hex_color", "emu_transform", "matrix_chain", "adjustment_map", "curve_sample", "pixel_overlay", "tile_explode", "sink_defaults")
+    for k in ("format_router", "size_guard", "natural_sort", "path_normalize", "mime_map", "style_extract", "null_strip", "null_strip_whole", "blend_map", "normalized_key", "number_formats", "round_js", "hex_color", "emu_transform", "matrix_chain", "adjustment_map", "curve_sample", "pixel_overlay", "tile_explode", "sink_defaults")
 }
