@@ -9,7 +9,8 @@ Vectors are scaled to integers, floor(256 * x), and scores are integers, so ties
 go to the smaller vec_id.
 
 Edge cases: vectors that are null, empty or hold null, NaN or infinite components take no part, nor
-those with a scaled component of 2**28 or more (their product could leave 64 bits); zero vectors do;
+those with a component that is no double once it is scaled; zero vectors do; products are exact, and
+one that leaves 64 bits scores as the nearest 64-bit number;
 rows with the query's own vec_id are no candidates for it; vectors of different sizes do not meet;
 a null vec_id takes no part; an empty table gives an empty result; other columns are ignored.
 """
@@ -27,6 +28,7 @@ from lamina.llm._common import written
 from lamina.llm.vectors import by_shard, finite, matrix, ranked
 
 LEAF = 64
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
 class BallTree:
@@ -57,18 +59,22 @@ class BallTree:
         self.lo, self.hi, self.kids = np.array(lo), np.array(hi), kids
         self.x = x[self.order]
         self.centre = np.stack([self.x[a:b].mean(axis=0) for a, b in zip(lo, hi, strict=True)])
+        self.most = [float(np.abs(self.x[a:b]).max()) for a, b in zip(lo, hi, strict=True)]
         self.radius = np.array([np.sqrt(((self.x[a:b] - c) ** 2).sum(axis=1).max()) for a, b, c in zip(lo, hi, self.centre, strict=True)])
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """Upper bound of each query's product in each node, rounded up."""
         length = np.sqrt((q * q).sum(axis=1))
+        far = length[:, None] * (self.radius + np.sqrt((self.centre**2).sum(axis=1)))[None, :]
         b = q @ self.centre.T + length[:, None] * self.radius[None, :]
-        return b + 1e-6 * (1 + np.abs(b))
+        # what doubles can't hold is not ruled out
+        return np.maximum(np.nan_to_num(b + 1e-6 * (1 + np.abs(b)) + 1e-9 * far, nan=np.inf, posinf=np.inf), float(_LOW))
 
-    def search(self, q: np.ndarray, bound: np.ndarray, k: int, ids: np.ndarray, own: int, at_least: float, only_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, bound: np.ndarray, k: int, ids: np.ndarray, own: int, at_least: int, only_first: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(vec_ids, scores) of the k best rows, not under at_least; with only_first, of the best leaf alone."""
         heap = [(-bound[0], 0)]
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        largest = float(np.abs(q).max())
         kth = at_least
         while heap:
             b, node = heapq.heappop(heap)
@@ -80,32 +86,37 @@ class BallTree:
                         heapq.heappush(heap, (-bound[c], c))
                 continue
             a, e = self.lo[node], self.hi[node]
-            s = np.rint(self.x[a:e] @ q) if self.exact else self._whole(a, e, q)
+            s = products(self.x[a:e], q, self.most[node] * largest * len(q))
             i = ids[self.order[a:e]]
             ok = (s >= kth) & (i != own)
             if ok.any():
                 best_ids, best = np.concatenate([best_ids, i[ok]]), np.concatenate([best, s[ok]])
                 if len(best) > k:
-                    keep = np.lexsort((best_ids, -best))[:k]
+                    keep = np.lexsort((best_ids, ~best))[:k]
                     best_ids, best = best_ids[keep], best[keep]
                 if len(best) == k:
-                    kth = max(kth, best.min())
+                    kth = max(kth, int(best.min()))
             if only_first and len(best) >= k:
                 break
         return best_ids, best
 
-    #: Whether double precision holds every product exactly.
-    exact = True
 
-    def _whole(self, a: int, e: int, q: np.ndarray) -> np.ndarray:
-        return self.x[a:e].astype(np.int64) @ q.astype(np.int64)
+def products(x: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
+    """Exact products of whole numbers, none of which passes the bound; those beyond 64 bits are the nearest 64-bit number."""
+    if bound < 2**53:
+        return np.rint(x @ q).astype(np.int64)
+    if bound < 2**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    whole = [int(v) for v in q]
+    return np.array([min(max(sum(int(v) * w for v, w in zip(row, whole, strict=True)), _LOW), _HIGH) for row in x], np.int64)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest integer products. vectors: vec_id, embedding."""
-    whole = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")))
-    small = F.forall("v", lambda x: F.abs(x) < (1 << 28))
-    rows = written(vectors.filter(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select("vec_id", whole.alias("v")).filter(small), "ball-rows")
+    # doubles from 2**52 are whole already
+    floor = lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)
+    whole = F.transform("embedding", lambda x: floor(F.lit(float(scale)) * x.cast("double")))
+    rows = written(vectors.filter(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select("vec_id", whole.alias("v")).filter(finite(F.col("v"))), "ball-rows")
     queries = rows.filter(is_query)
 
     def run(left: pa.Table, right: pa.Table, first: bool):
@@ -113,19 +124,17 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
         if len(left) and len(right):
             x, q = matrix(left["v"]), matrix(right["v"])
             tree, ids = BallTree(x), left["vec_id"].to_numpy()
-            tree.exact = float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < 2**53
-            floors = np.full(len(q), -np.inf) if first else right["at_least"].to_numpy(zero_copy_only=False).astype(np.float64)
-            floors[np.isnan(floors)] = -np.inf
+            floors = [_LOW] * len(q) if first else [_LOW if f is None else f for f in right["at_least"].to_pylist()]
             for at in range(0, len(q), 1024):
                 for b, one, own, low in zip(tree.bounds(q[at : at + 1024]), q[at : at + 1024], right["vec_id"].to_pylist()[at : at + 1024], floors[at : at + 1024], strict=True):
                     i, s = tree.search(one, b, k, ids, own, low, first)
                     out["query_id"] += [own] * len(i)
                     out["vec_id"] += i.tolist()
-                    out["score"] += s.astype(np.int64).tolist()
+                    out["score"] += s.tolist()
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
     schema = "query_id long, vec_id long, score long"
     opening = ranked(by_shard(rows, queries, lambda a, b: run(a, b, True), schema), k)
-    shared = written(opening.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("at_least")), "ball-floors")
+    shared = written(opening.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("at_least")), "ball-floors")
     queries = queries.join(shared.groupBy("vec_id").agg(F.max("at_least").alias("at_least")), "vec_id", "left")
     return ranked(by_shard(rows, queries, lambda a, b: run(a, b, False), schema), k)

@@ -82,6 +82,24 @@ def test_ball_tree_is_exact(spark):
     assert ball_tree.top_k(df.filter("vec_id in (0, 3, 4)"), F.col("vec_id") % 50 == 0).count() == 2
 
 
+def test_ball_tree_keeps_every_finite_vector(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 6)).astype(np.float32)
+    x[3], x[50, 2], x[51, 2], x[100, 0] = 3e30, 2e6, -2e6, 3e9  # scaled: 7.7e32, 5e8, -5e8 and 7.7e11
+    x[200:220] *= np.float32(1e6)  # scores above 2**53
+    x[300, 1] = -3e38
+    z = [[int(np.floor(256 * np.float64(v))) for v in row] for row in x]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for row in ball_tree.top_k(df, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append((row.vec_id, row.score))
+    assert sorted(got) == list(range(0, 400, 50))
+    for q, rows in got.items():
+        s = [min(max(sum(a * b for a, b in zip(v, z[q], strict=True)), -(1 << 63)), (1 << 63) - 1) for v in z]
+        assert rows == [(i, -v) for v, i in sorted((-s[i], i) for i in range(400) if i != q)[:5]]
+    assert any(2**53 < abs(v) < 2**63 - 1 for rows in got.values() for _, v in rows)
+
+
 def test_graph_recall(spark):
     x, df = vectors(spark)
     got = {}
