@@ -11,7 +11,7 @@ from lamina.functions.geometry import chain
 
 
 def closure(nodes: DataFrame, most_depth: int = 64) -> DataFrame:  # J18, F26, P13
-    """doc_id, node_id, ancestor_id, distance (0 is the node itself), by doubling: as many joins as the logarithm of the depth."""
+    """doc_id, node_id, ancestor_id, distance (0 is the node itself), by doubling: as many joins as the logarithm of the depth. A node with ancestors beyond most_depth, or a cycle, is an error."""
     step = nodes.filter("parent_id is not null").select("doc_id", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
     reach = nodes.select("doc_id", "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance")).unionByName(step)
     hop, size = step, 1
@@ -23,6 +23,9 @@ def closure(nodes: DataFrame, most_depth: int = 64) -> DataFrame:  # J18, F26, P
             break
         reach = reach.unionByName(far.filter(F.col("distance") > size))
         hop, size = far.filter(F.col("distance") == 2 * size), size * 2
+    else:
+        if not hop.join(step.select("doc_id", F.col("node_id").alias("ancestor_id")), ["doc_id", "ancestor_id"], "left_semi").isEmpty():
+            raise ValueError(f"a node has ancestors more than {size} levels up, or the parents form a cycle")
     return reach
 
 

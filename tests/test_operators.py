@@ -151,3 +151,10 @@ def test_report_codes():
 def test_backdrop_pairs(spark):
     s = spark.createDataFrame([("d", "gradient", 5, 9, None, False), ("d", "image", 12, 20, "hard-light", True), ("e", "gradient", 30, 40, None, False), ("e", "image", 1, 2, "hard-light", True)], "doc_id string, kind string, start int, end int, blend_mode string, has_soft_mask boolean")
     assert [r.doc_id for r in pdf.backdrop_pairs(s).collect()] == ["d"]
+
+
+def test_closure_refuses_what_it_would_cut(spark):
+    chain = lambda n: spark.createDataFrame([("d", f"n{i}", f"n{i - 1}" if i else None) for i in range(n)], "doc_id string, node_id string, parent_id string")
+    assert tree.closure(chain(5), most_depth=4).count() == 15
+    with pytest.raises(ValueError, match="more than 4 levels"):
+        tree.closure(chain(6), most_depth=4)
