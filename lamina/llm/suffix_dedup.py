@@ -1,9 +1,9 @@
 """Suffix-array dedup: removes every byte covered by a long string that also starts earlier.
 
-Prefix doubling over positions, where a position's rank is a name (fingerprint) of its prefix:
-the name of a doubled prefix is made from the pair of names at the position and at the offset, and
-each round drops the positions whose name is unique. Sorting every byte position of the corpus in
-every round would move many times the input, so the rounds go from few positions to many:
+Prefix doubling over positions, where a position's rank is a name (fingerprint) of what stands there:
+each round names longer strings, groups equal names, and drops the positions whose name is unique.
+Sorting every byte position of the corpus in every round would move many times the input, so the
+rounds go from few positions to many:
 
 1. 32 bytes, at anchors only. Names are counted alone before places travel with them. Of every window of `length` bytes the anchor is the position whose
    32-byte name is least (leftmost of equals), so equal windows have equal anchors at equal offsets
@@ -11,10 +11,12 @@ every round would move many times the input, so the rounds go from few positions
 2. The anchor's whole block, i.e. all bytes of the windows that it owns. A block that stood earlier
    is covered as a whole. Of each distinct block only the first place goes on, and only if the
    anchor's name stands in other blocks too; the rest is unique or settled.
-3. 64 bytes from the pair at offset 32, then `length` bytes from the pair at the last offset, at
-   every window of the blocks that are left. A window that stood earlier is covered. Equal windows
-   have equal anchors, so they meet under their name; a name with very many blocks is dealt out again
-   by the names of its windows.
+3. The windows of a block are dealt to ranges by the offset of the anchor in them. All windows of a
+   range share its core, the bytes that each of them holds (92 of 100), and the core's name is the
+   range's rank. Again a range that stood earlier is covered as a whole, and only the first places
+   of ranges that share a core with a different range go on.
+4. `length` bytes, from the pairs at the offsets 32 and 36, at every window that is left. A window
+   that stood earlier is covered.
 
 Grouping is by name with partial sums, so a passage in a third of all documents is no hot key, and
 text never meets text. A start is (doc_id, twin, byte position), where twin is a hash of the text;
@@ -33,6 +35,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +47,8 @@ LENGTH = 100
 #: Bytes of one piece of a text; a batch has two at most, and positions in it take 23 bits.
 PIECE = 1 << 19
 _LOW = np.uint64((1 << 23) - 1)
-#: Different blocks of one name that one task may compare; names with more are settled window by window.
-MOST_BLOCKS = 1000
+#: Ranges of anchor offsets that a block's windows are dealt to.
+RANGES = 8
 
 
 @functools.lru_cache(2)
@@ -123,7 +126,7 @@ def _pieces(docs: list[tuple[int, bytes]], length: int) -> Iterator[list[tuple[i
 
 
 def anchors(batch: list[tuple[int, int, bytes]], length: int = LENGTH) -> dict[str, np.ndarray]:
-    """name, block, doc, lo, n: an anchor's name, its block's name, and the windows [lo, lo + n) that it owns."""
+    """name, block, doc_id, lo, off, n: an anchor's name, its block's name, the windows [lo, lo + n) that it owns, and its offset in the first."""
     data = np.frombuffer(b"".join(p for _, _, p in batch), np.uint8)
     sizes = np.array([len(p) for _, _, p in batch])
     ends = np.cumsum(sizes)
@@ -142,7 +145,7 @@ def anchors(batch: list[tuple[int, int, bytes]], length: int = LENGTH) -> dict[s
     piece = np.searchsorted(ends, lo, side="right")
     doc = np.array([d for d, _, _ in batch], np.int64)[piece]
     at = np.array([a for _, a, _ in batch], np.int64)[piece] - begin[piece]
-    return {"name": grams[least[lo]].view(np.int64), "block": names.at(lo, stop + length - 1).view(np.int64), "doc_id": doc, "lo": lo + at, "n": (stop - lo).astype(np.int16)}
+    return {"name": grams[least[lo]].view(np.int64), "block": names.at(lo, stop + length - 1).view(np.int64), "doc_id": doc, "lo": lo + at, "off": least[lo] - lo, "n": stop - lo}
 
 
 def windows(parts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -161,25 +164,24 @@ def windows(parts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tup
     return out[0], out[1]
 
 
-def repeated_runs(group: np.ndarray, document: np.ndarray, lo: np.ndarray, parts: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part, first window, windows) of the runs of windows that also have a strictly smaller start in the group; parts are in order of start, (document, lo)."""
-    one, two = windows(parts, counts, length)
-    part = np.repeat(np.arange(len(parts)), counts)
-    key = _mix(one ^ (group[part].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    order = np.argsort(key, kind="stable")
-    k, t, g = key[order], two[order], group[part][order]
-    same = np.zeros(len(order), bool)
-    same[1:] = (k[1:] == k[:-1]) & (t[1:] == t[:-1]) & (g[1:] == g[:-1])
-    first = np.cumsum(counts) - counts
-    d, at = document[part][order], (np.arange(len(part)) + np.repeat(lo - first, counts))[order]
-    least = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))  # the first of equal windows
-    again = np.zeros(len(order), bool)
-    again[order] = same & ((d > d[least]) | ((d == d[least]) & (at > at[least])))
-    edge = np.zeros(len(again) + 1, bool)
-    edge[first], edge[-1] = True, True
-    start = np.flatnonzero(again & (np.concatenate([[True], ~again[:-1]]) | edge[:-1]))
-    stop = np.flatnonzero(again & (np.concatenate([~again[1:], [True]]) | edge[1:])) + 1
-    return part[start], start - first[part[start]], stop - start
+def ranges(parts: list[bytes], off: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(part, first window, windows, core's name, content's name) of the ranges that the windows of each block are dealt to.
+
+    The windows of range r have the anchor at the offsets edges[r] to edges[r + 1] - 1.
+    """
+    edges = [round((length - GRAM + 1) * r / RANGES) for r in range(RANGES + 1)]
+    sizes = np.array([len(p) for p in parts])
+    begin = np.cumsum(sizes) - sizes
+    names = Names(np.frombuffer(b"".join(parts), np.uint8))
+    out = []
+    for r, (least, most) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        high, low = np.minimum(off, most - 1), np.maximum(off - counts + 1, least)
+        part = np.flatnonzero(high >= low)
+        first, n, anchor = (off - high)[part], (high - low + 1)[part], (begin + off)[part]
+        core = _mix(names.at(anchor - least, anchor + length - (most - 1)) + np.uint64(r))
+        at = begin[part] + first
+        out.append((part, first, n, core, names.at(at, at + n - 1 + length)))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 def covered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[DataFrame]]:
@@ -202,21 +204,37 @@ def covered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
 
     def places(batches):
         for a in found(batches):
-            yield pa.RecordBatch.from_pydict({"name": a["name"], "block": a["block"], "doc_id": a["doc_id"], "twin": a["twin"], "run": a["lo"] << 8 | a["n"]})
+            yield pa.RecordBatch.from_pydict({"name": a["name"], "block": a["block"], "doc_id": a["doc_id"], "twin": a["twin"], "run": a["lo"] << 14 | a["off"] << 7 | a["n"]})
 
     long = docs.filter(F.octet_length("data") >= length)
     # round 1: names alone travel first, so that places of unique names never do more than meet the repeated ones
     repeated = released(long.mapInArrow(names, "name long, times long").groupBy("name").agg(F.sum("times").alias("times")).filter("times > 1").select("name"), "repeat-names")
     kept = long.mapInArrow(places, "name long, block long, doc_id long, twin long, run long").join(repeated, "name", "left_semi")
     places_table = released(kept, "repeat-places")
-    kept = places_table.select("name", "block", "doc_id", "twin", F.shiftright("run", 8).alias("lo"), F.col("run").bitwiseAND(F.lit(255)).alias("n"))
+    discard(repeated)
+    bits = lambda shift: F.shiftright("run", shift).bitwiseAND(F.lit(127))
+    kept = places_table.select("name", "block", "doc_id", "twin", F.shiftright("run", 14).alias("lo"), bits(7).alias("off"), bits(0).alias("n"))
     start = F.struct("doc_id", "twin", "lo")
+
+    def first_and_last(rows, keys, more):
+        """The first place of equals, with what goes with it, and the last."""
+        return rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "twin", "lo", *more)).alias("first"), F.max(start).alias("last")).select(*keys, F.struct("first.doc_id", "first.twin", "first.lo").alias("first"), "last", *[f"first.{c}" for c in more])
+
+    def later(rows, firsts, keys):
+        """Byte ranges of the rows whose equals start earlier."""
+        again = firsts.filter("first < last").select(*keys, "first")
+        return rows.join(again, keys).filter(start > F.col("first")).select("doc_id", "twin", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
+
+    def undecided(firsts, name):
+        """First places of what shares a name with something different."""
+        many = firsts.groupBy(name).agg(F.count("*").alias("_n")).filter("_n > 1").select(name)
+        return firsts.join(many, name, "left_semi")
+
     # round 2
-    blocks = released(kept.groupBy("name", "block", "n").agg(F.min(start).alias("first"), F.max(start).alias("last")), "repeat-blocks")
-    again = blocks.filter("first < last").select("name", "block", "n", "first")
-    whole = kept.join(again, ["name", "block", "n"]).filter(start > F.col("first")).select("doc_id", "twin", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
-    many = blocks.groupBy("name").agg(F.count("*").alias("blocks")).filter("blocks > 1")
-    left = blocks.join(many, "name").select("first.doc_id", "first.twin", "first.lo", "n", "name", (F.col("blocks") > MOST_BLOCKS).alias("large")).groupBy("doc_id", "twin").agg(F.collect_list(F.struct("lo", "n", "name", "large")).alias("runs"))
+    blocks = released(first_and_last(kept, ["name", "block", "n"], ["off"]), "repeat-blocks")
+    whole = released(later(kept, blocks, ["name", "block", "n"]), "repeat-found")
+    discard(places_table)
+    left = undecided(blocks, "name").select("first.doc_id", "first.twin", "first.lo", "n", "off").groupBy("doc_id", "twin").agg(F.collect_list(F.struct("lo", "n", "off")).alias("runs"))
 
     def cut(batches):
         for b in batches:
@@ -224,59 +242,46 @@ def covered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
                 data = data.as_buffer()
                 for i in range(0, len(runs), 4096):
                     part = runs[i : i + 4096]
-                    yield pa.RecordBatch.from_pydict({"name": [r["name"] for r in part], "doc_id": pa.array([doc] * len(part), pa.int64()), "twin": pa.array([twin] * len(part), pa.int64()), "lo": [r["lo"] for r in part], "n": pa.array([r["n"] for r in part], pa.int64()), "large": [r["large"] for r in part], "bytes": pa.array([data[r["lo"] : r["lo"] + r["n"] - 1 + length].to_pybytes() for r in part], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc] * len(part), pa.int64()), "twin": pa.array([twin] * len(part), pa.int64()), "block": pa.array([r["lo"] for r in part], pa.int64()), "n": pa.array([r["n"] for r in part], pa.int64()), "off": pa.array([r["off"] for r in part], pa.int64()), "bytes": pa.array([data[r["lo"] : r["lo"] + r["n"] - 1 + length].to_pybytes() for r in part], pa.binary())})
 
-    # round 3: a block's bytes travel once, not once for each of its windows or each repeated row
+    # a block's bytes travel once, not once for each of its windows or each repeated row
     once = long.dropDuplicates(["doc_id", "twin"])
-    contents = released(once.join(left, ["doc_id", "twin"]).select("doc_id", "twin", "data", "runs").mapInArrow(cut, "name long, doc_id long, twin long, lo long, n long, large boolean, bytes binary"), "repeat-contents")
-
-    def settle(batches):
-        """Rows come ordered by name and start; a name's rows may go over several batches."""
-        held = None
-        for b in _with_end(batches):
-            table = b if held is None else held if b is None else pa.concat_tables([held, b])
-            held = None
-            if table is None or not len(table):
-                continue
-            name = table["name"].to_numpy()
-            if b is not None:  # the last name may go on
-                stop = int(np.flatnonzero(name != name[-1])[-1]) + 1 if (name != name[-1]).any() else 0
-                held, table, name = table.slice(stop), table.slice(0, stop), name[:stop]
-            lo, doc, twin, n = (table[c].to_numpy() for c in ("lo", "doc_id", "twin", "n"))
-            document = np.cumsum(np.append(False, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1])))
-            bytes_ = table["bytes"].to_pylist()
-            a = 0
-            while a < len(name):
-                e = min(len(name), a + 8192)
-                if e < len(name):  # to the end of a name
-                    e += int((name[e:] == name[e - 1]).argmin()) if (name[e:] != name[e - 1]).any() else len(name) - e
-                part, first, count = repeated_runs(name[a:e].view(np.uint64), document[a:e], lo[a:e], bytes_[a:e], n[a:e], length)
-                at = lo[a:e][part] + first
-                yield pa.RecordBatch.from_pydict({"doc_id": doc[a:e][part], "twin": twin[a:e][part], "start": at, "end": at + count - 1 + length})
-                a = e
+    contents = released(once.join(left, ["doc_id", "twin"]).select("doc_id", "twin", "data", "runs").mapInArrow(cut, "doc_id long, twin long, block long, n long, off long, bytes binary"), "repeat-contents")
+    discard(blocks)
 
-    def spread(batches):
+    def deal(batches):
         for b in batches:
             for i in range(0, b.num_rows, 4096):
-                part = b.slice(i, 4096)
-                n = part.column(3).to_numpy()
-                one, two = windows(part.column(4).to_pylist(), n, length)
-                inside = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_pydict({"one": one.view(np.int64), "two": two.view(np.int64), "doc_id": np.repeat(part.column(0).to_numpy(), n), "twin": np.repeat(part.column(1).to_numpy(), n), "lo": np.repeat(part.column(2).to_numpy(), n) + inside})
-
-    ordered = contents.filter("not large").select("name", "doc_id", "twin", "lo", "n", "bytes").repartition("name").sortWithinPartitions("name", "doc_id", "twin", "lo")
-    near = ordered.mapInArrow(settle, "doc_id long, twin long, start long, end long")
-    # names with very many different blocks are settled window by window, over all tasks
-    named = contents.filter("large").select("doc_id", "twin", "lo", "n", "bytes").mapInArrow(spread, "one long, two long, doc_id long, twin long, lo long")
-    firsts = named.groupBy("one", "two").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter("first < last").select("one", "two", "first")
-    single = named.join(firsts, ["one", "two"]).filter(start > F.col("first")).select("doc_id", "twin", F.col("lo").alias("start"), (F.col("lo") + length).alias("end"))
-    return whole.unionByName(near).unionByName(single), [repeated, places_table, blocks, contents]
+                doc, twin, block, n, off = (c.to_numpy() for c in b.slice(i, 4096).columns[:5])
+                part, first, windows_, core, content = ranges(b.column(5).slice(i, 4096).to_pylist(), off, n, length)
+                yield pa.RecordBatch.from_pydict({"core": core.view(np.int64), "content": content.view(np.int64), "n": windows_, "doc_id": doc[part], "twin": twin[part], "lo": block[part] + first, "block": block[part]})
+
+    # round 3
+    parts = released(contents.mapInArrow(deal, "core long, content long, n long, doc_id long, twin long, lo long, block long"), "repeat-ranges")
+    firsts = released(first_and_last(parts, ["core", "content", "n"], ["block"]), "repeat-cores")
+    in_part = released(later(parts, firsts, ["core", "content", "n"]), "repeat-found")
+    discard(parts)
+    runs = undecided(firsts, "core").groupBy("first.doc_id", "first.twin", "block").agg(F.collect_list(F.struct("first.lo", "n")).alias("runs"))
+    texts = contents.join(runs, ["doc_id", "twin", "block"]).select("doc_id", "twin", "block", "runs", "bytes")
 
+    def spread(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                c = b.slice(i, 2048)
+                doc, twin, block = (c.column(k).to_numpy() for k in range(3))
+                rows = [(k, r["lo"], r["n"]) for k, got in enumerate(c.column(3).to_pylist()) for r in got]
+                of, lo, n = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+                data = c.column(4).to_pylist()
+                at = lo - block[of]
+                one, two = windows([data[k][a : a + m - 1 + length] for k, a, m in zip(of.tolist(), at.tolist(), n.tolist(), strict=True)], n, length)
+                inside = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_pydict({"one": one.view(np.int64), "two": two.view(np.int64), "doc_id": np.repeat(doc[of], n), "twin": np.repeat(twin[of], n), "lo": np.repeat(lo, n) + inside, "n": np.ones(len(one), np.int64)})
 
-def _with_end(batches):
-    for b in batches:
-        yield pa.Table.from_batches([b])
-    yield None
+    # round 4
+    single = released(texts.mapInArrow(spread, "one long, two long, doc_id long, twin long, lo long, n long"), "repeat-windows")
+    discard(contents, firsts)
+    alone = later(single, first_and_last(single, ["one", "two"], []), ["one", "two"])
+    return whole.unionByName(in_part).unionByName(alone), [whole, in_part, single]
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -336,12 +341,9 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     a text that was wholly covered becomes empty, and a null text stays null.
     """
 
-    @F.udf("string")
-    def drop(text, ranges):
-        if text is None or not ranges:
-            return text
+    def cut(text: str, runs: list) -> str:
         data, out, at = text.encode(), [], 0
-        for s, e in merge([(r["start"], r["end"]) for r in ranges]):
+        for s, e in merge([(r["start"], r["end"]) for r in runs]):
             while s < len(data) and data[s] & 0xC0 == 0x80:
                 s += 1
             while e < len(data) and e > s and data[e] & 0xC0 == 0x80:
@@ -351,11 +353,15 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 at = e
         return b"".join([*out, data[at:]]).decode()
 
+    @F.pandas_udf("string")
+    def drop(text: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or r is None else cut(t, r) for t, r in zip(text, runs, strict=True)], dtype=object)
+
     spans = _spans(docs, length).withColumnsRenamed({"doc_id": "_d", "twin": "_t"})
     doc, twin, _ = _key(docs)
     rows = docs.join(spans, (doc == F.col("_d")) & (twin == F.col("_t")), "left")
     changed = F.col("ranges").isNotNull()
-    rows = rows.withColumn("text", F.when(changed, drop("text", "ranges")).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(changed, drop(F.when(changed, F.col("text")), F.col("ranges"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
