@@ -216,25 +216,26 @@ def covered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
     kept = places_table.select("name", "block", "doc_id", "twin", F.shiftright("run", 14).alias("lo"), bits(7).alias("off"), bits(0).alias("n"))
     start = F.struct("doc_id", "twin", "lo")
 
-    def first_and_last(rows, keys, more):
-        """The first place of equals, with what goes with it, and the last."""
-        return rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "twin", "lo", *more)).alias("first"), F.max(start).alias("last")).select(*keys, F.struct("first.doc_id", "first.twin", "first.lo").alias("first"), "last", *[f"first.{c}" for c in more])
+    def first_places(rows, keys, more):
+        """The first place of equals, with what goes with it, and how many there are."""
+        return rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "twin", "lo", *more)).alias("first"), F.count("*").alias("times")).select(*keys, F.struct("first.doc_id", "first.twin", "first.lo").alias("first"), "times", *[f"first.{c}" for c in more])
 
     def later(rows, firsts, keys):
         """Byte ranges of the rows whose equals start earlier."""
-        again = firsts.filter("first < last").select(*keys, "first")
+        again = firsts.filter("times > 1").select(*keys, "first")
         return rows.join(again, keys).filter(start > F.col("first")).select("doc_id", "twin", F.col("lo").alias("start"), (F.col("lo") + F.col("n") - 1 + length).alias("end"))
 
     def undecided(firsts, name):
-        """First places of what shares a name with something different."""
-        many = firsts.groupBy(name).agg(F.count("*").alias("_n")).filter("_n > 1").select(name)
-        return firsts.join(many, name, "left_semi")
+        """First places of what shares a name with something different, and a table that they draw on."""
+        many = released(firsts.groupBy(name).agg(F.count("*").alias("_n")).filter("_n > 1").select(name), "repeat-shared")
+        return firsts.join(many, name, "left_semi"), many
 
     # round 2
-    blocks = released(first_and_last(kept, ["name", "block", "n"], ["off"]), "repeat-blocks")
+    blocks = released(first_places(kept, ["name", "block", "n"], ["off"]), "repeat-blocks")
     whole = released(later(kept, blocks, ["name", "block", "n"]), "repeat-found")
     discard(places_table)
-    left = undecided(blocks, "name").select("first.doc_id", "first.twin", "first.lo", "n", "off").groupBy("doc_id", "twin").agg(F.collect_list(F.struct("lo", "n", "off")).alias("runs"))
+    left, many = undecided(blocks, "name")
+    left = left.select("first.doc_id", "first.twin", "first.lo", "n", "off").groupBy("doc_id", "twin").agg(F.collect_list(F.struct("lo", "n", "off")).alias("runs"))
 
     def cut(batches):
         for b in batches:
@@ -247,7 +248,7 @@ def covered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
     # a block's bytes travel once, not once for each of its windows or each repeated row
     once = long.dropDuplicates(["doc_id", "twin"])
     contents = released(once.join(left, ["doc_id", "twin"]).select("doc_id", "twin", "data", "runs").mapInArrow(cut, "doc_id long, twin long, block long, n long, off long, bytes binary"), "repeat-contents")
-    discard(blocks)
+    discard(blocks, many)
 
     def deal(batches):
         for b in batches:
@@ -258,10 +259,11 @@ def covered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
 
     # round 3
     parts = released(contents.mapInArrow(deal, "core long, content long, n long, doc_id long, twin long, lo long, block long"), "repeat-ranges")
-    firsts = released(first_and_last(parts, ["core", "content", "n"], ["block"]), "repeat-cores")
+    firsts = released(first_places(parts, ["core", "content", "n"], ["block"]), "repeat-cores")
     in_part = released(later(parts, firsts, ["core", "content", "n"]), "repeat-found")
     discard(parts)
-    runs = undecided(firsts, "core").groupBy("first.doc_id", "first.twin", "block").agg(F.collect_list(F.struct("first.lo", "n")).alias("runs"))
+    left, many = undecided(firsts, "core")
+    runs = left.groupBy("first.doc_id", "first.twin", "block").agg(F.collect_list(F.struct("first.lo", "n")).alias("runs"))
     texts = contents.join(runs, ["doc_id", "twin", "block"]).select("doc_id", "twin", "block", "runs", "bytes")
 
     def spread(batches):
@@ -279,8 +281,8 @@ def covered(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
 
     # round 4
     single = released(texts.mapInArrow(spread, "one long, two long, doc_id long, twin long, lo long, n long"), "repeat-windows")
-    discard(contents, firsts)
-    alone = later(single, first_and_last(single, ["one", "two"], []), ["one", "two"])
+    discard(contents, firsts, many)
+    alone = later(single, first_places(single, ["one", "two"], []), ["one", "two"])
     return whole.unionByName(in_part).unionByName(alone), [whole, in_part, single]
 
 
