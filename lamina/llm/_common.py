@@ -17,9 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset and the session is local."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     at = f"file://{tempfile.mkdtemp(prefix='lamina-shared-')}"
     atexit.register(shutil.rmtree, at[7:], ignore_errors=True)
     spark.sparkContext.setCheckpointDir(at)
@@ -31,10 +33,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lamina/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, options: dict | None = None) -> DataFrame:
     """The same rows, reread from Parquet in the shared folder: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.lamina_path = path
     return out

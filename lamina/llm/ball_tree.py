@@ -1,7 +1,7 @@
 """Exact top-k by inner product: ball-tree branch and bound in each shard.
 
-A node's upper bound is the query's product with its centre plus the query's length times its
-radius. First every shard answers from its most promising leaf; the k-th best score over all shards
+Each shard's tree is built once and written. A node's upper bound is the query's product with its
+centre plus the query's length times its radius. First every shard answers from its most promising leaf; the k-th best score over all shards
 is a lower bound that all shards share in the second pass, where nodes are taken in the order of
 their bounds until the bound falls below the current k-th score.
 
@@ -11,8 +11,9 @@ go to the smaller vec_id.
 Edge cases: vectors that are null, empty or hold null, NaN or infinite components take no part, nor
 those with a component that is no double once it is scaled; zero vectors do; products are exact, and
 one that leaves 64 bits scores as the nearest 64-bit number;
-rows with the query's own vec_id are no candidates for it; vectors of different sizes do not meet;
-a null vec_id takes no part; an empty table gives an empty result; other columns are ignored.
+rows with the query's own vec_id are no candidates for it; of query rows that share a vec_id the least
+vector asks, once; every row is a candidate, also where rows share a vec_id; vectors of different
+sizes do not meet; a null vec_id takes no part; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm._common import written
-from lamina.llm.vectors import by_shard, finite, matrix, ranked
+from lamina.llm.vectors import finite, indexed, matrix, one_each, ranked, searched, usable_rows
 
 LEAF = 64
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
@@ -56,12 +57,19 @@ class BallTree:
             part = np.argpartition(along, mid)
             self.order[a:b] = self.order[a:b][part]
             stack += [(a, a + mid, node, 0), (a + mid, b, node, 1)]
-        self.lo, self.hi, self.kids = np.array(lo), np.array(hi), kids
+        self.lo, self.hi, self.kids = np.array(lo), np.array(hi), np.array(kids)
         self.x = x[self.order]
         self.centre = np.stack([self.x[a:b].mean(axis=0) for a, b in zip(lo, hi, strict=True)])
-        self.most = [float(np.abs(self.x[a:b]).max()) for a, b in zip(lo, hi, strict=True)]
+        self.most = np.array([np.abs(self.x[a:b]).max() for a, b in zip(lo, hi, strict=True)])
         self.radius = np.array([np.sqrt(((self.x[a:b] - c) ** 2).sum(axis=1).max()) for a, b, c in zip(lo, hi, self.centre, strict=True)])
 
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> BallTree:
+        """The tree whose `vars` were written."""
+        tree = cls.__new__(cls)
+        tree.__dict__.update(arrays)
+        return tree
+
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """Upper bound of each query's product in each node, rounded up."""
         length = np.sqrt((q * q).sum(axis=1))
@@ -86,7 +94,7 @@ class BallTree:
                         heapq.heappush(heap, (-bound[c], c))
                 continue
             a, e = self.lo[node], self.hi[node]
-            s = products(self.x[a:e], q, self.most[node] * largest * len(q))
+            s = products(self.x[a:e], q, float(self.most[node]) * largest * len(q))
             i = ids[self.order[a:e]]
             ok = (s >= kth) & (i != own)
             if ok.any():
@@ -116,25 +124,24 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
     # doubles from 2**52 are whole already
     floor = lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)
     whole = F.transform("embedding", lambda x: floor(F.lit(float(scale)) * x.cast("double")))
-    rows = written(vectors.filter(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select("vec_id", whole.alias("v")).filter(finite(F.col("v"))), "ball-rows")
-    queries = rows.filter(is_query)
+    rows = usable_rows(vectors.filter(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).select("vec_id", whole.alias("v")).filter(finite(F.col("v"))), k, "ball-rows")
+    queries = one_each(rows.filter(is_query))
+    index = indexed(rows, lambda x, ids: vars(BallTree(x)) | {"ids": ids}, "ball-trees")
 
-    def run(left: pa.Table, right: pa.Table, first: bool):
+    def run(arrays: dict[str, np.ndarray], right: pa.Table, first: bool):
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            x, q = matrix(left["v"]), matrix(right["v"])
-            tree, ids = BallTree(x), left["vec_id"].to_numpy()
-            floors = [_LOW] * len(q) if first else [_LOW if f is None else f for f in right["at_least"].to_pylist()]
-            for at in range(0, len(q), 1024):
-                for b, one, own, low in zip(tree.bounds(q[at : at + 1024]), q[at : at + 1024], right["vec_id"].to_pylist()[at : at + 1024], floors[at : at + 1024], strict=True):
-                    i, s = tree.search(one, b, k, ids, own, low, first)
-                    out["query_id"] += [own] * len(i)
-                    out["vec_id"] += i.tolist()
-                    out["score"] += s.tolist()
+        q, ids = matrix(right["v"]), arrays.pop("ids")
+        tree = BallTree.of(arrays)
+        floors = [_LOW] * len(q) if first else [_LOW if f is None else f for f in right["at_least"].to_pylist()]
+        for at in range(0, len(q), 1024):
+            for b, one, own, low in zip(tree.bounds(q[at : at + 1024]), q[at : at + 1024], right["vec_id"].to_pylist()[at : at + 1024], floors[at : at + 1024], strict=True):
+                i, s = tree.search(one, b, k, ids, own, low, first)
+                out["query_id"] += [own] * len(i)
+                out["vec_id"] += i.tolist()
+                out["score"] += s.tolist()
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
     schema = "query_id long, vec_id long, score long"
-    opening = ranked(by_shard(rows, queries, lambda a, b: run(a, b, True), schema), k)
+    opening = ranked(searched(index, queries, lambda a, b: run(a, b, True), schema), k)
     shared = written(opening.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("at_least")), "ball-floors")
-    queries = queries.join(shared.groupBy("vec_id").agg(F.max("at_least").alias("at_least")), "vec_id", "left")
-    return ranked(by_shard(rows, queries, lambda a, b: run(a, b, False), schema), k)
+    return ranked(searched(index, queries.join(shared, "vec_id", "left"), lambda a, b: run(a, b, False), schema), k)

@@ -10,9 +10,16 @@ All vectors of a batch advance together as arrays.
 Largest inner products become smallest distances by one more coordinate, which gives all of a
 shard's vectors the same length. Equal vectors of a shard are one node with many ids.
 
+How wide a beam must be depends on the data, so each shard is asked for the neighbours of some of its
+own vectors (ASKED of them, with exact answers by product), and its beam doubles until they are found
+to RECALL; at its widest it holds every node. Only this width comes from a sample: every row is in a
+graph. On 20,000 Gaussian vectors of 64 dimensions, the hardest case, that is a beam of 1,024.
+
 Edge cases: vectors that are null, empty, zero or hold null, NaN or infinite components take no
-part; rows with the query's own vec_id are no candidates for it; vectors of different sizes do not
-meet; a null vec_id takes no part; an empty table gives an empty result; other columns are ignored.
+part; rows with the query's own vec_id are no candidates for it; of query rows that share a vec_id the
+least vector asks, once; every row is a candidate, also where rows share a vec_id; scores are summed in
+a fixed order, so equal vectors score alike in all shards; vectors of different sizes do not meet; a
+null vec_id takes no part; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm._common import written
-from lamina.llm.vectors import by_shard, finite, matrix, ranked
+from lamina.llm.vectors import finite, indexed, matrix, one_each, ranked, searched, usable_rows
 
-DEGREE, BEAM, ALPHA, BATCH = 32, 64, 1.2, 256
+DEGREE, BEAM, ALPHA, BATCH = 48, 96, 1.05, 256
+#: Nodes that a search expands at once.
+WIDE = 4
+#: Own vectors that a shard's beam is fitted on, and the share of their neighbours to be found.
+ASKED, RECALL = 128, 0.95
 
 
 class Graph:
@@ -46,49 +56,41 @@ class Graph:
             size = min(size * 2, BATCH)
         self._connect()
 
-    def search(self, q: np.ndarray, beam: int, visited: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest nodes found and squared distances, nearest first (-1 pads); or all nodes that were expanded."""
-        b, n = len(q), len(self.x)
-        seen = np.zeros((b, n), bool)
+    def search(self, q: np.ndarray, beam: int, visited: bool = False) -> np.ndarray:
+        """Nearest nodes found, nearest first (-1 pads); or all nodes that were expanded."""
+        b, width = len(q), min(WIDE, beam)
+        seen = np.zeros((b, len(self.x)), bool)
         ids = np.full((b, beam), -1, np.int32)
-        dist = np.full((b, beam), np.inf, np.float32)
+        dist = np.full((b, beam), np.inf, np.float32)  # less the query's own square, which is the same for all nodes
         open_ = np.zeros((b, beam), bool)
-        qn = (q * q).sum(axis=1)
-        ids[:, 0] = self.start
-        dist[:, 0] = qn - 2 * (q @ self.x[self.start]) + self.norm[self.start]
-        open_[:, 0] = True
-        seen[:, self.start] = True
-        all_rows = np.arange(b)
-        taken_ids, taken_dist = [], []
-        while True:
-            rows = all_rows[open_.any(axis=1)]
-            if not len(rows):
-                break
-            best = np.where(open_[rows], dist[rows], np.inf).argmin(axis=1)
-            node = ids[rows, best]
+        ids[:, 0], open_[:, 0], seen[:, self.start] = self.start, True, True
+        dist[:, 0] = self.norm[self.start] - 2 * (q @ self.x[self.start])
+        rows, taken = np.arange(b), []
+        while len(rows := rows[open_[rows].any(axis=1)]):
+            r = np.arange(len(rows))[:, None]
+            waiting = np.where(open_[rows], dist[rows], np.inf)
+            pick = np.argpartition(waiting, width - 1, axis=1)[:, :width]
+            node = np.where(np.isfinite(waiting[r, pick]), ids[rows[:, None], pick], -1)
+            open_[rows[:, None], pick] = False
             if visited:
-                t, d = np.full(b, -1, np.int32), np.full(b, np.inf, np.float32)
-                t[rows], d[rows] = node, dist[rows, best]
-                taken_ids.append(t)
-                taken_dist.append(d)
-            open_[rows, best] = False
-            near = self.edges[node]
+                taken.append(np.full((b, width), -1, np.int32))
+                taken[-1][rows] = node
+            near = np.where(node[:, :, None] < 0, -1, self.edges[np.maximum(node, 0)]).reshape(len(rows), -1)
+            near = np.sort(near, axis=1)
             known = (near < 0) | seen[rows[:, None], near]
-            seen[rows[:, None], np.where(near < 0, node[:, None], near)] = True
-            safe = np.where(near < 0, 0, near)
-            d = qn[rows, None] - 2 * np.einsum("bd,brd->br", q[rows], self.x[safe]) + self.norm[safe]
-            d[known] = np.inf
-            all_ids = np.concatenate([ids[rows], near], axis=1)
-            all_dist = np.concatenate([dist[rows], d], axis=1)
-            all_open = np.concatenate([open_[rows], ~known], axis=1)
-            keep = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
-            r = np.arange(len(rows))[:, None]
+            known[:, 1:] |= near[:, 1:] == near[:, :-1]
+            of, at = np.nonzero(~known)
+            new = near[of, at]
+            seen[rows[of], new] = True
+            d = np.full(near.shape, np.inf, np.float32)
+            d[of, at] = self.norm[new] - 2 * np.einsum("nd,nd->n", q[rows[of]], self.x[new])
+            all_ids, all_dist, all_open = np.concatenate([ids[rows], near], axis=1), np.concatenate([dist[rows], d], axis=1), np.concatenate([open_[rows], ~known], axis=1)
+            keep = np.argpartition(all_dist, beam - 1, axis=1)[:, :beam]
             ids[rows], dist[rows], open_[rows] = all_ids[r, keep], all_dist[r, keep], all_open[r, keep]
-            open_[rows] &= np.isfinite(dist[rows])
         if visited:
-            return np.stack(taken_ids, 1), np.stack(taken_dist, 1)
+            return np.concatenate(taken, axis=1)
         ids[~np.isfinite(dist)] = -1
-        return ids, dist
+        return np.take_along_axis(ids, np.argsort(dist, axis=1, kind="stable"), axis=1)
 
     def prune(self, nodes: np.ndarray, cand: np.ndarray) -> np.ndarray:
         """The kept neighbours of each node among its candidates (rows of ids; -1 pads)."""
@@ -132,7 +134,7 @@ class Graph:
     def _connect(self, most: int = 8) -> None:
         """Links every node that pruning has cut off from its nearest reachable node, beyond the degree."""
         while len(lost := np.flatnonzero(~self.reached())):
-            host = np.concatenate([self.search(self.x[lost[i : i + BATCH]], self.beam)[0][:, 0] for i in range(0, len(lost), BATCH)])
+            host = np.concatenate([self.search(self.x[lost[i : i + BATCH]], self.beam)[:, 0] for i in range(0, len(lost), BATCH)])
             order = np.argsort(host, kind="stable")
             host, lost = host[order], lost[order]
             nth = np.arange(len(host)) - np.searchsorted(host, host)
@@ -142,7 +144,7 @@ class Graph:
             self.edges = np.concatenate([self.edges, extra], axis=1)
 
     def _insert(self, new: np.ndarray) -> None:
-        cand, _ = self.search(self.x[new], self.beam, visited=True)
+        cand = self.search(self.x[new], self.beam, visited=True)
         beside = np.broadcast_to(new, (len(new), len(new)))[:, : self.degree] if len(new) <= self.degree else None
         self.edges[new] = self.prune(new, cand if beside is None else np.concatenate([cand, beside], axis=1))
         src, at = np.nonzero(self.edges[new] >= 0)
@@ -165,27 +167,44 @@ class Graph:
             self.edges[some] = kept
 
 
-def search_shard(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, vec_ids, exact products) of the k best found for each query."""
+def build(x: np.ndarray, ids: np.ndarray, k: int, recall: float = RECALL) -> dict[str, np.ndarray]:
+    """A shard's index: distinct vectors, the ids of each, their graph, and the beam that finds the k nearest."""
     sort = np.argsort(ids, kind="stable")
     x, ids = x[sort], ids[sort]
     distinct, node = np.unique(x, axis=0, return_inverse=True)
-    node = node.ravel()
-    by = np.argsort(node, kind="stable")
-    begin = np.searchsorted(node[by], np.arange(len(distinct) + 1))
+    by = np.argsort(node.ravel(), kind="stable")
+    begin = np.searchsorted(node.ravel()[by], np.arange(len(distinct) + 1))
     length = (distinct**2).sum(axis=1)
     more = np.sqrt(np.maximum(length.max() - length, 0))
     graph = Graph(np.concatenate([distinct, more[:, None]], axis=1).astype(np.float32))
-    beam = max(beam, 2 * k)
+    asked = np.random.default_rng(17).permutation(len(distinct))[:ASKED]
+    true = np.argpartition(-(distinct[asked] @ distinct.T), min(k, len(distinct) - 1), axis=1)[:, : k + 1]
+    beam = min(max(64, 2 * k), len(distinct))
+    while beam < len(distinct):
+        found = graph.search(_asking(distinct[asked]), beam)[:, : k + 1]
+        if np.mean([len(np.intersect1d(t, f)) / len(t) for t, f in zip(true, found, strict=True)]) >= recall:
+            break
+        beam = min(2 * beam, len(distinct))
+    return {"x": distinct, "graph": graph.x, "edges": graph.edges, "start": np.array(graph.start), "beam": np.array(beam), "ids": ids[by], "begin": begin}
+
+
+def _asking(q: np.ndarray) -> np.ndarray:
+    return np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
+
+
+def search_shard(index: dict[str, np.ndarray], q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, vec_ids, exact products) of the k best found for each query."""
+    graph, x, ids, begin = Graph.__new__(Graph), index["x"], index["ids"], index["begin"]
+    graph.x, graph.edges, graph.start = index["graph"], index["edges"], int(index["start"])
+    graph.norm = (graph.x * graph.x).sum(axis=1)
     out_q, out_id, out_s = [], [], []
     for at in range(0, len(q), BATCH):
         part = q[at : at + BATCH]
-        found, _ = graph.search(np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32), beam)
-        for row, one, me in zip(found, part, own[at : at + BATCH], strict=True):
+        for row, one, me in zip(graph.search(_asking(part), int(index["beam"])), part, own[at : at + BATCH], strict=True):
             nodes = row[row >= 0]
-            score = distinct[nodes] @ one
+            score = (x[nodes] * one).sum(axis=1)
             # of equal vectors only the smallest ids can be among the k best
-            got = [by[begin[n] : min(begin[n + 1], begin[n] + k + 1)] for n in nodes]
+            got = [np.arange(begin[n], min(begin[n + 1], begin[n] + k + 1)) for n in nodes]
             i, s = ids[np.concatenate(got)], np.repeat(score, [len(g) for g in got])
             s, i = s[i != me], i[i != me]
             best = np.lexsort((i, -s))[:k]
@@ -198,11 +217,11 @@ def search_shard(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray,
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by largest inner product. vectors: vec_id, embedding."""
     usable = F.col("vec_id").isNotNull() & finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
-    rows = written(vectors.filter(usable).select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "graph-rows")
+    rows = usable_rows(vectors.filter(usable).select("vec_id", F.col("embedding").cast("array<double>").alias("v")), k, "graph-rows")
+    index = indexed(rows, lambda x, ids: build(x, ids, k), "graphs")
 
-    def run(left: pa.Table, right: pa.Table):
-        empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        got = search_shard(matrix(left["v"]), left["vec_id"].to_numpy(), matrix(right["v"]), right["vec_id"].to_numpy(), k) if len(left) and len(right) else empty
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
+    def run(arrays: dict[str, np.ndarray], right: pa.Table):
+        q, i, s = search_shard(arrays, matrix(right["v"]), right["vec_id"].to_numpy(), k)
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    return ranked(by_shard(rows, rows.filter(is_query), run, "query_id long, vec_id long, score double"), k)
+    return ranked(searched(index, one_each(rows.filter(is_query)), run, "query_id long, vec_id long, score double"), k)

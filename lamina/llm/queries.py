@@ -56,5 +56,17 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_token_blocks, op2_crf_quality, op3_pruned_graph, op4_jump_sharding, op5_curriculum_mix, op6_ball_tree, op7_suffix_dedup, op8_byte_bpe, op9_circulant_minhash, op10_warc_salvage)}
 
 
+#: A vector takes part if it has components, all of them finite.
+FINITE = "vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0"
+
+OP6 = f"""
+with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where {FINITE}),
+q as (select vec_id, min(v) as v from e where vec_id % 50 = 0 group by vec_id),
+s as (select q.vec_id as query_id, e.vec_id, cast(list_inner_product(q.v, e.v) as bigint) as score from q join e on e.vec_id <> q.vec_id and len(e.v) = len(q.v)),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express; tests/llm compares the others with brute force."""
+    return {"op6_ball_tree": OP6}

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.llm import ball_tree, crf_quality, graph_ann, queries
+from lamina.llm import vectors as vectors_module
 
 DIR = "/root/testdata/sf0.01"
 
@@ -131,10 +132,31 @@ def test_graph_is_connected_and_without_repeats():
 
 def test_graph_of_equal_vectors():
     x = np.ones((500, 4))
-    q, ids, s = graph_ann.search_shard(x, np.arange(500), x[:2], np.array([0, 1]), 20)
+    q, ids, s = graph_ann.search_shard(graph_ann.build(x, np.arange(500), 20), x[:2], np.array([0, 1]), 20)
     assert ids[q == 0].tolist() == list(range(1, 21)) and ids[q == 1].tolist() == [0, *range(2, 21)] and (s == 4).all()
 
 
+def test_graph_recall_in_a_full_shard():
+    """A shard of its full size, of Gaussian vectors."""
+    n = vectors_module.SHARD_ROWS
+    x = np.random.default_rng(1).normal(size=(n, 64))
+    own = np.random.default_rng(2).choice(n, 200, replace=False)
+    index = vectors_module.unpacked(vectors_module.packed(graph_ann.build(x, np.arange(n), 20)))
+    q, ids, _ = graph_ann.search_shard(index, x[own], own, 20)
+    s = x[own] @ x.T
+    s[np.arange(200), own] = -np.inf
+    true = np.argsort(-s, axis=1)[:, :20]
+    assert np.mean([len(np.intersect1d(t, ids[q == i])) / 20 for i, t in zip(own, true, strict=True)]) >= 0.9
+
+
+@pytest.mark.parametrize("search", [lambda d, k: ball_tree.top_k(d, F.col("vec_id") % 50 == 0, k, 1), lambda d, k: graph_ann.nearest(d, F.col("vec_id") % 50 == 0, k)])
+def test_repeated_vec_ids(spark, search):
+    """A query asks once, with its least vector; every other row is a candidate, also where ids repeat."""
+    rows = [(0, [3.0, 1.0]), (0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [5.0, 5.0]), (1, [5.0, 5.0]), (2, [4.0, 4.0]), (3, [1.0, 1.0]), (4, [4.0, 4.0]), (2, [2.0, 1.0])]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 15), (0, 2, 1, 15), (0, 3, 2, 12), (0, 4, 4, 12), (0, 5, 2, 4)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
