@@ -5,15 +5,22 @@
    is coordinate k. A shingle's values at all coordinates are thus one run of the second
    permutation, read in one piece. Equal sets are merged first; the smallest doc_id stands for them.
 2. Signatures are cut in bands (40 of 5: a pair at similarity 0.8 is missed with probability 1.3e-7).
-   Documents that share a band with the smallest of the band are in one coarse group.
-3. All pairs of different texts in a coarse group are compared exactly on full sets, inside tasks,
-   in blocks of bounded size; a task returns only the links of a spanning forest.
+   Every document is compared exactly, on full sets, with the smallest of each band that it shares:
+   as many comparisons at most as it has bands, so a group of n near copies costs n.
+3. A band whose documents are then of several components is settled by the rest of its pairs: those
+   outside its largest component, in blocks, meet all others, in chunks, and links between
+   different components are kept.
 4. Components of the verified links.
 
+Sets are compared as 64-bit hashes of shingles: two different shingles of a pair of texts of n words
+are taken for one with odds of n**2 / 2**64, 5e-12 at 10,000 words.
+
 Edge cases: null, empty and blank texts have an empty set and link with nothing; a text with fewer
-words than a shingle is one shingle; rows with equal doc_id count as one document; a null doc_id
-links with nothing, has no component and is kept; an empty table gives an empty result; very long
-texts are hashed whole; other columns are ignored (`keep_one` returns all of them).
+words than a shingle is one shingle; rows that share a doc_id are documents of their own unless their
+sets are equal; a null doc_id links with nothing, has no component and is kept, as is every row without words; of equals the smallest
+doc_id stands for the group, so ties don't arise; an empty table gives an empty result; very long
+texts are hashed whole; other columns are ignored (`keep_one` returns all of them, and of rows with
+equal doc_id and set the one with the least hash of its text).
 """
 
 from __future__ import annotations
@@ -33,8 +40,8 @@ from lamina.llm.suffix_dedup import Names, _mix
 ROWS, BANDS = 5, 40
 #: Size of the circle, as a power of two.
 CIRCLE = 22
-#: Documents and shingles in one block of the verification, about.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 500_000
+#: Documents and shingles in one block of the verification, about, and documents that it meets at once.
+BLOCK_DOCS, BLOCK_SHINGLES, CHUNK_DOCS = 256, 500_000, 2048
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -109,132 +116,170 @@ def band_keys(signature: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return key
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Pairs (i, j) of a spanning forest of all pairs whose Jaccard similarity is at least percent/100.
-
-    side: if given, only pairs from different sides are compared.
-    """
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    if n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if 100 * both >= percent * (size.sum() - both) and both else []
-    values = np.concatenate(sets)
-    row = np.repeat(np.arange(n), size)
-    order = np.argsort(values, kind="stable")
-    values, row = values[order], row[order]
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    col = np.cumsum(new) - 1
-    shared = np.bincount(col)[col] > 1
-    row, col = row[shared], col[shared]
-    if not len(row):
-        return []
-    new = np.ones(len(col), bool)
-    new[1:] = col[1:] != col[:-1]
-    col = np.cumsum(new) - 1
-    both = np.zeros((n, n), np.float64)
-    for c in range(0, int(col[-1]) + 1, 4096):
-        i, j = np.searchsorted(col, [c, c + 4096])
-        x = np.zeros((n, 4096), np.float32)
-        x[row[i:j], col[i:j] - c] = 1
-        both += x @ x.T
-    ok = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1) & (both > 0)
-    if side is not None:
-        ok &= side[:, None] != side[None, :]
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(ok), strict=True):
-        a, b = find(int(i)), find(int(j))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((int(i), int(j)))
-    return out
+def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sets have a Jaccard similarity of at least percent/100."""
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(one) + len(two) - both)
+
+
+class Block:
+    """Sets that others are compared with, as a list of their values in order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        self.values, self.row = values[order], np.repeat(np.arange(len(sets)), self.size)[order]
+
+    def near(self, other: np.ndarray, percent: int) -> np.ndarray:
+        """The rows of the block whose similarity with the other set is at least percent/100."""
+        lo, hi = np.searchsorted(self.values, other), np.searchsorted(self.values, other, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.row[at], minlength=len(self.size))
+        return np.flatnonzero((both > 0) & (100 * both >= percent * (self.size + len(other) - both)))
 
 
 def hashed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, one, two (the set's fingerprint), bands."""
+    """doc_id, twin (a hash of the text), n, one, two (the set's fingerprint), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            texts = b.column(2).to_pylist()
             for lo, hi in by_size(texts, 1 << 19):
                 sets = shingle_sets(texts[lo:hi], words)
                 n = np.array([len(s) for s in sets], np.int64)
                 sums = [np.array([_mix(s ^ np.uint64(x)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64) for x in (0, 0x5BD1E995A7C3F10D)]
                 keyed = band_keys(signatures(sets, ROWS * BANDS), ROWS, BANDS).view(np.int64)
                 at = np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys[lo:hi], pa.int64()), "n": n, "one": sums[0], "two": sums[1], "bands": pa.ListArray.from_arrays(pa.array(at), pa.array(keyed.ravel()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(lo, hi - lo), "twin": b.column(1).slice(lo, hi - lo), "n": n, "one": sums[0], "two": sums[1], "bands": pa.ListArray.from_arrays(pa.array(at), pa.array(keyed.ravel()))})
+
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("twin"), text.alias("text")).mapInArrow(run, "doc_id long, twin long, n long, one long, two long, bands array<long>")
+
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, one long, two long, bands array<long>")
+NODE = "struct<doc_id: long, twin: long, n: long>"
+_NODE = pa.struct([("doc_id", pa.int64()), ("twin", pa.int64()), ("n", pa.int64())])
 
 
-def _blocks(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified links a, b from rows (component, i, j, side, doc_id, text), compared block by block."""
+def _links(rows: list[tuple[dict, dict]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in rows], _NODE), "b": pa.array([b for _, b in rows], _NODE)})
 
-    def flush(docs, texts, sides):
-        sets = [x for lo, hi in by_size(texts, 1 << 19) for x in shingle_sets(texts[lo:hi], words)]
-        side = np.array(sides)
-        return [(docs[i], docs[j]) for i, j in linked(sets, side if side.any() else None, percent)] if len(docs) > 1 else []
+
+def _with_centres(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are near copies; rows of one b mostly come together, so its set is made once."""
 
     def run(batches):
-        now, docs, texts, sides, out = None, [], [], [], []
-        for b in batches:
-            for c, i, j, side, doc, text in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if (c, i, j) != now:
-                    out += flush(docs, texts, sides)
-                    now, docs, texts, sides = (c, i, j), [], [], []
-                docs.append(doc)
-                texts.append(text)
-                sides.append(side)
-            if out:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
-                out = []
-        if out := flush(docs, texts, sides):
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+        now, centre = None, None
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                a, b, left, right = (c.to_pylist() for c in part.columns)
+                sets, out = shingle_sets(left, words), []
+                for x, y, one, text in zip(a, b, sets, right, strict=True):
+                    if y != now:
+                        now, centre = y, shingle_sets([text], words)[0]
+                    if similar(one, centre, percent):
+                        out.append((x, y))
+                yield _links(out)
+
+    rows = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "right"}), "b")
+    return rows.select("a", "b", "left", "right").mapInArrow(run, f"a {NODE}, b {NODE}")
+
+
+def _the_rest(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the components of each band. members: key, node, component, of bands that have several."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("_n"), F.sum("node.n").alias("_shingles"))
+    bands = sizes.groupBy("key").agg(F.max(F.struct("_n", "component", "_shingles")).alias("most"), F.sum("_n").alias("all"), F.sum("_shingles").alias("shingles"))
+    blocks = F.greatest(F.ceil((F.col("all") - F.col("most._n")) / BLOCK_DOCS), F.ceil((F.col("shingles") - F.col("most._shingles")) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    bands = bands.select("key", F.col("most.component").alias("most"), blocks.alias("blocks"), F.ceil(F.col("all") / CHUNK_DOCS).cast("int").alias("chunks"))
+    rows = members.join(bands, "key").withColumn("_h", F.xxhash64("node"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block, chunk = F.pmod("_h", "blocks").cast("int"), F.pmod("_h", "chunks").cast("int")
+    asking = rows.filter("component != most").select("key", block.alias("block"), each("chunks").alias("chunk"), F.lit(0).alias("side"), "node", "component")
+    asked = rows.select("key", each("blocks").alias("block"), chunk.alias("chunk"), F.lit(1).alias("side"), "node", "component")
+    units = asking.unionByName(asked).join(texts, "node").select("key", "block", "chunk", "side", "node", "component", "text")
+    units = units.repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk", "side")
 
-    return rows.mapInArrow(run, "a long, b long").filter("a != b")
+    def run(batches):
+        now, held, block, root = None, [], None, {}
 
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                *unit, side, node, component, text = (c.to_pylist() for c in b.slice(i, 64).columns)
+                out = []
+                for at, which, n, c, one in zip(zip(*unit, strict=True), side, node, component, shingle_sets(text, words), strict=True):
+                    if at != now:
+                        now, held, block, root = at, [], None, {}
+                    c = tuple(c.values())
+                    if which == 0:
+                        held.append((n, c, one))
+                        continue
+                    if not held:
+                        continue
+                    block = block or Block([x for _, _, x in held])
+                    for k in block.near(one, percent).tolist():
+                        if find(held[k][1]) != find(c):
+                            root[find(c)] = find(held[k][1])
+                            out.append((held[k][0], n))
+                yield _links(out)
+
+    return units.mapInArrow(run, f"a {NODE}, b {NODE}")
+
+
+def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, twin, n, one, two, component_id of every row."""
     sets = written(hashed(docs, words), "shingle-sets")
     identity = ["one", "two", "n"]
     full = sets.filter("n > 0 and doc_id is not null")
-    reps = released(full.groupBy(*identity).agg(F.min("doc_id").alias("rep")), "set-reps")
-    # the smallest doc_id of each distinct set, with its bands
-    chosen = released(full.select("doc_id", "bands").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "rep-bands")
-    banded = chosen.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = released(banded.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).filter("center < last").select("key", "center"), "shared-bands")
-    coarse = released(banded.join(shared, "key").filter("rep != center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), "coarse-links")
-    discard(chosen, shared)
-    coarse = components(coarse)
-    groups = released(coarse.unionByName(coarse.select(F.col("component").alias("node"), "component").distinct()), "coarse-groups")
-    members = groups.join(full.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
-    pieces = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = members.groupBy("component").agg(pieces.alias("pieces"))
-    placed = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    placed = placed.select("node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    texts = docs.select(F.col("doc_id").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = placed.join(texts, "node").select("component", "i", "j", "side", "node", "text")
-    rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = components(released(_blocks(rows, words, percent), "verified-links"))
-    labels = reps.join(found, F.col("rep") == F.col("node"), "left").select(*identity, F.coalesce("component", "rep").alias("component_id"))
-    out = sets.join(labels, identity, "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    node = F.struct("doc_id", "twin", "n")
+    reps = released(full.groupBy(*identity).agg(F.min(node).alias("rep")), "set-reps")
+    # the smallest row of each distinct set, with its bands
+    chosen = full.select("doc_id", "twin", node.alias("node"), "bands").join(reps.select("rep.doc_id", "rep.twin"), ["doc_id", "twin"], "left_semi")
+    banded = released(chosen.select("node", F.explode("bands").alias("key")), "set-bands")
+    shared = banded.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("key", "centre")
+    members = released(banded.join(shared, "key").distinct(), "band-members")
+    discard(banded)
+    alike = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    pairs = released(members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).filter(alike).distinct(), "centre-pairs")
+    of_docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("twin"), "text")
+    wanted = members.select("node.*", "node").distinct().drop("n")
+    found = released(of_docs.join(wanted, ["doc_id", "twin"]).select("node", "text"), "node-texts")
+    texts = released(found.dropDuplicates(["node"]), "node-texts")  # a row that is repeated has one text
+    discard(found)
+    links = released(_with_centres(pairs, texts, words, percent), "centre-links")
+    labelled = members.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = released(labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key"), "several")
+    rest = released(_the_rest(released(labelled.join(several, "key", "left_semi"), "unsettled"), texts, words, percent), "other-links")
+    discard(members, pairs, texts)
+    joined = components(links.unionByName(rest))
+    labels = reps.join(joined, F.col("rep") == F.col("node"), "left").select(*identity, F.coalesce("component.doc_id", "rep.doc_id").alias("component_id"))
+    out = sets.join(labels, identity, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.select("doc_id", "twin", *identity, "component_id")
+
+
+def _kept():
+    return F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    return _labelled(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", _kept().alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` of which no near copy has a smaller doc_id; of rows with equal doc_id one stays."""
-    verdict = released(near_duplicates(docs, words, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("_kept")), "kept-ids")
-    rows = docs.join(verdict, "doc_id", "left").filter("doc_id is null or _kept").select(*docs.columns)
-    return rows.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
+    """The rows of `docs` of which no near copy has a smaller doc_id; of rows with equal doc_id and set one stays."""
+    kept = _labelled(docs, words, percent).filter(F.col("doc_id").isNotNull() & _kept())
+    # of equal sets the least text, which may still stand in several rows; empty sets equal none
+    verdict = kept.filter("n > 0").groupBy("doc_id", "one", "two", "n").agg(F.min("twin").alias("_twin")).select(F.col("doc_id").alias("_doc"), "_twin").distinct()
+    times = kept.filter("n > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("twin").alias("_twin")).agg(F.count("*").alias("_times"))
+    empty = kept.filter("n = 0").select(F.col("doc_id").alias("_doc"), F.col("twin").alias("_twin"), F.lit(1).cast("long").alias("_times")).distinct()
+    verdict = released(verdict.join(times, ["_doc", "_twin"]).unionByName(empty), "kept-ids")
+    rows = docs.join(verdict, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_twin")))
+    once, more = rows.filter("_times = 1"), rows.filter("_times > 1").dropDuplicates(["_doc", "_twin"])
+    return once.select(*docs.columns).unionByName(more.select(*docs.columns)).unionByName(docs.filter("doc_id is null"))

@@ -134,6 +134,7 @@ def near(seed, n=50):
 @pytest.mark.parametrize("blocks", [256, 3])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, words, blocks):
     monkeypatch.setattr(minhash_dedup, "BLOCK_DOCS", blocks)
+    monkeypatch.setattr(minhash_dedup, "CHUNK_DOCS", 4 * blocks)
     rows = near(words)
     sets = {i: shingles(t, words) for i, t in rows}
     root = {i: i for i in sets}
@@ -158,11 +159,35 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, words, blocks):
             assert (r.n_shingles, r.component_id, r.kept) == (0, 900, True)
         else:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
-    if blocks == 256:
+    if blocks == 256 and words == 5:
         kept = minhash_dedup.keep_one(d, words, 80)
         assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({find(i) for i in sets} | {900})
 
 
+def test_links_that_no_centre_sees(spark, monkeypatch):
+    """One band that holds everything: a chain of near copies, of which few are near the smallest."""
+    monkeypatch.setattr(minhash_dedup, "band_keys", lambda s, rows, bands: np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(s), bands)).copy())
+    monkeypatch.setattr(minhash_dedup, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(minhash_dedup, "CHUNK_DOCS", 11)
+    chain = lambda at, i: " ".join(f"w{at}x{k}" for k in range(4 * i, 4 * i + 60))
+    rows = [(1000 + i, chain(0, i)) for i in range(40)] + [(i, chain(1, i)) for i in range(30)] + [(2000 + i, chain(2 + i, 0)) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1000 + i: 1000 for i in range(40)} | {i: 0 for i in range(30)} | {2000 + i: 2000 + i for i in range(20)}
+
+
+def test_rows_that_share_a_doc_id(spark):
+    words = lambda a: " ".join(f"{a}{k}" for k in range(30))
+    rows = [(5, words("a"), 1), (5, words("b"), 2), (5, words("b").upper(), 3), (5, words("b"), 2), (6, words("b"), 4), (None, words("b"), 5), (7, "", 6), (7, None, 7), (7, "x " * 40_000, 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(d).collect()), key=str)
+    assert got == sorted([(5, 5, True)] * 4 + [(6, 5, False), (None, None, True)] + [(7, 7, True)] * 3, key=str)
+    kept = minhash_dedup.keep_one(d).collect()
+    assert sorted(r.text[:2] for r in kept if r.doc_id == 5) in (["a0", "b0"], ["B0", "a0"]) and sum(r.doc_id is None for r in kept) == 1
+    assert sorted((r.text or "")[:2] for r in kept if r.doc_id == 7) == ["", "", "x "]
+    assert not any(r.doc_id == 6 for r in kept)
+    assert minhash_dedup.near_duplicates(d.limit(0)).count() == 0 and minhash_dedup.keep_one(d.limit(0)).count() == 0
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(2)
     a = np.unique(r.integers(0, 2**63, 900).astype(np.uint64))
