@@ -7,8 +7,8 @@
 2. Signatures are cut in bands (40 of 5: a pair at similarity 0.8 is missed with probability 1.3e-7).
    Every document is compared exactly, on full sets, with the smallest of each band that it shares:
    as many comparisons at most as it has bands, so a group of n near copies costs n.
-3. A band whose documents are then of several components is settled by the rest of its pairs: those
-   outside its largest component, in blocks, meet all others, in chunks, and links between
+3. A band whose other documents are then of several components is settled by the rest of its pairs:
+   those outside its largest component, in blocks, meet all others, in chunks, and links between
    different components are kept.
 4. Components of the verified links.
 
@@ -192,7 +192,7 @@ def _the_rest(members: DataFrame, texts: DataFrame, words: int, percent: int) ->
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("_n"), F.sum("node.n").alias("_shingles"))
     bands = sizes.groupBy("key").agg(F.max(F.struct("_n", "component", "_shingles")).alias("most"), F.sum("_n").alias("all"), F.sum("_shingles").alias("shingles"))
     blocks = F.greatest(F.ceil((F.col("all") - F.col("most._n")) / BLOCK_DOCS), F.ceil((F.col("shingles") - F.col("most._shingles")) / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    bands = bands.select("key", F.col("most.component").alias("most"), blocks.alias("blocks"), F.ceil(F.col("all") / CHUNK_DOCS).cast("int").alias("chunks"))
+    bands = released(bands.select("key", F.col("most.component").alias("most"), blocks.alias("blocks"), F.ceil(F.col("all") / CHUNK_DOCS).cast("int").alias("chunks")), "unsettled-bands")
     rows = members.join(bands, "key").withColumn("_h", F.xxhash64("node"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     block, chunk = F.pmod("_h", "blocks").cast("int"), F.pmod("_h", "chunks").cast("int")
@@ -242,18 +242,23 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # the smallest row of each distinct set, with its bands
     chosen = full.select("doc_id", "twin", node.alias("node"), "bands").join(reps.select("rep.doc_id", "rep.twin"), ["doc_id", "twin"], "left_semi")
     banded = released(chosen.select("node", F.explode("bands").alias("key")), "set-bands")
-    shared = banded.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("key", "centre")
-    members = released(banded.join(shared, "key").distinct(), "band-members")
-    discard(banded)
+    # keys are counted alone; places of unique ones go no further
+    shared = released(banded.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "shared-bands")
+    places = released(banded.join(shared, "key", "left_semi").distinct(), "band-places")
+    discard(banded, shared)
+    centres = released(places.groupBy("key").agg(F.min("node").alias("centre")), "band-centres")
+    members = released(places.join(centres, "key"), "band-members")
+    discard(places, centres)
     alike = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
     pairs = released(members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).filter(alike).distinct(), "centre-pairs")
     of_docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("twin"), "text")
-    wanted = members.select("node.*", "node").distinct().drop("n")
+    wanted = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(members.filter("node != centre").select(F.col("node").alias("a"))).distinct().select("a.doc_id", "a.twin", F.col("a").alias("node"))
     found = released(of_docs.join(wanted, ["doc_id", "twin"]).select("node", "text"), "node-texts")
     texts = released(found.dropDuplicates(["node"]), "node-texts")  # a row that is repeated has one text
     discard(found)
     links = released(_with_centres(pairs, texts, words, percent), "centre-links")
-    labelled = members.join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    # a band's pairs with its centre are settled
+    labelled = members.filter("node != centre").join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     several = released(labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key"), "several")
     rest = released(_the_rest(released(labelled.join(several, "key", "left_semi"), "unsettled"), texts, words, percent), "other-links")
     discard(members, pairs, texts)
