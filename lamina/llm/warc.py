@@ -1,14 +1,17 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damaged archives.
 
 Each record is a gzip member of its own. The reader checks every record (member CRC, version line,
-length, trailing blank lines, block digest); where a check fails it searches on for the next member
-that holds a valid record (in an uncompressed archive, the next version line), recovers what
-follows, and logs the bytes between as a quarantined gap.
+length, trailing blank lines, block digest). Where a check fails it searches on for the next version
+line, inside a member too (also inside one that is cut short or fails its CRC, whose records then need
+a block digest that holds), and for the next member; it recovers what follows, and logs the bytes
+between as quarantined gaps.
 
 Edge cases: null html is an empty payload; a null page_id is written as the id `null` and stands
-after all others; payloads under 100 bytes are always responses; of repeated page_ids with equal
-payloads one is the response; a null url is left out, and control characters in a url are
-percent-encoded; an empty table gives no archive.
+after all others; payloads under 100 bytes are always responses; of rows that share a page_id and a
+payload the one with the least url is the response (a null url is the least) and the others revisit it;
+very long payloads are written whole, and an archive of up to 2 GB can be read back; a null url is left
+out, and control characters in a url are percent-encoded; an empty table gives no archive; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import _blobs
+from lamina.llm._common import released, written
 
 VERSION = b"WARC/1.1\r\n"
 ID = "urn:lamina:page:"
@@ -34,8 +38,8 @@ _CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 _URI_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 _MEMBER = b"\x1f\x8b\x08"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Refuse to inflate a member beyond this, so that a damaged or hostile one can't fill memory.
-MOST_INFLATED = 1 << 30
+#: Bytes of a member that are inflated at once.
+_STEP = 1 << 16
 
 
 def _b32(data: bytes) -> str:
@@ -61,13 +65,17 @@ def member(data: bytes, level: int = 3) -> bytes:
 
 @dataclass
 class Salvaged:
-    """What a damaged archive still holds: records as (offset, headers, block), gaps as (start, end)."""
+    """What a damaged archive still holds: records as (offset, headers, block), gaps as (start, end, inner start, inner end).
+
+    A record's offset is that of its member. A gap is a range of the archive's bytes; one inside a
+    member that was inflated also has the range of the inflated bytes.
+    """
 
     records: list = field(default_factory=list)
     gaps: list = field(default_factory=list)
 
 
-def _parse(data: bytes, at: int = 0):
+def _parse(data: bytes, at: int = 0, need_digest: bool = False):
     """(headers, block, end) of the valid record at `at`, else None."""
     if not _START.match(data, at):
         return None
@@ -87,36 +95,54 @@ def _parse(data: bytes, at: int = 0):
     if data[end : end + 4] != b"\r\n\r\n":
         return None
     block = data[start:end]
-    if "warc-block-digest" in head and head["warc-block-digest"].startswith("sha256:") and head["warc-block-digest"] != _b32(block):
+    digest = head.get("warc-block-digest", "")
+    if digest.startswith("sha256:") and digest != _b32(block) or need_digest and not digest.startswith("sha256:"):
         return None
     return head, block, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at `at` and its end, if it is whole and its CRC holds."""
+def _inflate(data: bytes, at: int, most: int | None) -> tuple[bytes, int, bool]:
+    """What the gzip member at `at` inflates to, as far as it goes, its end, and whether it is whole and its CRC holds."""
+    view, d, out, size, p = memoryview(data), zlib.decompressobj(31), [], 0, at
+    while p < len(data) and not d.eof and (most is None or size <= most):
+        part = view[p : p + _STEP]
+        try:
+            out.append(d.decompress(part))
+        except zlib.error:
+            return b"".join([*out, *_up_to_fault(view[at:p], part)]), p, False
+        size += len(out[-1])
+        p += len(part) - len(d.unused_data)
+    return b"".join(out), p, d.eof
+
+
+def _up_to_fault(before: memoryview, part: memoryview) -> Iterator[bytes]:
+    """What a part still inflates to, byte by byte, until the fault in it."""
     d = zlib.decompressobj(31)
+    d.decompress(before)
     try:
-        out = d.decompress(memoryview(data)[at:], MOST_INFLATED)
+        for i in range(len(part)):
+            yield d.decompress(part[i : i + 1])
     except zlib.error:
-        return None
-    return (out, len(data) - len(d.unused_data)) if d.eof else None
+        return
 
 
-def _at(data: bytes, at: int):
-    """([(headers, block)], end) of the record, or member of records, at `at`; None if a check fails."""
-    if data.startswith(_MEMBER, at):
-        if not (got := _inflate(data, at)):
-            return None
-        inner, end = got
-        found, p = [], 0
-        while p < len(inner):
-            if not (one := _parse(inner, p)):
-                return None
-            found.append(one[:2])
-            p = one[2]
-        return (found, end) if found else None
-    one = _parse(data, at)
-    return ([one[:2]], one[2]) if one else None
+def _records(data: bytes, at: int, end: int, need_digest: bool = False) -> tuple[list, list]:
+    """[(offset, headers, block)] of the valid records in data[at:end], and the ranges between them."""
+    found, gaps, bad = [], [], None
+    while at < end:
+        if one := _parse(data, at, need_digest):
+            if bad is not None:
+                gaps.append((bad, at))
+                bad = None
+            found.append((at, *one[:2]))
+            at = one[2]
+        else:
+            bad = at if bad is None else bad
+            m = _START.search(data, at + 1)
+            at = m.start() if m else end
+    if bad is not None:
+        gaps.append((bad, end))
+    return found, gaps
 
 
 def _next_start(data: bytes, at: int) -> int:
@@ -125,32 +151,44 @@ def _next_start(data: bytes, at: int) -> int:
     return min((x for x in (a, m.start() if m else -1) if x >= 0), default=len(data))
 
 
-def salvage(data: bytes) -> Salvaged:
-    """Every valid record of an archive, in order, and the byte ranges that hold none."""
+def salvage(data: bytes, most_inflated: int | None = None) -> Salvaged:
+    """Every valid record of an archive, in order, and the byte ranges that hold none.
+
+    most_inflated: bytes beyond which a member of a foreign archive is no longer inflated, but taken as damaged.
+    """
     out, at, bad = Salvaged(), 0, None
+    known, until = [], 0  # what came out of a damaged member may stand in its bytes as it is
     while at < len(data):
-        got = _at(data, at)
-        if got:
+        found, inner, end = [], [], None
+        if data.startswith(_MEMBER, at):
+            inflated, stop, whole = _inflate(data, at, most_inflated)
+            found, inner = _records(inflated, 0, len(inflated), not whole)
+            end = stop if whole else None
+            if found and not whole:
+                known, until = [x[1:] for x in found], stop + _STEP
+        elif one := _parse(data, at):
+            end = one[2]
+            found = [(at, *one[:2])] if at >= until or one[:2] not in known else []
+        out.records += [(at, *x[1:]) for x in found]
+        if found and end is not None:
             if bad is not None:
-                out.gaps.append((bad, at))
+                out.gaps.append((bad, at, None, None))
                 bad = None
-            out.records += [(at, *x) for x in got[0]]
-            at = got[1]
-        else:
-            bad = at if bad is None else bad
-            at = _next_start(data, at + 1)
+            out.gaps += [(at, end, a, b) for a, b in inner]
+        elif bad is None:
+            bad = at
+        at = _next_start(data, at + 1) if end is None else end
     if bad is not None:
-        out.gaps.append((bad, len(data)))
+        out.gaps.append((bad, len(data), None, None))
     return out
 
 
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int]]:
     buf, size, first = [], 0, None
+    name = lambda x: f"{ID}{'null' if x is None else x}"
     for b in batches:
-        for page, url, html, digest, first_page in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            name = lambda x: f"{ID}{'null' if x is None else x}"
-            kind = "response" if first_page is None else "revisit"
-            m = member(record(kind, name(page), html.encode(), digest, url, None if first_page is None else name(first_page)))
+        for page, url, html, digest, revisits, target in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            m = member(record("revisit" if revisits else "response", name(page), html.encode(), digest, url, name(target) if revisits else None))
             first = page if first is None else first
             buf.append(m)
             size += len(m)
@@ -171,38 +209,75 @@ def write_archives(pages: DataFrame) -> str:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     long = rows.filter(F.octet_length("html") >= LEAST_REVISIT).select("page_id", "digest")
-    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first")
-    later = long.join(first, "digest").filter("page_id is null or page_id > first").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first").distinct()
-    rows = rows.join(later, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
-    return _blobs.write_blobs(rows.select("page_id", "url", "html", "digest", "first"), _archives, "warc", ".warc.gz")
-
+    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    copies = long.groupBy("page_id", "digest").agg(F.count("*").alias("times")).join(first, "digest")
+    # rows that share a page_id and a payload, of which one is the response
+    alike = released(copies.filter(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("times") > 1)).select("page_id", "digest"), "warc-alike")
+    later = copies.filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first")
+    same = lambda p, d: F.col("page_id").eqNullSafe(F.col(p)) & (F.col("digest") == F.col(d))
+    out = rows.join(later, same("_p", "_d"), "left").select("page_id", "url", "html", "digest", F.col("_d").isNotNull().alias("revisits"), "first")
+    if not alike.isEmpty():
+        of = alike.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"))
+        some = rows.join(of, same("_p", "_d"), "left_semi")
+        # equal rows are counted before they travel
+        urls = some.groupBy("page_id", "digest", "url").agg(F.count("*").alias("times"), F.any_value("html").alias("html"))
+        least = urls.groupBy("page_id", "digest").agg(F.min(F.struct(F.col("url").isNotNull().alias("some"), "url")).alias("least"))
+        urls = urls.join(least.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "least"), same("_p", "_d"))
+        is_first = F.col("url").eqNullSafe(F.col("least.url"))
+        nth = urls.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+        again = nth.select("page_id", "url", "html", "digest", (~is_first | (F.col("_k") > 1)).alias("revisits"), F.col("page_id").alias("first"))
+        out = out.join(of, same("_p", "_d"), "left_anti").unionByName(again)
+    return _blobs.write_blobs(out, _archives, "warc", ".warc.gz")
+
+
+_RECORD = (("page_id", "long"), ("record_type", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("refers_to", "long"), ("url", "string"), ("archive", "string"), ("offset", "long"), ("payload", "binary"))
+_GAP = (("start", "long"), ("end", "long"), ("inner_start", "long"), ("inner_end", "long"))
+_TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def salvaged(spark, path: str, most_inflated: int | None = None) -> DataFrame:
+    """A row for each record and each gap of the archives in a folder, from one reading of them.
+
+    Of a record: page_id, record_type, payload_bytes, payload_digest, refers_to, url, archive, offset,
+    payload (null for a revisit). Of a gap: archive, start, end, inner_start, inner_end.
+    """
+    columns = _RECORD + _GAP
 
-def read_archives(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, gaps) of the archives in a folder.
+    def of(x: str) -> int | None:
+        x = x.strip("<>").removeprefix(ID)
+        return int(x) if re.fullmatch(r"-?\d{1,19}", x) else None
 
-    records: page_id, record_type, payload_bytes, payload_digest, refers_to, url, archive, offset, payload (null for a revisit).
-    gaps: archive, start, end.
-    """
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({k: pa.array([r.get(k) for r in rows], _TYPES[t]) for k, t in columns})
 
-    def run(batches, gaps=False):
-        of = lambda x: None if (s := x.strip("<>").removeprefix(ID)) == "null" else int(s)
+    def run(batches):
         for b in batches:
             for name, data in zip(b.column(0), b.column(1), strict=True):
-                name, got = name.as_py(), salvage(data.as_py())
-                if gaps:
-                    yield pa.RecordBatch.from_pydict({"archive": [name] * len(got.gaps), "start": pa.array([g[0] for g in got.gaps], pa.int64()), "end": pa.array([g[1] for g in got.gaps], pa.int64())})
-                    continue
-                cols: dict[str, list] = {k: [] for k in ("page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "url", "archive", "offset", "payload")}
+                name, got, rows, size = name.as_py(), salvage(data.as_py(), most_inflated), [], 0
                 for at, head, block in got.records:
-                    kind = head["warc-type"]
+                    kind = head.get("warc-type", "")
                     payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                     digest = head.get("warc-payload-digest", "").removeprefix("sha256:") if payload is None else hashlib.sha256(payload).hexdigest()
-                    refers = of(head["warc-refers-to"]) if "warc-refers-to" in head else None
-                    for k, v in zip(cols, (of(head["warc-record-id"]), kind, int(head.get("x-payload-length", 0)) if payload is None else len(payload), digest, refers, head.get("warc-target-uri"), name, at, payload), strict=True):
-                        cols[k].append(v)
-                types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(cols.items(), types, strict=True)})
-
-    files = _blobs.read_blobs(spark, path, ".warc.gz")
-    records = files.mapInArrow(run, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, url string, archive string, offset long, payload binary")
-    return records, files.mapInArrow(lambda it: run(it, True), "archive string, start long, end long")
+                    length = head.get("x-payload-length", "0")
+                    rows.append({"page_id": of(head.get("warc-record-id", "")), "record_type": kind, "payload_bytes": (int(length) if length.isdigit() else 0) if payload is None else len(payload), "payload_digest": digest, "refers_to": of(head.get("warc-refers-to", "")), "url": head.get("warc-target-uri"), "archive": name, "offset": at, "payload": payload})
+                    size += len(payload or b"")
+                    if size > _blobs.FILE_BYTES:
+                        yield batch(rows)
+                        rows, size = [], 0
+                rows += [{"archive": name} | dict(zip((k for k, _ in _GAP), g, strict=True)) for g in got.gaps]
+                yield batch(rows)
+
+    return _blobs.read_blobs(spark, path, ".warc.gz").mapInArrow(run, ", ".join(f"{k} {t}" for k, t in columns))
+
+
+def read_archives(spark, path: str, most_inflated: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, gaps) of the archives in a folder, as `salvaged` has them."""
+    rows = salvaged(spark, path, most_inflated)
+    return rows.filter("start is null").select(*[k for k, _ in _RECORD]), rows.filter("start is not null").select("archive", *[k for k, _ in _GAP])
+
+
+def round_trip(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Writes the pages and reads the archives back, once: records without payloads, and the gap log, both from one written table."""
+    spark = pages.sparkSession
+    rows = written(salvaged(spark, write_archives(pages)).drop("payload"), "warc-read")
+    return rows.filter("start is null").drop(*[k for k, _ in _GAP]), rows.filter("start is not null").select("archive", *[k for k, _ in _GAP])

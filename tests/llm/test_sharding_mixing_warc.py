@@ -1,6 +1,8 @@
 """Sharding, mixing and WARC against plain Python on small tables with nulls, ties and clashing columns."""
 
 import hashlib
+import os
+import time
 import re
 import zlib
 
@@ -132,10 +134,62 @@ def test_salvage(compressed):
     broken[at : at + 4] = b"\0\0\0\0"
     got = warc.salvage(bytes(broken))
     assert [r[1]["warc-record-id"] for r in got.records] == [f"<{warc.ID}{i}>" for i in (0, 2, 3, 4)]
-    assert got.gaps == [(len(parts[0]), len(parts[0]) + len(parts[1]))]
+    assert got.gaps == [(len(parts[0]), len(parts[0]) + len(parts[1]), None, None)]
     junk = b"junk" + whole + b"tail"
     got = warc.salvage(junk)
-    assert len(got.records) == 5 and got.gaps == [(0, 4), (4 + len(whole), 8 + len(whole))]
-    cut = warc.salvage(whole[:-7])
-    assert len(cut.records) == 4 and cut.gaps == [(len(whole) - len(parts[4]), len(whole) - 7)]
+    assert len(got.records) == 5 and got.gaps == [(0, 4, None, None), (4 + len(whole), 8 + len(whole), None, None)]
+    cut = warc.salvage(whole[:-7])  # a member without its last seven bytes still inflates
+    assert len(cut.records) == 4 + compressed and cut.gaps == [(len(whole) - len(parts[4]), len(whole) - 7, None, None)]
     assert warc.salvage(b"").records == []
+
+
+def test_salvage_inside_a_member():
+    parts = archive(5, False)
+    bad = parts[2].replace(b"C" * 50, b"C" * 49 + b"x")
+    one = warc.member(b"".join([*parts[:2], bad, *parts[3:]]))
+    ids = lambda got: [int(r[1]["warc-record-id"].rpartition(":")[2][:-1]) for r in got.records]
+    got = warc.salvage(one + warc.member(parts[2]))
+    at = len(parts[0] + parts[1])
+    assert ids(got) == [0, 1, 3, 4, 2] and got.gaps == [(0, len(one), at, at + len(bad))]
+    stored = warc.member(b"".join(parts), 0)  # not compressed, so a fault stays where it is
+    cut = warc.salvage(stored[: len(stored) // 2])
+    assert ids(cut) == [0, 1] and cut.gaps == [(0, len(stored) // 2, None, None)]
+    wrong = warc.salvage(stored[:-8] + b"\0" * 8 + parts[0])  # its CRC fails, the digests hold
+    assert ids(wrong) == [0, 1, 2, 3, 4, 0] and wrong.gaps == [(0, len(stored), None, None)]
+    assert ids(warc.salvage(one + warc.member(parts[1]), most_inflated=100)) == [0, 1, 3, 4, 1]
+    empty = warc.member(b"no record")
+    assert warc.salvage(empty + one[:0]).gaps == [(0, len(empty), None, None)]
+
+
+def test_reading_time_grows_with_the_archive():
+    one = archive(1, True)[0]
+
+    def took(n):
+        data, t = one * n, time.perf_counter()
+        assert len(warc.salvage(data).records) == n
+        return time.perf_counter() - t
+
+    took(500)
+    assert took(16_000) < 9 * took(4_000)
+
+
+def test_pages_that_share_an_id(spark):
+    big, other = "<p>" + "a" * 200, "<p>" + "b" * 200
+    rows = [(5, "b", big), (5, "a", big), (5, "a", big), (5, "c", other), (6, "z", big), (None, "n", other), (None, None, other), (None, "q", "r" * 300), (None, None, "r" * 300), (7, "x", "same"), (7, "x", "same"), (8, "l", "y" * 3_000_000)]
+    records, gaps = warc.round_trip(spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, archive string, offset int"))
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.url) for r in records.collect()), key=str)
+    want = [(5, 203, "response", None, "a"), (5, 203, "revisit", 5, "a"), (5, 203, "revisit", 5, "b"), (5, 203, "response", None, "c"), (6, 203, "revisit", 5, "z"), (None, 203, "revisit", 5, "n"), (None, 203, "revisit", 5, None), (None, 300, "response", None, None), (None, 300, "revisit", None, "q"), (7, 4, "response", None, "x"), (7, 4, "response", None, "x"), (8, 3_000_000, "response", None, "l")]
+    assert got == sorted(want, key=str) and gaps.count() == 0
+
+
+def test_a_damaged_archive_through_spark(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}" + "a" * 150) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(pages)
+    name = [x for x in os.listdir(path[7:] + "/files") if x.endswith(".warc.gz")][0]
+    data = bytearray(open(f"{path[7:]}/files/{name}", "rb").read())
+    data[len(data) // 2 : len(data) // 2 + 4] = b"\0" * 4
+    with open(f"{path[7:]}/files/{name}", "wb") as f:
+        f.write(data)
+    records, gaps = warc.read_archives(spark, path)
+    (gap,) = gaps.collect()
+    assert records.count() == 19 and gap.archive == name and gap.start <= len(data) // 2 < gap.end and gap.inner_start is None
