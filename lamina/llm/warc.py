@@ -168,7 +168,10 @@ def salvage(data: bytes, most_inflated: int | None = None) -> Salvaged:
                 known, until = [x[1:] for x in found], stop + _STEP
         elif one := _parse(data, at):
             end = one[2]
-            found = [(at, *one[:2])] if at >= until or one[:2] not in known else []
+            if at < until and one[:2] in known:
+                known.remove(one[:2])
+            else:
+                found = [(at, *one[:2])]
         out.records += [(at, *x[1:]) for x in found]
         if found and end is not None:
             if bad is not None:
