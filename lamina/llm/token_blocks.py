@@ -11,7 +11,9 @@ exceptions (u16) and start (u64, one more) of the blocks; then the blocks: packe
 positions (u8), exception differences (u32).
 
 Edge cases: null or empty text has only the end id; a null doc_id sorts first; rows that repeat a
-doc_id stand side by side ordered by text; an empty table gives no file; other columns are ignored.
+doc_id stand side by side ordered by text, and rows that are equal in both are alike; a very long text is
+encoded whole, and a document may fill a file of its own; an empty table gives no file; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -162,13 +164,13 @@ class Words(dict):
     goes straight to the library's model; any other goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, end: int):
+    def __init__(self, path: str, end: int, encode_special: bool = False):
         super().__init__()
         self.before: dict[str, bytes] = {}
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = encode_special
         self.model = self.tokenizer.model
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are kept as native 32-bit integers, which must be little-endian")
@@ -213,16 +215,20 @@ class Words(dict):
 
 
 @functools.cache
-def words(path: str, end: int) -> Words:
-    return Words(path, end)
+def words(path: str, end: int, encode_special: bool) -> Words:
+    return Words(path, end, encode_special)
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, end: int = 2) -> str:
-    """Encodes every document, in ascending doc_id order over all files; returns the folder."""
+def write_token_files(docs: DataFrame, path: str | None = None, end: int = 2, encode_special: bool = False) -> str:
+    """Encodes every document, in ascending doc_id order over all files; returns the folder.
+
+    encode_special: text that reads like a special token is encoded as plain text; else it becomes
+    that token, as the library does unless told otherwise.
+    """
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int]]:
-        w = words(path, end)
+        w = words(path, end, encode_special)
         keys, parts, size = [], [], 0
 
         def file():

@@ -78,18 +78,19 @@ def test_blocks_round_trip(n, kind):
 
 
 def test_token_files(spark):
-    texts = ["Hello, World! it's a <|endoftext|> Éa ﬁ", None, "", "a\x1cb\x85c İ Σας", "same", "same", "num 123 x" * 300, "ÀÉ café’s."]
-    rows = [(10 - i if i != 3 else None, t, i) for i, t in enumerate(texts)]
+    texts = ["Hello, World! it's a <|endoftext|> Éa ﬁ", "x<|ENDOFTEXT|>y<|startoftext|> <|end", None, "word <|endoftext|>ly, " * 60_000, "", "a\x1cb\x85c İ Σας", "same", "same", "num 123 x" * 300, "ÀÉ café’s."]
+    rows = [(20 - i if i != 5 else None, t, i) for i, t in enumerate(texts)]
     d = spark.createDataFrame(rows, "doc_id long, text string, count int")
     got = {r.doc_id: r for r in token_blocks.read_token_files(spark, token_blocks.write_token_files(d)).collect()}
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     at = 0
     for doc, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         assert (got[doc].start, got[doc].n_tokens, got[doc].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
         at += len(ids)
     assert token_blocks.read_token_files(spark, token_blocks.write_token_files(d.limit(0))).count() == 0
+    again = token_blocks.read_token_files(spark, token_blocks.write_token_files(spark.createDataFrame([(1, "b"), (1, "a a"), (1, "b"), (0, "c")], "doc_id long, text string"))).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in again] == [(0, 0, 2), (1, 2, 3), (1, 5, 2), (1, 7, 2)] and again[2].ids_crc32 == again[3].ids_crc32
 
 
 def test_words_equal_library():
