@@ -10,12 +10,19 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: One word is a run of bytes other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def stable_hash(salt: str, *keys: str) -> Column:
+    """60 bits of the md5 of some columns as text, which any system can repeat; nulls are a key of their own."""
+    text = F.concat_ws("/", F.lit(salt), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset and the session is local."""
     if at := spark.conf.get("spark.checkpoint.dir", None):

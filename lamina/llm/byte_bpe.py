@@ -223,6 +223,14 @@ class Vocabulary(dict):
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode_slices(self, ids: Sequence[int], ends: np.ndarray, step: int = 4096) -> bytes:
+        """The bytes of the ids, each slice of them written at the offset where it starts."""
+        out = bytearray(int(ends[-1]) if len(ends) else 0)
+        for a in range(0, len(ids), step):
+            b = min(len(ids), a + step)
+            out[int(ends[a - 1]) if a else 0 : int(ends[b - 1])] = self.decode(ids[a:b])
+        return bytes(out)
+
     def offsets(self, ids: Sequence[int]) -> np.ndarray:
         """Byte at which each token ends, so that any run of ids can be decoded in place."""
         return np.cumsum(self.lengths[np.asarray(ids, np.int64)]) if len(ids) else np.zeros(0, np.int64)
@@ -275,14 +283,14 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids, and keeps digests of both."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, decodes the ids at their offsets, and keeps digests of both."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches):
         v = vocabulary(path)
         for keys, rows in _encoded(batches, path):
             ids = [hashlib.sha256(" ".join(map(v.digits.__getitem__, x)).encode()).hexdigest() for x in rows]
-            data = [hashlib.sha256(v.decode(x)).hexdigest() for x in rows]
+            data = [hashlib.sha256(v.decode_slices(x, v.offsets(x))).hexdigest() for x in rows]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "n_tokens": pa.array([len(x) for x in rows], pa.int64()), "ids_sha256": ids, "decoded_sha256": data})
 
     return _rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,15 +4,17 @@ Every line gets features of its own bytes and of the lines beside it; the field
 bad, forward-backward gives each line's marginal, and the mean of the marginals weighted by line
 length, calibrated on the training documents, is the document's score.
 
-Training takes whole documents from a sample of at most `most_docs` labelled ones, those whose
-doc_id hashes lowest (a bound of the fit alone; every document is scored, on its whole text). A bad
-document's lines count as bad unless a line classifier fitted first finds them good, since junk
-often stands among ordinary lines.
+Training takes whole documents from a sample of labelled ones, in the order of a hash of their doc_id:
+at most `most_docs` of them, and as many as have at most `most_lines` lines together (a bound of the fit
+alone; every document is scored, on its whole text). A bad document's lines count as bad unless a line
+classifier fitted first finds them good, since junk often stands among ordinary lines.
 
 Edge cases: null, empty and blank texts have no line and get the score of one line without
-features; blank lines have no weight; repeated rows get equal scores; unlabelled documents, null
-labels and labels other than 0 and 1 are left out of the fit; with labels of one kind only, the
-score is that label's share; an empty table gives an empty result; other columns are ignored.
+features; blank lines have no weight; a very long text is scored whole, with its lines in one task;
+repeated rows get equal scores; of rows that share a labelled doc_id the least text is fitted, and the
+least of several labels; unlabelled documents, null labels and labels other than 0 and 1 are left out of
+the fit; with labels of one kind only, the score is that label's share; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm._common import by_size
 
-#: Documents, and lines in one document, that the fit takes at most.
-MOST_DOCS, MOST_LINES = 3000, 2000
+#: Documents, and lines in all of them, that the fit takes at most.
+MOST_DOCS, MOST_LINES = 3000, 200_000
 THRESHOLD = 0.7
 
 _KINDS = 6
@@ -239,7 +241,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS) -> Field:
+def train(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_lines: int = MOST_LINES) -> Field:
     """A field from a bounded sample of the labelled documents that are not held out."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most_docs)
@@ -249,10 +251,15 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS) -> Fie
             keys, texts, kinds = (b.column(k).to_pylist() for k in range(3))
             for lo, hi in by_size(texts):
                 lines = line_features(texts[lo:hi])
-                out = [(k, q, lines.x[s:e], lines.weight[s:e]) for k, q, s, e in zip(keys[lo:hi], kinds[lo:hi], lines.begin, lines.begin[1:], strict=False) if e - s <= MOST_LINES]
+                out = [(k, q, lines.x[s:e], lines.weight[s:e]) for k, q, s, e in zip(keys[lo:hi], kinds[lo:hi], lines.begin, lines.begin[1:], strict=False)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([o[0] for o in out], pa.int64()), "quality": pa.array([o[1] for o in out], pa.int32()), "x": pa.array([o[2].astype("<f4").tobytes() for o in out], pa.binary()), "weight": pa.array([o[3].astype("<f4").tobytes() for o in out], pa.binary())})
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
+    # the sample has most_docs rows at most, so it can be broadcast, and its running count can stand in one task
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("quality").cast("int").alias("quality"), F.size(F.split("text", "\n", -1)).alias("lines"))
+    upto = Window.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
+    fitted = rows.select("doc_id", F.sum("lines").over(upto).alias("upto")).filter(F.col("upto") <= most_lines).select("doc_id")
+    rows = rows.join(F.broadcast(fitted), "doc_id").select("doc_id", "text", "quality")
     got = sorted(rows.mapInArrow(run, "doc_id long, quality int, x binary, weight binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
     width = line_features([""]).x.shape[1]
     x = [np.frombuffer(r["x"], "<f4").reshape(-1, width).astype(np.float64) for r in got]
@@ -280,4 +287,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches the threshold, with their own columns."""
-    return with_score(docs, train(docs, labels), docs.columns, "_score").filter(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    return with_score(docs, train(docs, labels), docs.columns, "_lamina_score").filter(F.col("_lamina_score") >= THRESHOLD).select(*docs.columns)

@@ -281,10 +281,10 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` of which no near copy has a smaller doc_id; of rows with equal doc_id and set one stays."""
     kept = _labelled(docs, words, percent).filter(F.col("doc_id").isNotNull() & _kept())
     # of equal sets the least text, which may still stand in several rows; empty sets equal none
-    verdict = kept.filter("n > 0").groupBy("doc_id", "one", "two", "n").agg(F.min("twin").alias("_twin")).select(F.col("doc_id").alias("_doc"), "_twin").distinct()
-    times = kept.filter("n > 0").groupBy(F.col("doc_id").alias("_doc"), F.col("twin").alias("_twin")).agg(F.count("*").alias("_times"))
-    empty = kept.filter("n = 0").select(F.col("doc_id").alias("_doc"), F.col("twin").alias("_twin"), F.lit(1).cast("long").alias("_times")).distinct()
-    verdict = released(verdict.join(times, ["_doc", "_twin"]).unionByName(empty), "kept-ids")
-    rows = docs.join(verdict, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_twin")))
-    once, more = rows.filter("_times = 1"), rows.filter("_times > 1").dropDuplicates(["_doc", "_twin"])
+    verdict = kept.filter("n > 0").groupBy("doc_id", "one", "two", "n").agg(F.min("twin").alias("_lamina_twin")).select(F.col("doc_id").alias("_lamina_doc"), "_lamina_twin").distinct()
+    times = kept.filter("n > 0").groupBy(F.col("doc_id").alias("_lamina_doc"), F.col("twin").alias("_lamina_twin")).agg(F.count("*").alias("_lamina_times"))
+    empty = kept.filter("n = 0").select(F.col("doc_id").alias("_lamina_doc"), F.col("twin").alias("_lamina_twin"), F.lit(1).cast("long").alias("_lamina_times")).distinct()
+    verdict = released(verdict.join(times, ["_lamina_doc", "_lamina_twin"]).unionByName(empty), "kept-ids")
+    rows = docs.join(verdict, (F.col("doc_id").cast("long") == F.col("_lamina_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_lamina_twin")))
+    once, more = rows.filter("_lamina_times = 1"), rows.filter("_lamina_times > 1").dropDuplicates(["_lamina_doc", "_lamina_twin"])
     return once.select(*docs.columns).unionByName(more.select(*docs.columns)).unionByName(docs.filter("doc_id is null"))

@@ -10,8 +10,9 @@
    the share of the demand that stands before the document, and documents are range-sorted by it.
 
 Edge cases: a null source is a source of its own, last in order; null, empty and blank texts have
-size 0 and are taken 0 times; repeated rows count as often as they occur; ties in the hash order
-are broken by doc_id; an empty table gives an empty result; other columns are ignored.
+size 0 and are taken 0 times; a very long text counts whole; rows that are equal in doc_id, source and
+size follow each other in the demand, each with its own place; ties in the hash order are broken by
+doc_id and size; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm._common import WORD, written
+from lamina.llm._common import WORD, stable_hash, written
 
 #: Weight by training time, as (time, weight) knots; sources take them in turn.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
@@ -63,18 +64,20 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, most: fl
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, schedules=SCHEDULES) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, copies, taken, positions (one for each copy)."""
-    rows = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = written(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("_times")), "mix-sizes")
     blocks = max(32, -(-rows.count() // BLOCK_ROWS))
-    rows = rows.withColumn("_h", F.xxhash64("doc_id", F.lit(11))).withColumn("_block", F.pmod("_h", F.lit(blocks)))
-    sums = rows.groupBy("source", "_block").agg(F.sum("size").alias("_n"))
+    rows = rows.withColumn("_h", stable_hash("mix", "doc_id", "size")).withColumn("_block", F.pmod("_h", F.lit(blocks))).withColumn("_words", F.col("size") * F.col("_times"))
+    sums = rows.groupBy("source", "_block").agg(F.sum("_words").alias("_n"))
     before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     goal = targets(sums.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, share, most)
     starts = starts.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source"))).select(F.col("a.source").alias("_s"), F.col("a._block").alias("_b"), "_start", "source_size", "idx", "target")
     inside = Window.partitionBy("source", "_block").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_words").over(inside), F.lit(0)))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    middle = F.col("_start") + F.col("_in") + F.col("size") / 2
+    rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
+    middle = F.col("_start") + F.col("_in") + F.col("_nth") * F.col("size") + F.col("size") / 2
     copies = F.when(F.col("source_size") > 0, F.greatest(F.lit(0), F.ceil((F.col("target") - middle) / F.col("source_size")))).otherwise(0)
     rows = rows.withColumn("_mid", middle).withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("int"))
     segments = F.element_at(F.array(*map(_segments, schedules)), (F.col("idx") % len(schedules) + 1).cast("int"))
@@ -90,15 +93,16 @@ def in_training_order(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it. Rows without words have no demand and stay once.
+    """The rows of `docs`, each as often as the mix takes it, range-sorted by training position.
 
-    Copies are joined back by (doc_id, source, size), so text is shuffled once at most; rows that
-    repeat a doc_id within a source at one size share their number of copies.
+    Rows without words have no demand; they stay once, at the end. Places in the mix are joined back by
+    (doc_id, source, size): rows that are equal in these share all their places, so of several such rows
+    that differ in their texts each stands where any of them does, as often as one of them.
     """
-    key = {"_d": F.col("doc_id"), "_s": F.col("source"), "_n": F.col("size")}
-    copies = mix(docs, **options).groupBy(*(c.alias(k) for k, c in key.items())).agg(F.max("copies").alias("_copies"))
+    places = mix(docs, **options).groupBy(F.col("doc_id").alias("_lamina_d"), F.col("source").alias("_lamina_s"), F.col("size").alias("_lamina_n")).agg(F.max("positions").alias("_lamina_at"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_size", size)
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    rows = rows.join(copies, same).withColumn("_copies", F.when(F.col("_n") == 0, 1).otherwise(F.col("_copies"))).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.withColumn("_lamina_size", size)
+    same = F.col("doc_id").eqNullSafe(F.col("_lamina_d")) & F.col("source").eqNullSafe(F.col("_lamina_s")) & (F.col("_lamina_size") == F.col("_lamina_n"))
+    at = F.when(F.col("_lamina_n") == 0, F.array(F.lit(None).cast("double"))).otherwise(F.col("_lamina_at"))
+    rows = rows.join(places, same).select(*docs.columns, F.posexplode(at).alias("_lamina_copy", "_lamina_position"))
+    return rows.orderBy(F.col("_lamina_position").asc_nulls_last(), "doc_id", "_lamina_copy").select(*docs.columns)

@@ -359,11 +359,12 @@ def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def drop(text: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([None if t is None or r is None else cut(t, r) for t, r in zip(text, runs, strict=True)], dtype=object)
 
-    spans = _spans(docs, length).withColumnsRenamed({"doc_id": "_d", "twin": "_t"})
+    own = {"doc_id": "_lamina_doc", "twin": "_lamina_twin", "ranges": "_lamina_ranges"}
+    spans = _spans(docs, length).withColumnsRenamed(own)
     doc, twin, _ = _key(docs)
-    rows = docs.join(spans, (doc == F.col("_d")) & (twin == F.col("_t")), "left")
-    changed = F.col("ranges").isNotNull()
-    rows = rows.withColumn("text", F.when(changed, drop(F.when(changed, F.col("text")), F.col("ranges"))).otherwise(F.col("text")))
+    rows = docs.join(spans, (doc == F.col("_lamina_doc")) & (twin == F.col("_lamina_twin")), "left")
+    changed = F.col("_lamina_ranges").isNotNull()
+    rows = rows.withColumn("text", F.when(changed, drop(F.when(changed, F.col("text")), F.col("_lamina_ranges"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)

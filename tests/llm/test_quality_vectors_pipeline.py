@@ -1,5 +1,7 @@
 """Quality on held-out labels, vector searches against brute force, the pipeline, and the registered queries."""
 
+import math
+import re
 import zlib
 
 import duckdb
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lamina.llm import ball_tree, crf_quality, graph_ann, queries
 from lamina.llm import vectors as vectors_module
+from tests.llm.test_dedup import shingles
+from tests.llm.test_sharding_mixing_warc import stable_hash, water_fill
 
 DIR = "/root/testdata/sf0.01"
 
@@ -157,23 +161,114 @@ def test_repeated_vec_ids(spark, search):
     assert got == [(0, 1, 1, 15), (0, 2, 1, 15), (0, 3, 2, 12), (0, 4, 4, 12), (0, 5, 2, 4)]
 
 
-def test_pipeline(spark):
+def test_registered_queries_equal_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, "/root/testdata/sf0.001")
+        rel = con.sql(sql)
+        assert sorted(got.columns) == sorted(rel.columns), name
+        assert sorted(map(str, (tuple(r) for r in got.select(*rel.columns).collect()))) == sorted(map(str, rel.fetchall())), name
+
+
+def plain_pipeline(rows, field):
+    """The five stages over (doc_id, text, source), in plain Python."""
+    rows = [r for r in rows if crf_quality.score(field, [r[1] or ""])[0] >= 0.7]
+    sets = {r[0]: shingles(r[1] or "", 5) for r in rows}
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and (both := len(sets[a] & sets[b])) and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    rows = [r for r in rows if find(r[0]) == r[0]]
+    first = {}
+    for d, t, _ in sorted(rows):
+        data = (t or "").encode()
+        for p in range(len(data) - 99):
+            first.setdefault(data[p : p + 100], (d, p))
+    out = []
+    for d, t, s in rows:
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - 99):
+            if first[data[p : p + 100]] < (d, p):
+                gone[p : p + 100] = b"\1" * 100
+        chars, at = [], 0
+        for c in t or "":
+            n = len(c.encode())
+            chars.append("" if all(gone[at : at + n]) else c)
+            at += n
+        out.append((d, "".join(chars), s))
+    copies = {r.doc_id: r.copies for r in plain_mix(out)}
+    return [(d, t) for d, t, _ in out for _ in range(copies[d])]
+
+
+class Mixed:
+    def __init__(self, doc_id, copies):
+        self.doc_id, self.copies = doc_id, copies
+
+
+def plain_mix(rows):
+    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for d, t, _ in rows}
+    by = {}
+    for d, _, s in rows:
+        by.setdefault(s, []).append(d)
+    sizes = {s: sum(size[d] for d in ds) for s, ds in by.items()}
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(by, key=lambda s: (s is None, s or "")))}
+    target = water_fill(sizes, weights, 1.5, 2)
+    out = []
+    for s, ds in by.items():
+        at = 0
+        for d in sorted(ds, key=lambda d: (stable_hash("mix", d, size[d]) % 32, stable_hash("mix", d, size[d]))):
+            n = max(0, math.ceil((target[s] - (at + size[d] / 2)) / sizes[s])) if size[d] else 1
+            at += size[d]
+            out.append(Mixed(d, n))
+    return out
+
+
+def test_pipeline_equals_plain_python(spark):
+    import base64
+
+    import corpus_pipeline as cp
+    import public_tokenizers as P
+    import tiktoken
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    field = crf_quality.train(docs, labels)
+    want = plain_pipeline([(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()], field)
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    code = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = sorted((r.doc_id, r.ids) for r in cp.run(spark, d).collect())
+    assert len(got) > 50 and got == sorted((i, code.encode_ordinary(t)) for i, t in want)
+
+
+def test_pipeline_stages(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing names in every stage."""
     import corpus_pipeline as cp
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
-    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = lambda k: " ".join(f"word{(k * 7 + j) % 90} stands here" for j in range(30)) + "."
+    rows = [(i, good(i), "en", "s", 1, 0.5, "clash") for i in range(12)] + [(3, good(3), "en", "s", 1, 0.5, "clash"), (3, good(40), "en", "s", 1, 0.5, None), (None, good(50), "en", None, 1, None, None), (60, None, None, "s", None, 0.5, None), (61, "", "en", "t", 0, 0.5, None), (62, "\n".join(good(k) for k in range(3000)), "en", "t", 0, 0.5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _score double, ranges string")
     for k, (_, stage) in enumerate(cp.STAGES):
-        before = docs.columns
-        docs = stage(spark, docs, "/root/testdata/sf0.001")
-        if k < 4:
-            assert docs.columns == before
-        if k < 2:
-            assert all(texts[r.doc_id] == r.text for r in docs.collect())
-    assert docs.columns == ["doc_id", "n_tokens", "ids"] and docs.count() > 0
-    empty = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
-    for _, stage in cp.STAGES:
-        empty = stage(spark, empty, "/root/testdata/sf0.001")
-    assert empty.count() == 0
+        before, empty = docs.columns, stage(spark, docs.limit(0), "/root/testdata/sf0.001")
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert empty.count() == 0 and empty.columns == out.columns
+        assert out.columns == (before if k < 4 else ["doc_id", "n_tokens", "ids"])
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        if k == 1:
+            assert len(ids) == len(set(ids)) + 1 and ids.count(3) == 2  # the repeated row goes, the other text of its id stays
+        if k in (2, 4):
+            assert len(ids) == len(rows)
 
 
 def test_names():

@@ -50,6 +50,7 @@ def test_long_pieces(reference):
         ids = next(v.encode([t]))
         assert ids == reference.encode_ordinary(t) and v.decode(ids) == t.encode()
         ends = v.offsets(ids)
+        assert v.decode_slices(ids, ends, 7) == t.encode() and v.decode_slices([], v.offsets([])) == b""
         assert ends[-1] == len(t.encode()) and v.decode(ids[1:3]) == t.encode()[ends[0] : ends[2]]
 
 
