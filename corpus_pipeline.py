@@ -3,7 +3,15 @@
 quality classifier -> MinHash near-dedup -> suffix-array dedup -> mixing -> byte-level BPE. All but
 the last stage return the columns they were given; a document's text changes only where the
 suffix-array stage cuts passages that also start earlier. The mix repeats documents of sources
-whose target lies above their size (each copy is a row) and drops those that the target leaves out.
+whose target lies above their size (each copy is a row), drops those that the target leaves out, and
+leaves its rows range-sorted by training position, each file of its output one run of positions.
+
+Edge cases: a null or empty text gets the score of a text without lines, is near nothing, loses
+nothing, is taken once and has no ids; a null doc_id is no near copy and stands first in the dedup of
+passages; very long texts go whole through every stage; rows that repeat a doc_id and a set of shingles
+become one, rows that share only a doc_id are documents of their own; ties go to the smallest doc_id, and
+then to the least hash of a text; an empty table gives an empty result; other columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,7 +40,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as its source's target takes; documents without words stay once."""
+    """As many copies of each document as its source's target takes, in training order; documents without words stay once, last."""
     return mixing.mixed_documents(docs)
 
 
@@ -42,7 +50,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_dedup), ("suffix-array dedup", passage_dedup), ("mixing to target weights", mix), ("byte-level BPE", encode)]
-#: SQL can't express the stages; tests/llm compares them with brute force.
+#: SQL can't express the classifier and the encoding; tests/llm compares all rows with brute force.
 ORACLE_SQL = None
 
 
