@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` of which no near copy has a smaller doc_id; of rows with equal doc_id and set one stays."""
-    kept = _labelled(docs, words, percent).filter(F.col("doc_id").isNotNull() & _kept())
+    kept = released(_labelled(docs, words, percent).filter(F.col("doc_id").isNotNull() & _kept()), "labelled")
     # of equal sets the least text, which may still stand in several rows; empty sets equal none
     verdict = kept.filter("n > 0").groupBy("doc_id", "one", "two", "n").agg(F.min("twin").alias("_lamina_twin")).select(F.col("doc_id").alias("_lamina_doc"), "_lamina_twin").distinct()
     times = kept.filter("n > 0").groupBy(F.col("doc_id").alias("_lamina_doc"), F.col("twin").alias("_lamina_twin")).agg(F.count("*").alias("_lamina_times"))
