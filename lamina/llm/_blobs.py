@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm._common import local_path, new_path
+from lamina.llm._common import local_path, new_path, small_batches
 
 #: A task cuts its output into files of about this size.
 FILE_BYTES = 8 << 20
@@ -37,6 +37,7 @@ def write_blobs(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterat
     `make` yields (content, first id in it, count of what it holds).
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, tag)
     folder = local_path(path)
     if folder:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -36,12 +37,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Bytes of one batch that goes to a Python worker, about; Spark's own bound is 64 MB, of which a task holds several copies.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of Python workers by bytes, unless the session has set a smaller bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"\d+", spark.conf.get(key))
+    if not now or int(now[0]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lamina/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str, options: dict | None = None) -> DataFrame:
     """The same rows, reread from Parquet in the shared folder: cuts lineage and survives lost executors."""
+    small_batches(df.sparkSession)
     path = new_path(df.sparkSession, tag)
     df.write.options(**(options or {})).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

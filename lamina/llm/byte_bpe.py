@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm._common import by_size
+from lamina.llm._common import by_size, small_batches
 
 #: Pieces that a worker's cache holds before it starts anew.
 CACHE_PIECES = 250_000
@@ -250,6 +250,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[lis
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm._common import by_size
+from lamina.llm._common import by_size, small_batches
 
 #: Documents, and lines in all of them, that the fit takes at most.
 MOST_DOCS, MOST_LINES = 3000, 200_000
@@ -249,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_l
     def run(batches):
         for b in batches:
             keys, texts, kinds = (b.column(k).to_pylist() for k in range(3))
-            for lo, hi in by_size(texts):
+            for lo, hi in by_size(texts, 1 << 18):
                 lines = line_features(texts[lo:hi])
                 out = [(k, q, lines.x[s:e], lines.weight[s:e]) for k, q, s, e in zip(keys[lo:hi], kinds[lo:hi], lines.begin, lines.begin[1:], strict=False)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([o[0] for o in out], pa.int64()), "quality": pa.array([o[1] for o in out], pa.int32()), "x": pa.array([o[2].astype("<f4").tobytes() for o in out], pa.binary()), "weight": pa.array([o[3].astype("<f4").tobytes() for o in out], pa.binary())})
@@ -273,9 +273,10 @@ def with_score(docs: DataFrame, field: Field, columns: list[str], out: str = "sc
     @F.pandas_udf("double")
     def scores(text: pd.Series) -> pd.Series:
         texts = text.tolist()
-        parts = [score(field, texts[lo:hi]) for lo, hi in by_size(texts)]
+        parts = [score(field, texts[lo:hi]) for lo, hi in by_size(texts, 1 << 18)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
+    small_batches(docs.sparkSession)
     return docs.select(*columns, scores(F.coalesce("text", F.lit(""))).alias(out))
 
 

@@ -41,7 +41,7 @@ ROWS, BANDS = 5, 40
 #: Size of the circle, as a power of two.
 CIRCLE = 22
 #: Documents and shingles in one block of the verification, about, and documents that it meets at once.
-BLOCK_DOCS, BLOCK_SHINGLES, CHUNK_DOCS = 256, 500_000, 2048
+BLOCK_DOCS, BLOCK_SHINGLES, CHUNK_DOCS = 256, 500_000, 512
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -146,7 +146,7 @@ def hashed(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             texts = b.column(2).to_pylist()
-            for lo, hi in by_size(texts, 1 << 19):
+            for lo, hi in by_size(texts, 1 << 18):
                 sets = shingle_sets(texts[lo:hi], words)
                 n = np.array([len(s) for s in sets], np.int64)
                 sums = [np.array([_mix(s ^ np.uint64(x)).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64) for x in (0, 0x5BD1E995A7C3F10D)]

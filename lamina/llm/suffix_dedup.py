@@ -45,7 +45,7 @@ from lamina.llm._common import discard, released
 GRAM = 32
 LENGTH = 100
 #: Bytes of one piece of a text; a batch has two at most, and positions in it take 23 bits.
-PIECE = 1 << 19
+PIECE = 1 << 18
 _LOW = np.uint64((1 << 23) - 1)
 #: Ranges of anchor offsets that a block's windows are dealt to.
 RANGES = 8
@@ -82,7 +82,7 @@ class Names:
 
     def __init__(self, data: np.ndarray):
         self.sums = []
-        for values, power, inverse in _tables(1 << max(20, (len(data) - 1).bit_length())):
+        for values, power, inverse in _tables(1 << max(19, (len(data) - 1).bit_length())):
             s = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(values[data] * power[: len(data)], out=s[1:])
             self.sums.append((s, inverse))
