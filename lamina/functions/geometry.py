@@ -208,3 +208,9 @@ def tiles(width: Column, height: Column, most: int = 4096) -> Column:  # P14
     axis = lambda n: F.when(n > 0, F.sequence(F.lit(0), (F.ceil(n / most) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     tile = lambda r, c: F.struct((c * most).alias("x"), (r * most).alias("y"), F.least(F.lit(most), width - c * most).alias("width"), F.least(F.lit(most), height - r * most).alias("height"))
     return F.flatten(F.transform(axis(height), lambda r: F.transform(axis(width), lambda c: tile(r, c))))
+
+
+def grid_cell(row: Column, col: Column, rows: Column, cols: Column, width: Column, height: Column) -> Column:  # P29, G11
+    """x, y, width, height of a cell of an equal grid over a frame; a grid has one column at least."""
+    w, h = width / F.greatest(F.lit(1), cols), height / rows
+    return F.struct((col * w).alias("x"), (row * h).alias("y"), w.alias("width"), h.alias("height"))

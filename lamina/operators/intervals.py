@@ -1,7 +1,8 @@
 """Intervals over ordered logs: bracket matching, containment, overlap, positional matching.
 
-Interval joins go through equi-joined buckets: a range is listed under every bucket it touches, a
-point under its own, so a join compares only what is near, whatever the number of ranges.
+Interval joins are equi-joins on dyadic cells: a range has the level of the power of two that its length
+needs, and touches two cells of that size at most; a point is listed once for each level that the
+ranges have. Rows thus grow with the number of ranges and points and not with their lengths.
 """
 
 from __future__ import annotations
@@ -35,39 +36,61 @@ def drop_placeholders(ranges: DataFrame, keys: Sequence[str], name: str = "name"
     return marked.filter(~(F.col("_empty") & F.coalesce("_hit", F.lit(False)))).drop("_name", "_empty", "_hit")
 
 
-def _bucketed(ranges: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
-    return ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(start / width), F.floor(end / width))))
+def _level(start: Column, end: Column) -> Column:
+    return F.ceil(F.log2(F.greatest(F.lit(1), end - start + 1))).cast("int")
 
 
-def containing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, width: int = 64, how: str = "inner") -> DataFrame:  # J4
-    """Points joined with every range (start, end; both ends count) that holds them."""
-    near = _bucketed(ranges, F.col("start"), F.col("end"), width)
-    rows = points.withColumn("_bucket", F.floor(F.col(at) / width))
-    p, r = rows.alias("p"), near.alias("r")
-    on = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in [*keys, "_bucket"]]
-    cond = on[0]
-    for c in [*on[1:], F.col("r.start") <= F.col(f"p.{at}"), F.col("r.end") >= F.col(f"p.{at}")]:
-        cond = cond & c
-    keep = [F.col(f"p.{c}") for c in points.columns]
-    extra = [] if how in ("left_semi", "left_anti") else [F.col(f"r.{c}") for c in ranges.columns if c not in keys]
-    return p.join(r, cond, how).select(*keep, *extra)
+def _cells(df: DataFrame, start: Column, end: Column) -> DataFrame:
+    """A row for each cell of level `_level` that a range touches, two at most."""
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    return df.withColumn("_cell", F.explode(F.sequence(F.floor(start / size), F.floor(end / size))))
 
 
-def innermost(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, width: int = 64) -> DataFrame:  # J3, O5
-    """The range with the greatest start that holds each point; points without one stay, with null."""
-    order = Window.partitionBy(*keys, at).orderBy(F.col("start").desc_nulls_last(), F.col("end"))
-    return containing(points, ranges, keys, at, width, "left").withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_rank")
+def _levels(ranges: DataFrame) -> DataFrame:
+    """One row with the levels that ranges have, 64 at most, so it can be broadcast."""
+    return F.broadcast(ranges.agg(F.collect_set("_level").alias("_levels")))
 
 
-def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int = 64, how: str = "left_semi") -> DataFrame:  # J4, J5
-    """The ranges of `a` that touch (left_semi) or don't touch (left_anti) a range of `b`."""
-    id_ = ["start", "end"]
-    left = _bucketed(a.select(*keys, *id_).distinct(), F.col("start"), F.col("end"), width).alias("l")
-    right = _bucketed(b.select(*keys, F.col("start").alias("s2"), F.col("end").alias("e2")), F.col("s2"), F.col("e2"), width).alias("r")
-    cond = (F.col("l._bucket") == F.col("r._bucket")) & (F.col("l.start") <= F.col("r.e2")) & (F.col("l.end") >= F.col("r.s2"))
-    for k in keys:
-        cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    hit = left.join(right, cond, "left_semi").select(*[F.col(f"l.{c}") for c in [*keys, *id_]]).distinct()
+def _same(left: str, right: str, columns: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for c in columns:
+        cond = cond & (F.col(f"{left}.{c}") == F.col(f"{right}.{c}"))
+    return cond
+
+
+def containing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, how: str = "inner") -> DataFrame:  # J4
+    """Points joined with every range (start, end; both ends count) that holds them; or the points that have one (left_semi) or none (left_anti)."""
+    keys = list(keys)
+    own = ranges.withColumn("_level", _level(F.col("start"), F.col("end")))
+    near = _cells(own, F.col("start"), F.col("end"))
+    if how != "inner":
+        spots = points.select(*keys, at).distinct()
+        return points.join(containing(spots, ranges, keys, at).select(*keys, at).distinct(), [*keys, at], how)
+    rows = points.crossJoin(_levels(own)).withColumn("_level", F.explode("_levels")).withColumn("_cell", F.floor(F.col(at) / F.pow(F.lit(2.0), F.col("_level"))))
+    cond = _same("p", "r", [*keys, "_level", "_cell"]) & (F.col("r.start") <= F.col(f"p.{at}")) & (F.col("r.end") >= F.col(f"p.{at}"))
+    return rows.alias("p").join(near.alias("r"), cond).select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"r.{c}") for c in ranges.columns if c not in keys])
+
+
+def innermost(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str) -> DataFrame:  # J3, O5
+    """The range with the greatest start that holds each point, of several the shortest; points without one stay, with null."""
+    more = [c for c in ranges.columns if c not in keys]
+    held = containing(points.select(*keys, at).distinct(), ranges, keys, at)
+    best = held.groupBy(*keys, at).agg(F.max_by(F.struct(*more), F.struct(F.col("start"), -F.col("end"))).alias("_best"))
+    return points.join(best, [*keys, at], "left").select(*points.columns, *[F.col(f"_best.{c}").alias(c) for c in more])
+
+
+def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "left_semi") -> DataFrame:  # J4, J5
+    """The ranges of `a` that touch (left_semi) or don't touch (left_anti) a range of `b`.
+
+    Two ranges meet in a cell of the longer one's level, so each is listed at its own level and at those above.
+    """
+    keys, id_ = list(keys), ["start", "end"]
+    own = lambda df: df.select(*keys, *id_).distinct().withColumn("_own", _level(F.col("start"), F.col("end")))
+    left, right = own(a), own(b)
+    levels = _levels(left.select(F.col("_own").alias("_level")).unionByName(right.select(F.col("_own").alias("_level"))))
+    listed = lambda df: _cells(df.crossJoin(levels).withColumn("_level", F.explode("_levels")).filter("_level >= _own"), F.col("start"), F.col("end"))
+    cond = _same("l", "r", [*keys, "_level", "_cell"]) & (F.col("l._level") == F.greatest("l._own", "r._own")) & (F.col("l.start") <= F.col("r.end")) & (F.col("l.end") >= F.col("r.start"))
+    hit = listed(left).alias("l").join(listed(right).alias("r"), cond, "left_semi").select(*keys, *id_).distinct()
     return a.join(hit, [*keys, *id_], how)
 
 

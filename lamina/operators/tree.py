@@ -1,4 +1,7 @@
-"""Trees as adjacency rows (doc_id, node_id, parent_id, ord, ...): closures, roll-ups, inheritance."""
+"""Trees as adjacency rows (doc_id, node_id, parent_id, ord, ...): closures, roll-ups, inheritance.
+
+What goes up or down a tree does so by doubling: a tree of depth d takes log2(d) rounds, each written to
+the checkpoint folder."""
 
 from __future__ import annotations
 
@@ -7,34 +10,71 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.geometry import chain
+from lamina.functions.geometry import IDENTITY, matrix, multiply
+from lamina.session import cut
+
+
+def _parents(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("parent_id is not null").select("doc_id", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
+
+
+def _cycle(rounds: int, nodes: int) -> None:
+    """No path has more steps than there are nodes, so more doublings than these need a cycle."""
+    if 1 << (rounds - 1) > max(1, nodes):
+        raise ValueError("the parents form a cycle")
 
 
-def closure(nodes: DataFrame, most_depth: int = 64) -> DataFrame:  # J18, F26, P13
-    """doc_id, node_id, ancestor_id, distance (0 is the node itself), by doubling: as many joins as the logarithm of the depth. A node with ancestors beyond most_depth, or a cycle, is an error."""
-    step = nodes.filter("parent_id is not null").select("doc_id", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
+def closure(nodes: DataFrame) -> DataFrame:  # J18, F26, P13
+    """doc_id, node_id, ancestor_id, distance (0 is the node itself), by doubling: as many joins as the logarithm of the depth, whatever the depth. A cycle is an error.
+
+    A row for each pair; `subtree_sums`, `inherited` and `world_matrices` need a row for each node only.
+    """
+    step = _parents(nodes)
     reach = nodes.select("doc_id", "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("distance")).unionByName(step)
-    hop, size = step, 1
-    while size < most_depth:
+    hop, size, rounds, count = step, 1, 0, nodes.count()
+    while True:
         # hop: exactly `size` steps up; reach: up to `size` steps up
         far = hop.alias("h").join(reach.alias("r"), (F.col("h.doc_id") == F.col("r.doc_id")) & (F.col("h.ancestor_id") == F.col("r.node_id")))
-        far = far.select("h.doc_id", "h.node_id", "r.ancestor_id", (F.col("h.distance") + F.col("r.distance")).alias("distance"))
-        if far.filter(F.col("distance") > size).isEmpty():
-            break
-        reach = reach.unionByName(far.filter(F.col("distance") > size))
-        hop, size = far.filter(F.col("distance") == 2 * size), size * 2
-    else:
-        if not hop.join(step.select("doc_id", F.col("node_id").alias("ancestor_id")), ["doc_id", "ancestor_id"], "left_semi").isEmpty():
-            raise ValueError(f"a node has ancestors more than {size} levels up, or the parents form a cycle")
-    return reach
+        far = cut(far.select("h.doc_id", "h.node_id", "r.ancestor_id", (F.col("h.distance") + F.col("r.distance")).alias("distance")).filter(F.col("distance") > size))
+        if far.isEmpty():
+            return reach
+        rounds += 1
+        _cycle(rounds, count)
+        reach, size = cut(reach.unionByName(far)), size * 2
+        hop = far.filter(F.col("distance") == size)
+
+
+def _doubling(nodes: DataFrame, state: DataFrame, step) -> DataFrame:
+    """step(state, hops) with hops (doc_id, node_id, ancestor_id) 1, 2, 4, ... levels up, until no node has an ancestor so far up."""
+    hops, rounds, count = cut(_parents(nodes).drop("distance")), 0, nodes.count()
+    while not hops.isEmpty():
+        rounds += 1
+        _cycle(rounds, count)
+        state = cut(step(state, hops))
+        up = hops.select("doc_id", F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("_next"))
+        hops = cut(hops.join(up, ["doc_id", "ancestor_id"]).select("doc_id", "node_id", F.col("_next").alias("ancestor_id")))
+    return state
 
 
 def count_nodes(nodes: DataFrame) -> DataFrame:  # G1
     return nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"))
 
 
+def subtree_sums(nodes: DataFrame, value: Column) -> DataFrame:
+    """doc_id, node_id, total: the sum of a value over a node and all below it, in a row for each node.
+
+    After k rounds a node has the sum of what lies less than 2**k levels below it.
+    """
+
+    def step(state, hops):
+        more = hops.join(state, ["doc_id", "node_id"]).groupBy("doc_id", F.col("ancestor_id").alias("node_id")).agg(F.sum("total").alias("_more"))
+        return state.join(more, ["doc_id", "node_id"], "left").select("doc_id", "node_id", (F.col("total") + F.coalesce("_more", F.lit(0))).alias("total"))
+
+    return _doubling(nodes, nodes.select("doc_id", "node_id", value.cast("long").alias("total")), step)
+
+
 def subtree_sizes(nodes: DataFrame) -> DataFrame:  # G2
-    return closure(nodes).groupBy("doc_id", F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("nodes"))
+    return subtree_sums(nodes, F.lit(1)).withColumnRenamed("total", "nodes")
 
 
 def group_bounds(children: DataFrame, keys: Sequence[str]) -> DataFrame:  # G4, P31
@@ -62,35 +102,45 @@ def class_styles(rules: DataFrame) -> DataFrame:  # F8, J8: doc_id, sheet, ord,
 def inherited(nodes: DataFrame, values: DataFrame) -> DataFrame:  # J18
     """The value of each property at each node: the nearest ancestor that has one, inline before class before attribute, later classes before earlier.
 
-    values: doc_id, node_id, name, value, rank (0 inline, 1 class, 2 attribute), class_pos.
+    values: doc_id, node_id, name, value, rank (0 inline, 1 class, 2 attribute), class_pos. After k
+    rounds a node has what lies less than 2**k levels above it.
     """
-    up = closure(nodes).withColumnRenamed("node_id", "target").withColumnRenamed("ancestor_id", "node_id")
-    best = F.min_by("value", F.struct(F.col("distance"), F.col("rank"), -F.coalesce("class_pos", F.lit(0))))
-    return up.join(values, ["doc_id", "node_id"]).groupBy("doc_id", F.col("target").alias("node_id"), "name").agg(best.alias("value"))
+    own = F.min_by("value", F.struct(F.col("rank"), -F.coalesce("class_pos", F.lit(0))))
+    state = values.join(nodes.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi").groupBy("doc_id", "node_id", "name").agg(own.alias("value"))
+
+    def step(state, hops):
+        above = hops.join(state.withColumnRenamed("node_id", "ancestor_id"), ["doc_id", "ancestor_id"]).select("doc_id", "node_id", "name", "value")
+        return state.unionByName(above.join(state, ["doc_id", "node_id", "name"], "left_anti"))
+
+    return _doubling(nodes, state, step)
 
 
 def world_matrices(nodes: DataFrame, own: Column) -> DataFrame:  # F26, W13
-    """doc_id, node_id, matrix: product of the matrices from the root down. A node's ancestors meet in one row."""
-    up = closure(nodes.select("doc_id", "node_id", "parent_id"))
-    m = nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), own.alias("m"))
-    path = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), F.col("m"))))
-    return up.join(m, ["doc_id", "ancestor_id"]).groupBy("doc_id", "node_id").agg(chain(F.transform(path, lambda p: p["m"])).alias("matrix"))
+    """doc_id, node_id, matrix: product of the matrices from the root down."""
+
+    def step(state, hops):
+        above = hops.join(state.select("doc_id", F.col("node_id").alias("ancestor_id"), F.col("matrix").alias("_above")), ["doc_id", "ancestor_id"]).select("doc_id", "node_id", "_above")
+        rows = state.join(above, ["doc_id", "node_id"], "left")
+        return rows.select("doc_id", "node_id", F.when(F.col("_above").isNull(), F.col("matrix")).otherwise(multiply(F.col("_above"), F.col("matrix"))).alias("matrix"))
+
+    # a node without a matrix of its own counts as the unit matrix
+    return _doubling(nodes, nodes.select("doc_id", "node_id", F.coalesce(own, matrix(*IDENTITY)).alias("matrix")), step)
 
 
 def drop_empty_groups(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:  # P12
     """(nodes without groups that hold no leaf, the named groups among those dropped)."""
-    leaves = nodes.filter("not is_group").select("doc_id", "node_id")
-    full = closure(nodes).join(leaves, ["doc_id", "node_id"]).select("doc_id", F.col("ancestor_id").alias("node_id")).distinct()
-    empty = nodes.filter("is_group").join(full, ["doc_id", "node_id"], "left_anti")
+    leaves = subtree_sums(nodes, F.when(F.col("is_group"), 0).otherwise(1)).filter("total > 0").select("doc_id", "node_id")
+    empty = nodes.filter("is_group").join(leaves, ["doc_id", "node_id"], "left_anti")
     return nodes.join(empty.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_anti"), empty.filter("name is not null and name <> ''")
 
 
 def image_subtrees(nodes: DataFrame, root_ids: DataFrame) -> DataFrame:  # P24
     """Copies of subtrees that keep images and the branches above them; ids are new."""
-    up = closure(nodes)
-    inside = up.join(root_ids.withColumnRenamed("node_id", "ancestor_id"), ["doc_id", "ancestor_id"], "left_semi").select("doc_id", "node_id").distinct()
-    images = nodes.filter("type = 'image'").join(inside, ["doc_id", "node_id"], "left_semi").select("doc_id", "node_id", F.coalesce("is_mask", F.lit(False)).alias("_mask"))
-    live = up.join(images.filter("not _mask").select("doc_id", "node_id"), ["doc_id", "node_id"]).select("doc_id", F.col("ancestor_id").alias("node_id")).unionByName(images.select("doc_id", "node_id")).distinct()
+    roots = root_ids.select("doc_id", "node_id", F.lit("inside").alias("name"), F.lit(True).alias("value"), F.lit(0).alias("rank"), F.lit(0).alias("class_pos"))
+    inside = inherited(nodes, roots).select("doc_id", "node_id")
+    image, mask = F.coalesce(F.col("type") == "image", F.lit(False)), F.coalesce("is_mask", F.lit(False))
+    live = subtree_sums(nodes, F.when(image & ~mask, 1).otherwise(0)).filter("total > 0").select("doc_id", "node_id")
+    live = live.unionByName(nodes.filter(image & mask).select("doc_id", "node_id")).distinct()
     kept = nodes.join(inside, ["doc_id", "node_id"], "left_semi").join(live, ["doc_id", "node_id"], "left_semi")
     return kept.withColumn("node_id", F.concat(F.lit("copy/"), "node_id")).withColumn("parent_id", F.concat(F.lit("copy/"), "parent_id"))
 

@@ -5,31 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lamina.functions import geometry
 from lamina.operators import fonts, intervals, ordered, report, tree
 from lamina.session import table as T
 
 
-def _font_analysis(spark, d, installed):
+def font_analysis(spark, d):
+    """The installed fonts are those of a property, the size."""
     part = T(spark, d, "part")
     texts = part.select(F.col("p_partkey").alias("ord"), F.concat(F.element_at(F.split("p_name", " "), 1), F.lit(" "), F.col("p_brand")).alias("family"), F.col("p_type").alias("style"), F.lit(None).cast("string").alias("base_family"), F.lit(None).cast("string").alias("base_style"))
-    s = part.filter(installed)
+    s = part.filter("p_size <= 20")
     same = s.select(F.col("p_partkey").alias("ord"), F.concat(F.element_at(F.split("p_name", " "), 1), F.when(F.col("p_size") % 2 == 0, " ").otherwise("_"), F.col("p_brand")).alias("family"), F.when(F.col("p_size") % 5 == 0, "Regular").otherwise(F.col("p_type")).alias("style"))
     base = spark.createDataFrame([(-2, "Inter", "Regular"), (-1, "Arial", "Regular")], "ord long, family string, style string")
     return fonts.analyze(fonts.requested(texts), base.unionByName(same)).select("key", "decision", F.lower("chosen_family").alias("chosen_family"), F.lower("chosen_style").alias("chosen_style"))
 
 
-def font_analysis(spark, d):
-    return _font_analysis(spark, d, F.col("p_partkey") % 3 == 0)
-
-
-def font_analysis_by_size(spark, d):
-    """The installed fonts are those of a property, the size."""
-    return _font_analysis(spark, d, F.col("p_size") <= 20)
-
-
 FONT_ANALYSIS = r"""
 with req as (select distinct lower(string_split(p_name, ' ')[1] || ' ' || p_brand || '::' || p_type) as key, lower(string_split(p_name, ' ')[1] || ' ' || p_brand) as family from part),
-inst0 as (select p_partkey as ord, string_split(p_name, ' ')[1] || case when p_size % 2 = 0 then ' ' else '_' end || p_brand as family, case when p_size % 5 = 0 then 'Regular' else p_type end as style from part where p_partkey % 3 = 0
+inst0 as (select p_partkey as ord, string_split(p_name, ' ')[1] || case when p_size % 2 = 0 then ' ' else '_' end || p_brand as family, case when p_size % 5 = 0 then 'Regular' else p_type end as style from part where p_size <= 20
  union all select -2, 'Inter', 'Regular' union all select -1, 'Arial', 'Regular'),
 inst as (select lower(family || '::' || style) as key, lower(any_value(family)) as family, lower(any_value(style)) as style, min(ord) as ord from inst0 group by 1),
 fam as (select regexp_replace(family, '[\s._-]+', '', 'g') as fk, family, style, row_number() over (partition by regexp_replace(family, '[\s._-]+', '', 'g') order by case when style = 'regular' then 0 else 1 end, ord) as r from inst)
@@ -37,7 +30,6 @@ select req.key, case when i.key is not null then 'exact' when f.fk is not null t
 case when i.key is not null then req.family when f.fk is not null then f.family else 'inter' end as chosen_family,
 case when i.key is not null then i.style when f.fk is not null then f.style else 'regular' end as chosen_style
 from req left join inst i on req.key = i.key left join fam f on f.r = 1 and f.fk = regexp_replace(req.family, '[\s._-]+', '', 'g')"""
-FONT_ANALYSIS_BY_SIZE = FONT_ANALYSIS.replace("p_partkey % 3 = 0", "p_size <= 20")
 
 
 def font_choice(spark, d):
@@ -90,7 +82,7 @@ select user_id, id, name, visible from r where not (visible and empty and exists
 def innermost_range(spark, d):
     points = T(spark, d, "events").filter("event_type = 'view'").select("user_id", F.col("event_id").alias("at"))
     ranges = _brackets(spark, d).select("user_id", "start", "end")
-    return intervals.innermost(points, ranges, _EV, "at", 512).select("user_id", "at", "start", "end")
+    return intervals.innermost(points, ranges, _EV, "at").select("user_id", "at", "start", "end")
 
 
 INNERMOST_RANGE = f"""
@@ -101,7 +93,7 @@ select user_id, pos as "at", start, "end" from j where r = 1"""
 
 def range_overlap(spark, d):
     r = _brackets(spark, d).select("user_id", "start", "end", "level")
-    return intervals.overlapping(r.filter("level > 1"), r.filter("level = 1 and start % 2 = 0"), _EV, 512, "left_anti").select("user_id", "start", "end", F.col("level").cast("int").alias("level"))
+    return intervals.overlapping(r.filter("level > 1"), r.filter("level = 1 and start % 2 = 0"), _EV, "left_anti").select("user_id", "start", "end", F.col("level").cast("int").alias("level"))
 
 
 RANGE_OVERLAP = f"""
@@ -159,12 +151,12 @@ select o_custkey, o_orderkey, coalesce(sum(floor(o_totalprice / 100) + 120) over
 
 
 def alignment(spark, d):
-    e = T(spark, d, "events").filter("event_type = 'click'").select(F.col("user_id"), F.floor("value").cast("double").alias("left"), F.floor(F.col("value") + F.col("event_id") % 11).cast("double").alias("right"), F.lit(40.0).alias("height"))
+    e = T(spark, d, "events").select(F.col("user_id"), F.floor("value").cast("double").alias("left"), F.floor(F.col("value") + F.col("event_id") % 11).cast("double").alias("right"), F.lit(40.0).alias("height"))
     return ordered.alignment(e, _EV)
 
 
 ALIGNMENT = """
-with l as (select user_id, floor(value) as l, floor(value + event_id % 11) as r from events where event_type = 'click'),
+with l as (select user_id, floor(value) as l, floor(value + event_id % 11) as r from events),
 g as (select user_id, count(*) as lines, max(l) - min(l) as sl, max((l + r) / 2) - min((l + r) / 2) as sc, max(r) - min(r) as sr from l group by user_id)
 select user_id, lines, case when lines < 2 or least(sl, sc, sr) > greatest(6.0, 40 * 0.35) then 'left' when sl <= sc and sl <= sr then 'left' when sc <= sr then 'center' else 'right' end as alignment from g"""
 
@@ -261,31 +253,20 @@ select user_id, count(*) as items, count(*) filter (where event_type in ('signup
 count(*) filter (where event_type = 'purchase') as fallbacks, count(*) filter (where event_type in ('error','purchase')) as attention from events group by user_id"""
 
 
-def _table_grid(spark, d, words):
-    """P29, G11: rows of turns and cells of words laid on an equal grid."""
-    c = T(spark, d, "conversations").select("conv_id", "turn", words.alias("cells"))
-    shape = c.groupBy("conv_id").agg(F.count("*").alias("rows"), F.greatest(F.lit(1), F.max(F.size("cells"))).alias("cols"))
-    cells = c.select("conv_id", "turn", F.posexplode("cells").alias("col", "word"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    numbered = c.select("conv_id", "turn", (F.row_number().over(w) - 1).alias("row"))
-    x = cells.join(numbered, ["conv_id", "turn"]).join(shape, "conv_id")
-    return x.select("conv_id", "row", "col", (F.col("col") * 960.0 / F.col("cols")).alias("x"), (F.col("row") * 540.0 / F.col("rows")).alias("y"), (F.trim("word") != "").alias("has_text"))
-
-
 def table_grid(spark, d):
-    return _table_grid(spark, d, F.slice(F.split("text", " "), 1, 6))
-
-
-def table_grid_whole(spark, d):
-    return _table_grid(spark, d, F.split("text", " "))
+    """P29, G11: turns and their words laid on an equal grid."""
+    c = T(spark, d, "conversations").select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("row"), F.split("text", " ").alias("cells"))
+    shape = c.groupBy("conv_id").agg(F.count("*").alias("rows"), F.max(F.size("cells")).alias("cols"))
+    x = c.select("conv_id", "row", F.posexplode("cells").alias("col", "word")).join(shape, "conv_id")
+    x = x.withColumn("at", geometry.grid_cell(F.col("row"), F.col("col"), F.col("rows"), F.col("cols"), F.lit(960.0), F.lit(540.0)))
+    return x.select("conv_id", "row", "col", "at.x", "at.y", (F.trim("word") != "").alias("has_text"))
 
 
 TABLE_GRID = """
-with c as (select conv_id, turn, string_split(text, ' ')[1:6] as cells, row_number() over (partition by conv_id order by turn) - 1 as row from conversations),
+with c as (select conv_id, turn, string_split(text, ' ') as cells, row_number() over (partition by conv_id order by turn) - 1 as row from conversations),
 s as (select conv_id, count(*) as rows, greatest(1, max(len(cells))) as cols from c group by 1),
 k as (select conv_id, row, unnest(cells) as word, unnest(range(0, len(cells))) as col from c)
-select k.conv_id, cast(row as integer) as row, cast(col as integer) as col, col * 960.0::double / cols as x, row * 540.0::double / rows as y, trim(word) <> '' as has_text from k join s using (conv_id)"""
-TABLE_GRID_WHOLE = TABLE_GRID.replace("string_split(text, ' ')[1:6]", "string_split(text, ' ')")
+select k.conv_id, cast(row as integer) as row, cast(col as integer) as col, col * (960.0::double / cols) as x, row * (540.0::double / rows) as y, trim(word) <> '' as has_text from k join s using (conv_id)"""
 
 
 def zorder_recover(spark, d):
@@ -298,8 +279,8 @@ ZORDER_RECOVER = """
 select conv_id, turn, cast(row_number() over (partition by conv_id order by case when conv_id % 2 = 0 then case role when 'user' then 1 when 'system' then 2 else 4 end else 0 end, turn) - 1 as integer) as z from conversations"""
 
 
-def _text_runs(spark, d, text):
-    c = T(spark, d, "conversations").select("conv_id", "turn", text.alias("t"))
+def text_runs(spark, d):
+    c = T(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
     new = F.col("turn") % 2 == 0
     first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) == 1
     c = c.withColumn("nl", new & ~first)
@@ -307,19 +288,10 @@ def _text_runs(spark, d, text):
     return runs.select("conv_id", "turn", "run_start", "run_end")
 
 
-def text_runs(spark, d):
-    return _text_runs(spark, d, F.substring("text", 1, 12))
-
-
-def text_runs_whole(spark, d):
-    return _text_runs(spark, d, F.col("text"))
-
-
-TEXT_RUNS = """
-with c as (select conv_id, turn, length(substr(text, 1, 12)) as n, case when turn % 2 = 0 and row_number() over (partition by conv_id order by turn) > 1 then 1 else 0 end as nl from conversations)
-select conv_id, turn, cast(sum(n + nl) over (partition by conv_id order by turn) - n as bigint) as run_start, cast(sum(n + nl) over (partition by conv_id order by turn) + coalesce(lead(nl) over (partition by conv_id order by turn), 0) as bigint) as run_end from c"""
 #: UTF-16 units: a character beyond the first plane has two.
-TEXT_RUNS_WHOLE = TEXT_RUNS.replace("length(substr(text, 1, 12))", r"length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]'))")
+TEXT_RUNS = r"""
+with c as (select conv_id, turn, length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')) as n, case when turn % 2 = 0 and row_number() over (partition by conv_id order by turn) > 1 then 1 else 0 end as nl from conversations)
+select conv_id, turn, cast(sum(n + nl) over (partition by conv_id order by turn) - n as bigint) as run_start, cast(sum(n + nl) over (partition by conv_id order by turn) + coalesce(lead(nl) over (partition by conv_id order by turn), 0) as bigint) as run_end from c"""
 
 
 def joined_text(spark, d):
@@ -338,25 +310,16 @@ def line_heights(spark, d):
 LINE_HEIGHTS = "select user_id, event_id, round(abs(value - coalesce(lead(value) over w, lag(value) over w)), 6) as line_height from events window w as (partition by user_id order by event_id)"
 
 
-def _positional_zip(spark, d, some):
-    styles = T(spark, d, "benchmark").select((F.col("item_id") % 3).alias("conv_key"), (F.col("item_id") / 3).cast("long").alias("k"), "item_id").filter(some)
+def positional_zip(spark, d):
+    styles = T(spark, d, "benchmark").select((F.col("item_id") % 3).alias("conv_key"), (F.col("item_id") / 3).cast("long").alias("k"), "item_id")
     items = T(spark, d, "conversations").select("conv_id", (F.col("conv_id") % 3).alias("conv_key"), (F.col("conv_id") * 1000 + F.col("turn")).alias("o"), "turn")
     return intervals.positional(items, styles, ["conv_key"], "o").select("conv_id", "turn", "item_id")
 
 
-def positional_zip(spark, d):
-    return _positional_zip(spark, d, F.col("k") < 4)
-
-
-def positional_zip_whole(spark, d):
-    return _positional_zip(spark, d, F.lit(True))
-
-
 POSITIONAL_ZIP = """
-with s as (select item_id % 3 as ck, item_id // 3 as k, item_id from benchmark where item_id // 3 < 4), n as (select ck, max(k) + 1 as n from s group by 1),
+with s as (select item_id % 3 as ck, item_id // 3 as k, item_id from benchmark), n as (select ck, max(k) + 1 as n from s group by 1),
 i as (select conv_id, turn, conv_id % 3 as ck, row_number() over (partition by conv_id % 3 order by conv_id * 1000 + turn) - 1 as r from conversations)
 select conv_id, turn, item_id from i left join n using (ck) left join s on s.ck = i.ck and s.k = least(r, n - 1)"""
-POSITIONAL_ZIP_WHOLE = POSITIONAL_ZIP.replace(" where item_id // 3 < 4", "")
 
 
 def replacement_merge(spark, d):
@@ -394,7 +357,7 @@ select p_brand as doc_id, p_partkey as ord, coalesce(sum(p_size * 10.0 + 120) ov
 QUERIES = {
     k: (globals()[k], globals()[k.upper()])
     for k in (
-        "font_analysis", "font_analysis_by_size", "font_choice", "bracket_match", "placeholder_drop", "innermost_range", "range_overlap", "state_carry", "islands", "baseline_bins", "layout_cursor", "alignment", "clamped_fold", "flowing_filters", "tree_rollup",
-        "inherited_value", "group_bounds", "doc_merge", "report_rollup", "table_grid", "table_grid_whole", "zorder_recover", "text_runs", "text_runs_whole", "joined_text", "line_heights", "positional_zip", "positional_zip_whole", "replacement_merge", "rollback_diff", "stale_filter", "page_placement",
+        "font_analysis", "font_choice", "bracket_match", "placeholder_drop", "innermost_range", "range_overlap", "state_carry", "islands", "baseline_bins", "layout_cursor", "alignment", "clamped_fold", "flowing_filters", "tree_rollup",
+        "inherited_value", "group_bounds", "doc_merge", "report_rollup", "table_grid", "zorder_recover", "text_runs", "joined_text", "line_heights", "positional_zip", "replacement_merge", "rollback_diff", "stale_filter", "page_placement",
     )
 }

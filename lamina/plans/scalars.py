@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import filters, geometry, pixels, strings
 from lamina.session import table as T
+from lamina.sources import packages
 
 
 def format_router(spark, d):
@@ -21,14 +22,17 @@ select page_id, e as extension, case when e in ('pptx','psd') then e when e in (
 
 
 def size_guard(spark, d):
-    limit = F.when(F.col("lang") == "en", 3000).otherwise(2000)
-    rows = T(spark, d, "documents").select("source", F.coalesce(F.length("text"), F.lit(0)).alias("size"), limit.alias("most"))
-    return rows.groupBy("source").agg(F.count("*").alias("files"), F.count_if(F.col("size") > F.col("most")).alias("oversized"), F.max("size").alias("largest"), (F.count_if(F.col("size") > F.col("most")) == 0).alias("accepted"))
+    """S18: each text is a file whose length stands for kilobytes of its kind; a source with a file over the limit is refused."""
+    kind = F.when(F.col("lang") == "en", ".pptx").otherwise(".ai")
+    rows = T(spark, d, "documents").select("source", F.concat(F.col("doc_id").cast("string"), kind).alias("name"), (F.coalesce(F.length("text"), F.lit(0)).cast("long") * 250_000).alias("size"))
+    over = packages.oversized(rows).groupBy("source").agg(F.count("*").alias("oversized"))
+    files = rows.groupBy("source").agg(F.count("*").alias("files"), F.max("size").alias("largest"))
+    return files.join(over, "source", "left").select("source", "files", F.coalesce("oversized", F.lit(0)).alias("oversized"), "largest", F.col("oversized").isNull().alias("accepted"))
 
 
 SIZE_GUARD = """
 select source, count(*) as files, count(*) filter (where n > most) as oversized, max(n) as largest, count(*) filter (where n > most) = 0 as accepted
-from (select source, coalesce(length(text), 0) as n, case when lang = 'en' then 3000 else 2000 end as most from documents) group by source"""
+from (select source, coalesce(length(text), 0) * 250000::bigint as n, case when lang = 'en' then 500 * 1048576::bigint else 1536 * 1048576::bigint end as most from documents) group by source"""
 
 
 def natural_sort(spark, d):
@@ -72,23 +76,14 @@ select page_id, case when decl like '%margin:%' then 'fill,margin' else 'fill' e
 case when decl like '%margin:%' then trim(regexp_extract(decl, 'margin:([^;]*)', 1)) end as margin, cast(page_id as varchar) as fill from s"""
 
 
-def _null_strip(spark, d, text):
-    dirty = F.concat(text, F.lit("\u0000&ns_ai;\u0000adobe-blending-mode: ColorBurn;"), F.col("source"))
+def null_strip(spark, d):
+    dirty = F.concat(F.col("text"), F.lit("\u0000&ns_ai;\u0000adobe-blending-mode: ColorBurn;"), F.col("source"))
     out = strings.normalize_svg(dirty)
     return T(spark, d, "documents").select("doc_id", strings.null_count(dirty).alias("nulls"), out.alias("xml"))
 
 
-def null_strip(spark, d):
-    return _null_strip(spark, d, F.substring("text", 1, 40))
-
-
-def null_strip_whole(spark, d):
-    return _null_strip(spark, d, F.col("text"))
-
-
-NULL_STRIP = "select doc_id, 2 as nulls, substr(text, 1, 40) || 'http://ns.adobe.com/AdobeIllustrator/10.0/mix-blend-mode:color-burn;' || source as xml from documents"
 #: For texts without entities and blending modes of their own; tests/test_whole_texts.py has such texts.
-NULL_STRIP_WHOLE = "select doc_id, 2 + length(text) - length(replace(text, chr(0), '')) as nulls, replace(text, chr(0), '') || 'http://ns.adobe.com/AdobeIllustrator/10.0/mix-blend-mode:color-burn;' || source as xml from documents"
+NULL_STRIP = "select doc_id, 2 + length(text) - length(replace(text, chr(0), '')) as nulls, replace(text, chr(0), '') || 'http://ns.adobe.com/AdobeIllustrator/10.0/mix-blend-mode:color-burn;' || source as xml from documents"
 
 
 def blend_map(spark, d):
@@ -190,14 +185,14 @@ case event_type when 'signup' then value <> 0 when 'purchase' then true when 'vi
 
 
 def curve_sample(spark, d):
-    points = F.transform(F.slice("embedding", 1, 8), lambda v, i: F.struct((i * 32).cast("double").alias("input"), v.cast("double").alias("output")))
+    points = F.transform("embedding", lambda v, i: F.struct((i * 32).cast("double").alias("input"), v.cast("double").alias("output")))
     s = lambda x: F.round(filters.sample_curve(points, x), 9)
-    return T(spark, d, "embeddings").select("vec_id", s(64).alias("at_64"), s(80).alias("at_80"), s(300).alias("beyond"), s(-5).alias("below"))
+    return T(spark, d, "embeddings").select("vec_id", s(64).alias("at_64"), s(80).alias("at_80"), s(1e6).alias("beyond"), s(-5).alias("below"))
 
 
 CURVE_SAMPLE = """
 select vec_id, round(embedding[3]::double, 9) as at_64, round(embedding[3]::double + (embedding[4]::double - embedding[3]::double) * 0.5, 9) as at_80,
-round(embedding[8]::double, 9) as beyond, round(embedding[1]::double, 9) as below from embeddings"""
+round(embedding[-1]::double, 9) as beyond, round(embedding[1]::double, 9) as below from embeddings"""
 
 
 def pixel_overlay(spark, d):
@@ -259,5 +254,5 @@ p_size % 2 <> 0 as visible, false as locked, 0.0::double as rotation, case when
 
 QUERIES = {
     k: (globals()[k], globals()[k.upper()])
-    for k in ("format_router", "size_guard", "natural_sort", "path_normalize", "mime_map", "style_extract", "null_strip", "null_strip_whole", "blend_map", "normalized_key", "number_formats", "round_js", "hex_color", "emu_transform", "matrix_chain", "adjustment_map", "curve_sample", "pixel_overlay", "tile_explode", "sink_defaults")
+    for k in ("format_router", "size_guard", "natural_sort", "path_normalize", "mime_map", "style_extract", "null_strip", "blend_map", "normalized_key", "number_formats", "round_js", "hex_color", "emu_transform", "matrix_chain", "adjustment_map", "curve_sample", "pixel_overlay", "tile_explode", "sink_defaults")
 }

@@ -23,7 +23,7 @@ def import_pages(ops: DataFrame, groups: DataFrame, items: DataFrame) -> tuple[D
     """
     layers = intervals.layer_ranges(ops.select("doc_id", "idx", "op", "tag", "group_id"), groups)
     page = ops.groupBy("doc_id").agg(F.max("page_w").alias("page_w"), F.max("page_h").alias("page_h"))
-    inside = intervals.containing(ops, layers.select("doc_id", "layer_id", "start", (F.col("end") - 1).alias("end")).filter("end >= start"), ["doc_id"], "idx", 4096).drop("start", "end")
+    inside = intervals.containing(ops, layers.select("doc_id", "layer_id", "start", (F.col("end") - 1).alias("end")).filter("end >= start"), ["doc_id"], "idx").drop("start", "end")
     key = F.concat_ws("\u001f", "doc_id", "layer_id")
     vector = pdf.vector_ops(inside.withColumn("_d", F.col("doc_id")).withColumn("doc_id", key)).withColumn("doc_id", F.col("_d"))
     drawn = pdf_svg.layer_markup(vector.select("doc_id", "layer_id", "idx", "op", "args", "page_w", "page_h"), ("doc_id", "layer_id"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.geometry import emu, hex_color, preset_shape
+from lamina.functions.geometry import emu, grid_cell, hex_color, preset_shape
 from lamina.functions.strings import js_number, mime_type, normalize_path, not_blank
 from lamina.operators import tree
 from lamina.sources.packages import unpack
@@ -185,7 +185,7 @@ def _table_nodes(slides: DataFrame, cells: DataFrame, rows: DataFrame) -> DataFr
     frame = rows.filter("kind = 'graphicFrame'").select("doc_id", "part", F.col("owner_id").alias("frame_id"), "width", "height")
     cell_rows = rows.filter("kind = 'tc'").select("doc_id", "part", F.col("owner_id").alias("cell_id"), "characters", F.coalesce("font_family", F.lit("Arial")).alias("font_family"), F.coalesce("font_style", F.lit("Regular")).alias("font_style"), F.coalesce("font_size", F.lit(18.0)).alias("font_size"), F.coalesce("align", F.lit("left")).alias("align"))
     c = cells.filter("cell_id is not null").join(frame, ["doc_id", "part", "frame_id"]).join(cell_rows, ["doc_id", "part", "cell_id"], "left")
-    c = c.withColumns({"w": F.col("width") / F.col("cols"), "h": F.col("height") / F.col("rows")}).withColumns({"cx": F.col("col") * F.col("w"), "cy": F.col("row") * F.col("h")})
+    c = c.withColumn("at", grid_cell(*map(F.col, ("row", "col", "rows", "cols", "width", "height")))).withColumns({"w": F.col("at.width"), "h": F.col("at.height"), "cx": F.col("at.x"), "cy": F.col("at.y")})
     name = F.format_string("Cell %d.%d", F.col("row") + 1, F.col("col") + 1)
     id_ = lambda s: F.concat(F.col("part"), F.lit("/"), F.col("cell_id").cast("string"), F.lit(s))
     base = lambda s, k, nm, x, y, w, h, f: [F.col("doc_id"), F.col("part"), id_(s).alias("node_id"), F.concat_ws("/", "part", F.col("frame_id").cast("string")).alias("parent_id"), F.col("cell_id").alias("ord"), F.lit("tc").alias("tag"), F.lit(k).alias("type"), nm.alias("name"), x.alias("x"), y.alias("y"), w.alias("width"), h.alias("height"), hex_color(F.lit(f)).alias("fill")]

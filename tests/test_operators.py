@@ -1,8 +1,11 @@
 """Golden vectors of operators on logs, text, fonts, trees and sinks."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.functions import geometry
 from lamina.operators import fonts, intervals, ordered, pdf, report, tree
 from lamina.sources import sink
 
@@ -153,8 +156,30 @@ def test_backdrop_pairs(spark):
     assert [r.doc_id for r in pdf.backdrop_pairs(s).collect()] == ["d"]
 
 
-def test_closure_refuses_what_it_would_cut(spark):
-    chain = lambda n: spark.createDataFrame([("d", f"n{i}", f"n{i - 1}" if i else None) for i in range(n)], "doc_id string, node_id string, parent_id string")
-    assert tree.closure(chain(5), most_depth=4).count() == 15
-    with pytest.raises(ValueError, match="more than 4 levels"):
-        tree.closure(chain(6), most_depth=4)
+def test_trees_of_any_depth(spark):
+    n = spark.createDataFrame([("d", i, i - 1 if i else None, i == 3) for i in range(1000)], "doc_id string, node_id int, parent_id int, v boolean")
+    assert {r.node_id: r.nodes for r in tree.subtree_sizes(n).collect()} == {i: 1000 - i for i in range(1000)}
+    values = n.filter("v").select("doc_id", "node_id", F.lit("fill").alias("name"), F.lit("red").alias("value"), F.lit(0).alias("rank"), F.lit(0).alias("class_pos"))
+    assert sorted(r.node_id for r in tree.inherited(n, values).collect()) == list(range(3, 1000))
+    moved = tree.world_matrices(n, geometry.parse_transform(F.lit("translate(1, 2)")))
+    assert moved.filter("node_id = 999").first().matrix[4:] == [1000.0, 2000.0]
+    deep = n.filter("node_id < 100")
+    assert tree.closure(deep).count() == 100 * 101 // 2
+    ring = spark.createDataFrame([("d", i, (i + 1) % 5) for i in range(5)], "doc_id string, node_id int, parent_id int")
+    for f in (tree.closure, tree.subtree_sizes):
+        with pytest.raises(ValueError, match="cycle"):
+            f(ring)
+
+
+def test_intervals_of_all_lengths(spark):
+    r = random.Random(3)
+    span = lambda: (a := r.randint(0, 2**r.randint(1, 40)), a + r.randint(0, 2**r.randint(0, 40)))
+    a, b = ([("k", *span()) for _ in range(120)] for _ in range(2))
+    points = [("k", r.randint(0, 2**r.randint(1, 40))) for _ in range(150)]
+    frame = lambda rows: spark.createDataFrame(rows, "key string, start long, end long")
+    touch = [x for x in a if any(x[1] <= y[2] and y[1] <= x[2] for y in b)]
+    assert sorted(map(tuple, intervals.overlapping(frame(a), frame(b), ["key"]).collect())) == sorted(touch)
+    assert sorted(map(tuple, intervals.overlapping(frame(a), frame(b), ["key"], "left_anti").collect())) == sorted(x for x in a if x not in touch)
+    got = intervals.innermost(spark.createDataFrame(points, "key string, at long"), frame(a), ["key"], "at").collect()
+    want = [(k, p, *(min(((-x[1], x[2]) for x in a if x[1] <= p <= x[2]), default=(None, None)))) for k, p in points]
+    assert sorted(map(str, map(tuple, got))) == sorted(str((k, p, None if s is None else -s, e)) for k, p, s, e in want)
