@@ -39,8 +39,8 @@ MAGIC = b"LPFR"
 BLOCK = 128
 #: Share of a block's values that the packed width must hold.
 SHARE = 0.9
-#: Ids in one file, about: at 2 bytes each a file has some 8 MB.
-FILE_IDS = 4_000_000
+#: Ids in one file, about: at 2 bytes each a file has some 4 MB.
+FILE_IDS = 2_000_000
 _HEAD = struct.Struct("<4sHHQQQQ")
 
 
@@ -153,7 +153,16 @@ class TokenFile:
 
 
 #: Words that a worker's cache holds before it is set aside for a new one, which still draws on it.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
+
+
+def _latin(text: str) -> bool:
+    """Whether every character is below 256: these are composed already, and lower case changes none into several."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Words(dict):
@@ -181,11 +190,10 @@ class Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         base, mark = (word[:-1], word[-1]) if len(word) > 1 and word[-1] in ".,!?;:" else (word, "")
-        if not base.isalpha() or max(base) >= "ɐ" or len(base) > 200 or not (low := base.lower()).isalpha() or not is_normalized("NFC", low):
+        low = base.lower()
+        letters = len(base) <= 200 and base.isalpha() and (base.isascii() or max(base) < "ɐ" and low.isalpha() and is_normalized("NFC", low))
+        if not letters:
             base, mark, low = word, "", word
-            letters = False
-        else:
-            letters = True
         if seen := (ids := self.get(low)) is not None:
             pass
         elif (ids := self.before.get(low)) is None:
@@ -211,6 +219,8 @@ class Words(dict):
             self.clear()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split alone
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+        if "<|" not in text and _latin(text):
+            text = text.lower()  # one entry for a word, whatever its case
         return b"".join(map(self.__getitem__, text.split())) + self.end
 
 
