@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lamina.plans import relational, scalars
+from lamina.plans import importers, relational, scalars
 
-MODULES = [relational, scalars]
+MODULES = [relational, scalars, importers]
 
 
 def queries() -> dict:

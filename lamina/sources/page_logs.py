@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lamina.functions.geometry import tiles
 from lamina.functions.strings import locked_layer
 from lamina.operators import intervals, pdf, pdf_svg
+from lamina.operators.report import item
 
 
 def has_layers(ops: DataFrame) -> DataFrame:  # S9
@@ -44,10 +45,19 @@ def import_pages(ops: DataFrame, groups: DataFrame, items: DataFrame) -> tuple[D
     lay = lay.join(full, ["doc_id", "node_id"], "left").withColumn("type", F.when(F.col("_full"), "group").otherwise("frame")).drop("_full")
     failed = drawn.filter("error is not null").select("doc_id", F.lit("warning").alias("level"), F.lit("AI_PDF_VECTOR_LAYER_FAILED").alias("code"), F.col("error").alias("message"), F.col("layer_id").alias("node_name"))
     empty = lay.filter("type = 'frame'").select("doc_id", F.lit("info").alias("level"), F.lit("AI_EMPTY_LAYER_PRESERVED").alias("code"), F.lit("an empty layer was kept").alias("message"), F.col("name").alias("node_name"))
-    return lay.unionByName(children, allowMissingColumns=True), failed.unionByName(empty)
+    done = page.select("doc_id", item("AI_PDF_HIERARCHY_IMPORT", F.lit("layers were imported")).alias("i")).select("doc_id", "i.*").drop("page_name")
+    return lay.unionByName(children, allowMissingColumns=True), done.unionByName(failed).unionByName(empty)
 
 
 def raster_tiles(pages: DataFrame, scale: int = 2, most: int = 4096) -> DataFrame:  # S8, P14
     """Tiles of pages kept as rasters: doc_id, tile, x, y, width, height in pixels. pages: doc_id, page_w, page_h."""
     w, h = F.ceil(F.col("page_w") * scale), F.ceil(F.col("page_h") * scale)
     return pages.select("doc_id", F.posexplode(tiles(w, h, most)).alias("tile", "t")).select("doc_id", "tile", "t.*")
+
+
+def raster_fallback(ops: DataFrame) -> tuple[DataFrame, DataFrame]:  # S8, S9
+    """(tiles, report items) of the pages that have no layers to import. ops: doc_id, op, tag, page_w, page_h."""
+    size = ops.groupBy("doc_id").agg(F.max("page_w").alias("page_w"), F.max("page_h").alias("page_h"))
+    flat = size.join(has_layers(ops).filter("not coalesce(layered, false)").select("doc_id"), "doc_id", "left_semi")
+    report = flat.select("doc_id", item("AI_PDF_FALLBACK", F.lit("kept as an image")).alias("i")).select("doc_id", "i.*").drop("page_name")
+    return raster_tiles(flat), report

@@ -121,6 +121,7 @@ def import_packages(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     box = slide_size(elems)
     rows = shapes(slides).join(theme(elems), "doc_id", "left").join(_text(slides), ["doc_id", "part", "owner_id"], "left").join(_style(slides), ["doc_id", "part", "owner_id"], "left")
     rows = rows.withColumn("colors", F.coalesce("colors", F.create_map().cast("map<string,string>")))
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in {"font_family": "Arial", "font_style": "Regular", "font_size": 18.0, "align": "left"}.items()})
     rows = rows.withColumns({"x": emu(F.col("off_x")), "y": emu(F.col("off_y")), "width": F.greatest(F.lit(1.0), emu(F.col("ext_x"))), "height": F.greatest(F.lit(1.0), emu(F.col("ext_y"))), "rotation": js_number(F.col("rot")) / 60000})
     rows = rows.withColumns({"fill": F.when(~F.col("no_fill"), _color(F.col("srgb"), F.col("scheme"), F.col("prst"), F.col("alpha"))), "stroke": F.when(F.col("has_line") & ~F.col("no_line"), F.coalesce(_color(F.col("l_srgb"), F.col("l_scheme"), F.col("l_prst"), F.col("l_alpha")), hex_color(F.lit("000000")))), "stroke_width": F.greatest(F.lit(0.5), emu(F.col("line_w"))), "text_fill": _color(F.col("t_srgb"), F.col("t_scheme"), F.col("t_preset"), F.col("t_alpha"))})
     id_ = lambda suffix="": F.concat_ws("/", "part", F.concat(F.col("owner_id").cast("string"), F.lit(suffix)))

@@ -90,6 +90,7 @@ def import_layers(layers: DataFrame, text_mode: str = "editable", unsupported: s
     report = report.unionByName(say(F.col("decision") == "skipped", "PSD_LAYER_SKIPPED", "skipped by the chosen strategy")).unionByName(say((F.col("decision") == "text") & flows, "PSD_ADJUSTMENT_NON_IMAGE_TARGET", "image filters don't apply to text"))
     report = report.unionByName(say(F.col("masked") & F.col("decision").isin("adjustment", "group", "text", "raster"), "PSD_PIXEL_MASK_NATIVE", "the mask was kept")).unionByName(say(F.col("is_adj") & F.col("masked") & F.col("shown") & has_filters(F.col("mapping.filters")), "PSD_MASKED_ADJUSTMENT_NATIVE", "rebuilt as a mask with filtered copies"))
     report = report.unionByName(adjustment_items(rows.filter("is_adj").select("doc_id", "name", "mapping.mapped", "mapping.unsupported")))
+    report = report.unionByName(layers.select("doc_id").distinct().select("doc_id", item("PSD_IMPORT", F.lit("layers were imported")).alias("i")).select("doc_id", "i.*"))
     return nodes, report
 
 

@@ -105,7 +105,8 @@ def plain_nodes(elems: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:  #
     assets = e.filter((tag == "image") & href.startswith("data:image/")).select("doc_id", F.concat_ws("/", "doc_id", "node_id").alias("asset_id"), name.alias("name"), F.substring_index(F.substring(href, 6, 64), ";", 1).alias("mime"), S.data_url_bytes(href).alias("data"))
     unknown = ~known & ~tag.isin("path", "text")
     report = e.filter(unknown).select("doc_id", F.lit("warning").alias("level"), F.when(tag == "image", "SVG_EXTERNAL_IMAGE").otherwise("SVG_UNSUPPORTED_ELEMENT").alias("code"), F.concat(F.lit("skipped <"), tag, F.lit(">")).alias("message"), name.alias("node_name"))
-    return nodes, assets, report
+    done = elems.filter("parent_id is null").select("doc_id", F.lit("info").alias("level"), F.lit("SVG_VECTOR_IMPORT").alias("code"), F.lit("imported as editable shapes").alias("message"), F.lit(None).cast("string").alias("node_name"))
+    return nodes, assets, done.unionByName(report)
 
 
 def _case(pairs, other) -> Column:
