@@ -35,6 +35,12 @@ def requested(texts: DataFrame) -> DataFrame:  # G14, F18
     return got.select("key", "f.family", "f.style")
 
 
+def listed(installed: DataFrame) -> DataFrame:  # S20, O3
+    """family, style of the installed fonts, one of each key (the last listed), by family and then style as a reader sorts names. installed: ord, family, style."""
+    got = installed.groupBy(font_key(F.col("family"), F.col("style")).alias("key")).agg(F.max_by(F.struct("family", "style"), "ord").alias("f"))
+    return got.select("f.family", "f.style").orderBy(F.collate("family", "UNICODE"), F.collate("style", "UNICODE"))
+
+
 def _family_key(c):
     return separators_off(nfkc(c))
 

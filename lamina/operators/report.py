@@ -19,6 +19,13 @@ CODES = {
     "AI_EMPTY_LAYER_PRESERVED": "info", "AI_PDF_HIERARCHY_IMPORT": "info",
 }
 COUNTERS = ("parsed", "editable", "rasterized", "skipped")
+# fixed values: the options that an import has without others
+DEFAULT_OPTIONS = {"text_mode": "editable", "unsupported": "rasterize"}  # P38
+
+
+def empty_report(files: DataFrame) -> DataFrame:  # P38
+    """The report that each file (doc_id, format, name) starts with: counters at 0, no missing fonts, no items."""
+    return files.select("doc_id", "format", "name", *[F.lit(0).cast("long").alias(c) for c in COUNTERS], F.array().cast("array<string>").alias("missing_fonts"), F.lit(0).cast("long").alias("items"))
 
 
 def item(code: str, message: Column, node: Column | None = None, page: Column | None = None) -> Column:

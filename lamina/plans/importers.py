@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from lamina.functions import geometry, pixels, strings
 from lamina.functions.filters import ADJUSTMENT
-from lamina.operators import fonts, intervals, pdf, pdf_svg
+from lamina.operators import fonts, intervals, pdf, pdf_svg, report
 from lamina.session import table as T
-from lamina.sources import packages, page_logs, pptx, psd, sink, svg, xml_shred
+from lamina.sources import packages, page_logs, pptx, psd, route, sink, svg, xml_shred
 
 SVG = '<svg xmlns="http://www.w3.org/2000/svg"'
 
@@ -73,8 +73,8 @@ select p_partkey, node_id, parent_id, type, name, x, y, width, height, corner_ra
 
 def markup_report(spark, d):  # S4, S5, 2.13
     e = svg.load(_plain(spark, d))
-    _, assets, report = svg.plain_nodes(e)
-    codes = report.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "level", "code", "node_name"))), ",").alias("items"))
+    _, assets, items = svg.plain_nodes(e)
+    codes = items.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "level", "code", "node_name"))), ",").alias("items"))
     rows = svg.page_sizes(e).join(svg.needs_hierarchy(e), "doc_id").join(svg.decorations(e), "doc_id").join(assets.select("doc_id", "mime", F.decode("data", "UTF-8").alias("data")), "doc_id").join(codes, "doc_id")
     return rows.select(key("p_partkey"), "page_w", "page_h", "complex", "drawn", "mime", "data", "items")
 
@@ -108,9 +108,9 @@ select s_suppkey, type, name, x, y, width, height, opacity, characters, font_fam
 
 
 def markup_runs(spark, d):  # P33, W8, S6
-    _, runs, report = svg.hierarchy(_styled(spark, d))
+    _, runs, said = svg.hierarchy(_styled(spark, d))
     rows = runs.select("doc_id", F.lit("run").alias("kind"), F.col("run_start").cast("long").alias("first"), F.col("run_end").cast("long").alias("last"), F.col("font_style").alias("label"))
-    items = report.select("doc_id", F.col("code").alias("kind"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.coalesce("node_name", "message").alias("label"))
+    items = said.select("doc_id", F.col("code").alias("kind"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), F.coalesce("node_name", "message").alias("label"))
     return rows.unionByName(items).select(key("s_suppkey"), "kind", "first", "last", "label")
 
 
@@ -190,8 +190,8 @@ select s_suppkey, slide, type, name, x, y, width, height, characters, font_famil
 
 
 def slide_report(spark, d):  # J6, F2, 2.13
-    _, assets, report = pptx.import_packages(_decks(spark, d))
-    rows = report.select("doc_id", "level", "code", F.coalesce("node_name", "message").alias("label"))
+    _, assets, items = pptx.import_packages(_decks(spark, d))
+    rows = items.select("doc_id", "level", "code", F.coalesce("node_name", "message").alias("label"))
     rows = rows.unionByName(assets.select("doc_id", F.lit("asset").alias("level"), F.col("mime").alias("code"), F.concat_ws("=", "name", F.decode("data", "UTF-8")).alias("label")))
     return rows.select(key("s_suppkey"), "level", "code", "label")
 
@@ -226,7 +226,7 @@ select s_suppkey || '!a/x10.svg' as doc_id, 'x10.svg' as name, 'ai' as format, 6
 union all select 'f' || s_suppkey, s_name || '.psd', 'psd', length(s_name) from supplier"""
 
 LAYER = {
-    "layer_id": "string", "parent_id": "string", "ord": "int", "name": "string", "left": "double", "top": "double", "right": "double", "bottom": "double", "opacity": "double", "hidden": "boolean", "blend_mode": "string", "clipping": "boolean", "adjustment": ADJUSTMENT, "has_pixels": "boolean", "mask_on": "boolean", "mask_density": "double", "mask_feather": "double",
+    "layer_id": "string", "parent_id": "string", "ord": "int", "name": "string", "left": "double", "top": "double", "right": "double", "bottom": "double", "opacity": "double", "hidden": "boolean", "blend_mode": "string", "clipping": "boolean", "adjustment": ADJUSTMENT, "has_pixels": "boolean", "mask_on": "boolean", "mask_density": "double", "mask_feather": "double", "vector_mask_on": "boolean", "vector_mask_density": "double", "vector_mask_feather": "double",
     "text": "struct<characters:string,font:string,size:double,justification:string,r:double,g:double,b:double,a:double>",
 }
 
@@ -240,7 +240,7 @@ def _layers(spark, d) -> DataFrame:
     rows = [
         box | {"layer_id": "a", "ord": 0, "name": "Glow", "adjustment": bright}, box | {"layer_id": "x", "ord": 1, "name": F.col("c_mktsegment")}, box | {"layer_id": "g", "ord": 2, "right": None, "bottom": None, "opacity": None},
         box | {"layer_id": "in", "parent_id": "g", "ord": 0, "left": at + 5, "name": "Inner"}, box | {"layer_id": "off", "parent_id": "g", "ord": 1, "left": -500.0, "hidden": True, "name": "Off"}, box | {"layer_id": "t", "parent_id": "g", "ord": 2, "text": say},
-        box | {"layer_id": "m", "ord": 3, "name": "Masked", "mask_on": True, "mask_density": 0.25, "mask_feather": 3.0}, box | {"layer_id": "e", "ord": 4, "name": "Void", "has_pixels": False},
+        box | {"layer_id": "m", "ord": 3, "name": "Masked", "mask_on": True, "mask_density": 0.25, "mask_feather": 3.0}, box | {"layer_id": "e", "ord": 4, "name": "Void", "has_pixels": False}, box | {"layer_id": "i", "ord": 5, "name": "Idle", "adjustment": bright, "vector_mask_on": True, "vector_mask_density": 0.75},
     ]
     return made(c, LAYER, rows)
 
@@ -260,7 +260,10 @@ union all select *, 'off', 'g', 'image', 'Off', -500 - n, 0, n + 530, 40, 0.2, f
 union all select *, 't', 'g', 'text', 'Text', 0, 0, 30, 40, 0.2, true, null, c_name, 'center', 1, false, null from c
 union all select *, 'm', null, 'group', 'Masked', n, 20, 30, 40, 0.2, true, null, null, null, null, false, null from c
 union all select *, 'm:content', 'm', 'image', 'Masked content', 0, 0, 30, 40, 1, true, 0.5, null, null, null, false, null from c
-union all select *, 'm:mask', 'm', 'image', 'Masked mask', 0, 0, 30, 40, 0.25, true, null, null, null, null, true, 3 from c)
+union all select *, 'm:mask', 'm', 'image', 'Masked mask', 0, 0, 30, 40, 0.25, true, null, null, null, null, true, 3 from c
+union all select *, 'i', null, 'group', 'Idle', 0, 0, 30, 40, 0.2, true, null, null, null, null, false, null from c
+union all select *, 'i:content', 'i', 'image', 'Idle content', 0, 0, 30, 40, 1, true, 0.5, null, null, null, false, null from c
+union all select *, 'i:vector-mask', 'i', 'image', 'Idle vector mask', 0, 0, 30, 40, 0.75, true, null, null, null, null, true, null from c)
 select c_custkey, node_id, parent_id, type, name, x, y, width, height, opacity, visible, exposure, characters, align, red, is_mask, blur from r"""
 
 
@@ -274,6 +277,8 @@ select *, 'info' as level, 'PSD_IMPORT' as code, null::varchar as message, null:
 union all select *, 'info', 'PSD_ADJUSTMENT_NATIVE', 'brightness→exposure, contrast', 'Glow' from c union all select *, 'fallback', 'PSD_ADJUSTMENT_PARTIAL', 'legacy/Lab/auto mode', 'Glow' from c
 union all select *, 'fallback', 'PSD_RASTER_LAYER', null, c_mktsegment from c union all select *, 'fallback', 'PSD_RASTER_LAYER', null, 'Inner' from c union all select *, 'fallback', 'PSD_RASTER_LAYER', null, 'Off' from c
 union all select *, 'fallback', 'PSD_RASTER_LAYER', null, 'Masked' from c union all select *, 'info', 'PSD_PIXEL_MASK_NATIVE', null, 'Masked' from c
+union all select *, 'info', 'PSD_ADJUSTMENT_NATIVE', 'brightness→exposure, contrast', 'Idle' from c union all select *, 'fallback', 'PSD_ADJUSTMENT_PARTIAL', 'legacy/Lab/auto mode', 'Idle' from c
+union all select *, 'info', 'PSD_VECTOR_MASK_NATIVE', null, 'Idle' from c union all select *, 'info', 'PSD_MASKED_ADJUSTMENT_NATIVE', null, 'Idle' from c union all select *, 'warning', 'PSD_MASKED_ADJUSTMENT_EMPTY', null, 'Idle' from c
 union all select *, 'warning', 'PSD_EMPTY_LAYER', null, 'Void' from c union all select *, 'warning', 'PSD_ADJUSTMENT_NON_IMAGE_TARGET', 'image filters don''t apply to text', null from c)
 select c_custkey, level, code, message, node_name from r"""
 
@@ -320,8 +325,8 @@ union all select s_suppkey, 'info', 'AI_EMPTY_LAYER_PRESERVED', 'x' from supplie
 def raster_pages(spark, d):  # S8, S9, P14
     """Pages of odd parts have a layer; the others are kept as tiles, and reported."""
     rows = [{"idx": 0, "op": F.when(F.col("p_partkey") % 2 == 1, "beginMarkedContentProps").otherwise("save"), "tag": "OC", "page_w": F.col("p_size") * 100.0 + 0.25, "page_h": 90.0}]
-    tiles, report = page_logs.raster_fallback(made(parts_of(spark, d), OP, rows))
-    return tiles.join(report, "doc_id").select(key("p_partkey"), "tile", "x", "y", "width", "height", "level", "code")
+    tiles, items = page_logs.raster_fallback(made(parts_of(spark, d), OP, rows))
+    return tiles.join(items, "doc_id").select(key("p_partkey"), "tile", "x", "y", "width", "height", "level", "code")
 
 
 RASTER_PAGES = """
@@ -504,10 +509,78 @@ FONT_ALIASES = """
 with f as (select distinct case p_size % 3 when 0 then 'SXSGYS' || p_partkey when 1 then 'x-BiaoXiaoZhiLongZhuTi-J-' || p_partkey else p_name end as family from part), k as (select distinct lower(family) as family from f)
 select family || '::bold' as key, case when family like 'sxsgys%' then 'equivalent' when family like 'x-b%' then 'suggested' else 'fallback' end as decision, case when family like 'sxsgys%' then 'sxs gysj' when family like 'x-b%' then 'Kaiti SC' else 'Arial' end as chosen_family, case when family like 'x-b%' then 'Bold' else 'Regular' end as chosen_style from k"""
 
+
+
+def routed_files(spark, d):  # S3, S9, S19, S15 to S18
+    """Slides, both kinds of markup, an archive, decoded layers and decoded pages through one call."""
+    tag = lambda df, p: df.withColumn("doc_id", F.concat(F.lit(p), "doc_id"))
+    file = lambda df, p, ext: tag(df, p).select("doc_id", F.concat("doc_id", F.lit(ext)).alias("name"), F.octet_length("content").cast("long").alias("size"), "content")
+    blank = lambda p, ext, head: file(suppliers(spark, d).withColumn("content", F.encode(F.lit(head), "UTF-8")), p, ext)
+    zips = _zipped(suppliers(spark, d).select("doc_id", F.create_map(F.lit("in/a.svg"), F.lit(SVG + ' width="9" height="9"><rect id="z" width="5" height="4"/></svg>')).alias("parts")))
+    files = [file(_decks(spark, d), "deck", ".pptx"), file(_styled(spark, d), "art", ".ai"), file(zips, "zip", ".zip"), blank("log", ".pdf", "%PDF-1.7"), blank("flat", ".ai", "%PDF-1.4"), blank("img", ".PSD", "8BPS"), blank("lost", ".psd", "8BPS"), blank("no", ".txt", "text")]
+    both = files[0]
+    for f in files[1:]:
+        both = both.unionByName(f)
+    s = suppliers(spark, d)
+    layers = tag(made(s, LAYER, [{"layer_id": "l", "ord": 0, "name": F.col("s_name"), "left": 1.0, "top": 2.0, "right": 4.0, "bottom": 6.0, "has_pixels": True}]), "img")
+    ops, groups, items = (tag(p, "log") for p in _pages(spark, d))
+    ops = ops.unionByName(tag(made(s, OP, [{"idx": 0, "op": "fill", "page_w": 10.0, "page_h": 20.0}]), "flat"))
+    got = route.import_files(both, layers, (ops, groups, items))
+    nodes = got.nodes.groupBy("doc_id", "kind").agg(F.count("*").alias("nodes"), F.count_if(F.col("type") == "text").alias("texts"), F.count_if(F.col("type") == "image").alias("images"))
+    codes = got.report.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+    assets = got.assets.groupBy("doc_id").agg(F.count("*").alias("assets"))
+    rows = nodes.join(codes, "doc_id", "left").join(assets, "doc_id", "left").select("doc_id", "kind", "nodes", "texts", "images", "codes", F.coalesce("assets", F.lit(0)).alias("assets"))
+    left = got.undecoded.select("doc_id", "kind", *[F.lit(0).cast("long").alias(c) for c in ("nodes", "texts", "images")], F.lit(None).cast("string").alias("codes"), F.lit(0).cast("long").alias("assets"))
+    return rows.unionByName(left)
+
+
+ROUTED_FILES = """
+select 'deck' || s_suppkey as doc_id, 'pptx' as kind, 14 as nodes, 3 as texts, 1 as images, 'PPTX_IMPORT' as codes, 1 as assets from supplier
+union all select 'art' || s_suppkey, 'svg', 3, 1, 0, 'SVG_EMPTY_GROUP_OMITTED,SVG_HIERARCHY_IMPORT', 0 from supplier union all select 'zip' || s_suppkey || '!in/a.svg', 'svg', 1, 0, 0, 'SVG_VECTOR_IMPORT', 0 from supplier
+union all select 'log' || s_suppkey, 'pdf', 6, 1, 0, 'AI_EMPTY_LAYER_PRESERVED,AI_PDF_HIERARCHY_IMPORT,AI_PDF_VECTOR_LAYER_FAILED', 0 from supplier union all select 'flat' || s_suppkey, 'pdf', 1, 0, 1, 'AI_PDF_FALLBACK', 0 from supplier
+union all select 'img' || s_suppkey, 'psd', 1, 0, 1, 'PSD_IMPORT,PSD_RASTER_LAYER', 0 from supplier union all select 'lost' || s_suppkey, 'psd', 0, 0, 0, null, 0 from supplier"""
+
+
+def sink_images(spark, d):  # J7, K2, K5
+    p = T(spark, d, "part")
+    nodes = p.select(F.lit("d").alias("doc_id"), F.col("p_partkey").cast("string").alias("node_id"), F.when(F.col("p_size") % 2 == 0, "image").otherwise("vector").alias("type"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("asset_ref"), F.when(F.col("p_size") % 3 == 0, "evenodd").alias("winding"))
+    assets = p.filter("p_size > 25").select(F.lit("d").alias("doc_id"), F.col("p_brand").alias("asset_id"), F.lit("image/png").alias("mime"), F.encode("p_brand", "UTF-8").alias("data"))
+    return sink.with_images(sink.sink_view(nodes), assets).select(F.col("node_id").cast("long").alias("p_partkey"), "type", "winding", F.decode("image.data", "UTF-8").alias("data"))
+
+
+SINK_IMAGES = """
+select p_partkey, case when p_size % 2 = 0 then 'RECTANGLE' else 'VECTOR' end as type, case when p_size % 2 = 1 then case when p_size % 3 = 0 then 'EVENODD' else 'NONZERO' end end as winding,
+case when p_size % 2 = 0 and p_brand in (select p_brand from part where p_size > 25) then p_brand end as data from part"""
+
+
+def font_list(spark, d):  # S20, O3
+    """Listed names are ASCII here, so that their order is that of their lower case."""
+    p = T(spark, d, "part")
+    have = p.select(F.col("p_partkey").alias("ord"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.lower("p_brand")).alias("family"), F.initcap("p_type").alias("style"))
+    ordered_ = fonts.listed(have).agg(F.collect_list(F.struct("family", "style")).alias("f"))
+    return ordered_.select(F.posexplode("f").alias("place", "f")).select("place", "f.family", "f.style")
+
+
+FONT_LIST = """
+with h as (select p_partkey, lower(p_brand) as fk, p_type as sk, case when p_size % 2 = 0 then p_brand else lower(p_brand) end as family, upper(p_type[1]) || lower(p_type[2:]) as style from part),
+l as (select fk, sk, arg_max(family, p_partkey) as family, any_value(style) as style from h group by 1, 2) select cast(row_number() over (order by fk, case when family = fk then 0 else 1 end, sk) - 1 as integer) as place, family, style from l"""
+
+
+def argument_guards(spark, d):  # P17, P34, P38
+    p = F.col("p_partkey") % 3
+    args = F.when(p == 0, text_of('[[["LW", ', F.col("p_size"), '], [5, 1], "x", ["BM", "hue"]]]')).when(p == 1, '{"a": 1}').otherwise('[{"hasSoftMask": true}]')
+    base = report.empty_report(parts_of(spark, d).select("doc_id", F.lit("ai").alias("format"), F.col("p_name").alias("name")))
+    rows = parts_of(spark, d).select("doc_id", F.transform(pdf.gstate_entries(args), lambda e: F.concat_ws("=", e["key"], e["value"])).alias("e"), pdf.group_soft_mask(args).alias("soft_mask"), F.when(p > 0, F.col("p_name")).alias("str"))
+    return pdf.text_items(rows).select("doc_id", F.lit(True).alias("has_text")).join(rows, "doc_id", "right").join(base, "doc_id").select(key("p_partkey"), F.array_join("e", ",").alias("entries"), "soft_mask", F.coalesce("has_text", F.lit(False)).alias("has_text"), "parsed", "items", F.size("missing_fonts").alias("missing"))
+
+
+ARGUMENT_GUARDS = """
+select p_partkey, case when p_partkey % 3 = 0 then 'LW=' || p_size || ',BM=hue' else '' end as entries, case when p_partkey % 3 = 2 then true end as soft_mask, p_partkey % 3 > 0 as has_text, 0 as parsed, 0 as items, 0 as missing from part"""
+
 QUERIES = {
     k: (globals()[k], globals()[k.upper()])
     for k in (
         "markup_nodes", "markup_report", "markup_hierarchy", "markup_runs", "slide_nodes", "slide_report", "xml_elements", "expanded_files", "layer_nodes", "layer_report", "page_nodes", "page_report", "raster_pages", "text_states",
-        "image_states", "path_strings", "vector_log", "drawn_pages", "gradient_pages", "layer_texts", "text_blocks", "name_rules", "paint_rules", "clamped_runs", "font_aliases",
+        "image_states", "path_strings", "vector_log", "drawn_pages", "gradient_pages", "layer_texts", "text_blocks", "name_rules", "paint_rules", "clamped_runs", "font_aliases", "routed_files", "sink_images", "font_list", "argument_guards",
     )
 }

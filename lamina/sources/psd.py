@@ -2,7 +2,8 @@
 
 layers: doc_id, layer_id, parent_id, ord, name, left, top, right, bottom, opacity, hidden, blend_mode,
 clipping, adjustment (struct, see `functions.filters`), has_pixels, mask_on, mask_density, mask_feather,
-text (struct characters, font, size, justification, r, g, b, a). Boxes and rows may be null.
+text (struct characters, font, size, justification, r, g, b, a). Boxes and rows may be null. vector_mask_on,
+vector_mask_density and vector_mask_feather may be missing.
 """
 
 from __future__ import annotations
@@ -23,6 +24,13 @@ def _none() -> Column:
     return F.create_map().cast(EMPTY)
 
 
+def _masked(layers: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """(layers with the columns of vector masks, has a pixel mask, has a vector mask)."""
+    types = {"vector_mask_on": "boolean", "vector_mask_density": "double", "vector_mask_feather": "double"}
+    full = layers.withColumns({c: F.lit(None).cast(t) for c, t in types.items() if c not in layers.columns})
+    return full, F.coalesce("mask_on", F.lit(False)), F.coalesce("vector_mask_on", F.lit(False))
+
+
 def boxes(layers: DataFrame) -> DataFrame:  # P31, G4
     """doc_id, layer_id, l, t, w, h: a layer's own box; for a group without right or bottom the box of its shown children."""
     left, top = F.coalesce("left", F.lit(0.0)), F.coalesce("top", F.lit(0.0))
@@ -40,8 +48,9 @@ def flowing(layers: DataFrame) -> DataFrame:  # W11
     ones since the last layer; outer levels act first. Hidden and masked adjustments don't flow.
     """
     keys = ["doc_id", "parent_id"]
+    layers, pixel, vector = _masked(layers)
     is_adj = F.col("adjustment").isNotNull()
-    acts = is_adj & ~F.coalesce("hidden", F.lit(False)) & ~F.coalesce("mask_on", F.lit(False))
+    acts = is_adj & ~F.coalesce("hidden", F.lit(False)) & ~pixel & ~vector
     rows = layers.withColumn("_m", F.when(is_adj, map_adjustment(F.col("adjustment"))["filters"]))
     w = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_block", F.coalesce(F.sum(F.when(is_adj, 0).otherwise(1)).over(w), F.lit(0)))
@@ -58,11 +67,12 @@ def flowing(layers: DataFrame) -> DataFrame:  # W11
 
 def import_layers(layers: DataFrame, text_mode: str = "editable", unsupported: str = "rasterize") -> tuple[DataFrame, DataFrame]:  # S2, P21 to P24, X8, P37
     """(nodes, report items). Options are literals, so the branches fold away."""
+    layers, pixel, vector = _masked(layers)
     kids = layers.filter("parent_id is not null").select("doc_id", F.col("parent_id").alias("layer_id")).distinct().withColumn("is_group", F.lit(True))
     box = boxes(layers)
     outer = box.select("doc_id", F.col("layer_id").alias("parent_id"), F.col("l").alias("ol"), F.col("t").alias("ot"), F.col("w").alias("ow"), F.col("h").alias("oh"))
     rows = layers.join(kids, ["doc_id", "layer_id"], "left").join(box, ["doc_id", "layer_id"]).join(outer, ["doc_id", "parent_id"], "left").join(flowing(layers), ["doc_id", "layer_id"])
-    rows = rows.withColumns({"is_group": F.coalesce("is_group", F.lit(False)), "is_adj": F.col("adjustment").isNotNull(), "shown": ~F.coalesce("hidden", F.lit(False)), "masked": F.coalesce("mask_on", F.lit(False))})
+    rows = rows.withColumns({"is_group": F.coalesce("is_group", F.lit(False)), "is_adj": F.col("adjustment").isNotNull(), "shown": ~F.coalesce("hidden", F.lit(False)), "masked": pixel | vector, "pixel_masked": pixel, "vector_masked": vector})
     has_text = F.coalesce(F.col("text.characters"), F.lit(""))
     editable = F.col("text").isNotNull() & F.lit(text_mode == "editable")
     decision = F.when(F.col("is_adj"), "adjustment").when(F.col("is_group"), "group").when(editable & (has_text != ""), "text").when(editable, "nothing").when(F.lit(unsupported == "skip"), "skipped").when(F.coalesce("has_pixels", F.lit(False)), "raster").otherwise("empty")
@@ -81,14 +91,28 @@ def import_layers(layers: DataFrame, text_mode: str = "editable", unsupported: s
     id_ = F.col("layer_id").cast("string")
     outer_nodes = base.select(*cols(id_, F.col("parent_id").cast("string"), F.col("ord"), F.when(F.col("_wrap"), "group").otherwise(F.col("_kind")), F.col("_name"), F.col("_x"), F.col("_y"), unit_opacity(F.col("opacity")), F.col("shown"), F.col("blend_mode"), F.when(~F.col("_wrap"), F.col("_filters")), ~F.col("_wrap")))
     content = base.filter("_wrap").select(*cols(F.concat(id_, F.lit(":content")), id_, F.lit(1), F.col("_kind"), F.concat("_name", F.lit(" content")), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(True), F.lit("normal"), F.col("_filters"), F.lit(True)))
-    masks = base.filter("masked").select(*cols(F.concat(id_, F.lit(":mask")), id_, F.lit(-1), F.lit("image"), F.concat("_name", F.lit(" mask")), F.lit(0.0), F.lit(0.0), F.coalesce("mask_density", F.lit(1.0)), F.lit(True), F.lit(None).cast("string"), none, F.lit(False)), "mask_feather").withColumns({"is_mask": F.lit(True), "blur": F.when(F.col("mask_feather") > 0, F.col("mask_feather"))}).drop("mask_feather")
-    nodes = outer_nodes.unionByName(content).unionByName(masks)
+
+    def mask_nodes(kind: str, suffix: str, order: int) -> DataFrame:
+        feather = F.col(f"{kind}mask_feather")
+        got = base.filter(f"{kind or 'pixel_'}masked").select(*cols(F.concat(id_, F.lit(suffix)), id_, F.lit(order), F.lit("image"), F.concat("_name", F.lit(f" {kind.replace('_', ' ')}mask")), F.lit(0.0), F.lit(0.0), F.coalesce(f"{kind}mask_density", F.lit(1.0)), F.lit(True), F.lit(None).cast("string"), none, F.lit(False)), feather.alias("_feather"))
+        return got.withColumns({"is_mask": F.lit(True), "blur": F.when(F.col("_feather") > 0, F.col("_feather"))}).drop("_feather")
+
+    nodes = outer_nodes.unionByName(content).unionByName(mask_nodes("", ":mask", -1)).unionByName(mask_nodes("vector_", ":vector-mask", 0))
     nm = F.col("name")
     say = lambda when, code, text: rows.filter(when).select("doc_id", item(code, F.lit(text), nm).alias("i")).select("doc_id", "i.*")
     flows = has_filters(F.col("filters"))
     report = say(F.col("decision") == "empty", "PSD_EMPTY_LAYER", "a layer without pixels was skipped").unionByName(say(F.col("decision") == "raster", "PSD_RASTER_LAYER", "pixels were kept as an image"))
     report = report.unionByName(say(F.col("decision") == "skipped", "PSD_LAYER_SKIPPED", "skipped by the chosen strategy")).unionByName(say((F.col("decision") == "text") & flows, "PSD_ADJUSTMENT_NON_IMAGE_TARGET", "image filters don't apply to text"))
-    report = report.unionByName(say(F.col("masked") & F.col("decision").isin("adjustment", "group", "text", "raster"), "PSD_PIXEL_MASK_NATIVE", "the mask was kept")).unionByName(say(F.col("is_adj") & F.col("masked") & F.col("shown") & has_filters(F.col("mapping.filters")), "PSD_MASKED_ADJUSTMENT_NATIVE", "rebuilt as a mask with filtered copies"))
+    drawn = F.col("decision").isin("adjustment", "group", "text", "raster")
+    report = report.unionByName(say(F.col("pixel_masked") & drawn, "PSD_PIXEL_MASK_NATIVE", "the mask was kept")).unionByName(say(F.col("vector_masked") & drawn, "PSD_VECTOR_MASK_NATIVE", "the vector mask was kept"))
+    # an overlay that reaches no image, neither a layer nor one in a group, changes nothing
+    leaf = ~F.coalesce("is_group", F.lit(False)) & F.col("adjustment").isNull() & F.coalesce("has_pixels", F.lit(False)) & ~editable & F.lit(unsupported != "skip")
+    flags = layers.join(kids, ["doc_id", "layer_id"], "left").select("doc_id", F.col("layer_id").alias("node_id"), "parent_id", F.when(leaf, 1).otherwise(0).alias("image"))
+    images = tree.subtree_sums(flags, F.col("image")).filter("total > 0").select("doc_id", F.col("node_id").alias("layer_id"))
+    used = masked_overlays(layers).join(images, ["doc_id", "layer_id"], "left_semi").select("doc_id", F.col("overlay_id").alias("layer_id")).distinct()
+    idle = rows.filter(F.col("is_adj") & F.col("masked") & F.col("shown") & has_filters(F.col("mapping.filters"))).join(used, ["doc_id", "layer_id"], "left_anti")
+    report = report.unionByName(idle.select("doc_id", item("PSD_MASKED_ADJUSTMENT_EMPTY", F.lit("no image lies in its reach"), nm).alias("i")).select("doc_id", "i.*"))
+    report = report.unionByName(say(F.col("is_adj") & F.col("masked") & F.col("shown") & has_filters(F.col("mapping.filters")), "PSD_MASKED_ADJUSTMENT_NATIVE", "rebuilt as a mask with filtered copies"))
     report = report.unionByName(adjustment_items(rows.filter("is_adj").select("doc_id", "name", "mapping.mapped", "mapping.unsupported")))
     report = report.unionByName(layers.select("doc_id").distinct().select("doc_id", item("PSD_IMPORT", F.lit("layers were imported")).alias("i")).select("doc_id", "i.*"))
     return nodes, report
@@ -99,9 +123,10 @@ def masked_overlays(layers: DataFrame) -> DataFrame:  # W11
 
     A clipped one reaches the next ordinary layer of its level, any other all that follow.
     """
+    layers, pixel, vector = _masked(layers)
     is_adj = F.col("adjustment").isNotNull()
     keys = ["doc_id", "parent_id"]
-    o = layers.filter(is_adj & F.coalesce("mask_on", F.lit(False)) & ~F.coalesce("hidden", F.lit(False)))
+    o = layers.filter(is_adj & (pixel | vector) & ~F.coalesce("hidden", F.lit(False)))
     o = o.select("doc_id", F.coalesce(F.col("parent_id").cast("string"), F.lit("")).alias("_p"), F.col("layer_id").alias("overlay_id"), F.col("ord").alias("o_ord"), F.coalesce("clipping", F.lit(False)).alias("clip"), map_adjustment(F.col("adjustment"))["filters"].alias("filters")).filter(has_filters(F.col("filters")))
     plain = layers.filter(~is_adj).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")))
     n_before = plain.select("doc_id", F.coalesce(F.col("parent_id").cast("string"), F.lit("")).alias("_p"), "layer_id", "ord", "_n")

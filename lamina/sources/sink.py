@@ -28,9 +28,16 @@ def sink_view(nodes: DataFrame) -> DataFrame:  # K2, K4, K6
         "rotation": F.coalesce(col("rotation", "double"), F.lit(0.0)),
         "blend_mode": blend,
         "point_count": F.when(kind == "POLYGON", F.coalesce(col("point_count", "int"), F.lit(3))),
+        "winding": F.when(kind == "VECTOR", F.when(col("winding", "string") == "evenodd", "EVENODD").otherwise("NONZERO")),  # K5
     })
 
 
+def with_images(nodes: DataFrame, assets: DataFrame) -> DataFrame:  # J7
+    """Nodes with `image`, the asset's media type and data; a node whose asset is missing stays, without a paint. assets: doc_id, asset_id, mime, data."""
+    a = assets.select("doc_id", F.col("asset_id").alias("asset_ref"), F.struct("mime", "data").alias("image")).dropDuplicates(["doc_id", "asset_ref"])
+    return nodes.join(a, ["doc_id", "asset_ref"], "left").select(*nodes.columns, "image")
+
+
 def clamped_runs(runs: DataFrame, texts: DataFrame, keys=("doc_id", "node_id")) -> DataFrame:  # K3
     """Text runs cut to their text; runs that are empty then go. texts: keys, length."""
     rows = runs.join(texts, list(keys)).withColumns({"run_start": F.greatest(F.lit(0), F.least("run_start", "length")), "run_end": F.greatest(F.lit(0), F.least("run_end", "length"))})

@@ -26,5 +26,5 @@ def test_pages(spark):
     n = {r.node_id: r for r in nodes.collect()}
     assert n["d/a"].type == "group" and n["d/a/svg"].markup.count("<path") == 1 and n["d/b/1"].characters == "Hey" and n["d/b/1"].y == 18
     assert n["d/c"].type == "frame" and n["d/c"].locked and not n["d/c"].visible and n["d/x"].name == "x"
-    assert sorted(r.code for r in report.collect()) == ["AI_EMPTY_LAYER_PRESERVED", "AI_EMPTY_LAYER_PRESERVED", "AI_PDF_VECTOR_LAYER_FAILED"]
+    assert sorted(r.code for r in report.collect()) == ["AI_EMPTY_LAYER_PRESERVED", "AI_EMPTY_LAYER_PRESERVED", "AI_PDF_HIERARCHY_IMPORT", "AI_PDF_VECTOR_LAYER_FAILED"]
     assert page_logs.raster_tiles(spark.createDataFrame([("p", 2500.0, 100.0)], "doc_id string, page_w double, page_h double")).count() == 2

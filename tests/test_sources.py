@@ -64,7 +64,7 @@ def test_plain_svg(spark):
     n = {r.type: r for r in nodes.collect()}
     assert set(n) == {"group", "rectangle", "vector", "text"} and (n["rectangle"].x, n["rectangle"].y, n["rectangle"].fill.r) == (11, 7, 1.0)
     assert n["vector"].stroke_width == 1 and n["text"].y == 10 and assets.count() == 0
-    assert sorted(r.code for r in report.collect()) == ["SVG_EXTERNAL_IMAGE", "SVG_UNSUPPORTED_ELEMENT"]
+    assert sorted(r.code for r in report.collect()) == ["SVG_EXTERNAL_IMAGE", "SVG_UNSUPPORTED_ELEMENT", "SVG_VECTOR_IMPORT"]
 
 
 def test_svg_hierarchy(spark):
