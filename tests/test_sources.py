@@ -80,3 +80,25 @@ def test_svg_hierarchy(spark):
     assert sorted(r.code for r in report.collect()) == ["SVG_EMPTY_GROUP_OMITTED", "SVG_HIERARCHY_IMPORT"]
     with pytest.raises(Exception, match="not an SVG"):
         svg.page_sizes(svg.load(files(spark, "<html/>"))).collect()
+
+
+def test_router(spark):
+    from lamina.sources import route
+
+    cols = "doc_id string, name string, size long, content binary"
+    one = lambda n, data, size=9: spark.createDataFrame([("x", n, size, bytearray(data))], cols)
+    with pytest.raises(ValueError, match=r"over the size limit: a\.pptx"):
+        route.import_files(one("a.pptx", b"", 600 << 20))
+    with pytest.raises(Exception, match="neither vector markup nor pages"):
+        route.kinds(one("a.ai", b"plain words")).collect()
+    assert route.kinds(one("a.txt", b"plain words")).count() == 0
+
+
+def test_class_rules(spark):
+    from pyspark.sql import functions as F
+
+    from lamina.functions import strings
+
+    css = "rect{x:1} .a {fill:red}.b-1,.c_2{y:2;}\n@media x{.d{z:3}} .e{} .f{open"
+    rows = spark.createDataFrame([(css,), ("",), (None,)], "c string").select(strings.class_rules(F.col("c")).alias("r")).collect()
+    assert [(r.name, r.body) for r in rows[0].r] == [("a", "fill:red"), ("c_2", "y:2;"), ("d", "z:3")] and not rows[1].r and rows[2].r is None
