@@ -106,7 +106,7 @@ select p_partkey, regexp_replace(lower(p_name), '[\s._-]+', '', 'g') as family_k
 
 def number_formats(spark, d):
     v = F.col("l_extendedprice") * F.col("l_discount")
-    return T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", strings.format_bytes((F.col("l_extendedprice") * 100).cast("long")).alias("size_label"), strings.parse_float(F.concat(F.col("l_quantity").cast("string"), F.lit("px"))).alias("length"), strings.js_number(F.lit("")).alias("blank"), strings.js_round(v).alias("rounded"))
+    return T(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", strings.format_bytes((F.col("l_extendedprice") * 100).cast("long"), ties_to_even=True).alias("size_label"), strings.parse_float(F.concat(F.col("l_quantity").cast("string"), F.lit("px"))).alias("length"), strings.js_number(F.lit("")).alias("blank"), strings.js_round(v).alias("rounded"))
 
 
 NUMBER_FORMATS = """

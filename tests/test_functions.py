@@ -51,6 +51,14 @@ def test_rounding_and_tiles(spark):
     assert r["a"] == -2 and len(r["t"]) == 2 and [t["width"] for t in r["u"]] == [4096, 904, 4096, 904] and r["none"] == []
 
 
+def test_size_labels(spark):
+    """Exact ties of the tenths: up as in the reference, or to the even digit as printf in SQL."""
+    sizes = (6553600, 6029312, 6553599, 6553601, 1048575, 1)
+    up, even = ([one(spark, s=strings.format_bytes(F.lit(n), ties_to_even=e))["s"] for n in sizes] for e in (False, True))
+    assert up == ["6.3 MB", "5.8 MB", "6.2 MB", "6.3 MB", "1024 KB", "1 KB"]
+    assert even == ["6.2 MB", "5.8 MB", "6.2 MB", "6.3 MB", "1024 KB", "1 KB"]
+
+
 def test_clamped_filters(spark):
     m = F.array(F.create_map(F.lit("exposure"), F.lit(0.7), F.lit("contrast"), F.lit(-0.4)), F.create_map(F.lit("exposure"), F.lit(0.6), F.lit("saturation"), F.lit(0.25)))
     assert one(spark, f=filters.combine_filters(m))["f"] == {"exposure": 1.0, "contrast": -0.4, "saturation": 0.25}
