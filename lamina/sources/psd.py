@@ -16,6 +16,7 @@ from lamina.functions.geometry import color, hex_color, unit_channel, unit_opaci
 from lamina.functions.strings import text_align
 from lamina.operators import tree
 from lamina.operators.report import adjustment_items, item
+from lamina.session import cut
 
 EMPTY = "map<string,double>"
 
@@ -66,10 +67,15 @@ def flowing(layers: DataFrame) -> DataFrame:  # W11
 
 
 def import_layers(layers: DataFrame, text_mode: str = "editable", unsupported: str = "rasterize") -> tuple[DataFrame, DataFrame]:  # S2, P21 to P24, X8, P37
-    """(nodes, report items). Options are literals, so the branches fold away."""
+    """(nodes, report items). Options are literals, so the branches fold away.
+
+    Layers, boxes and the joined rows are written once: nodes and items are a dozen branches of one union, and
+    each would else plan and run all joins and folds again.
+    """
     layers, pixel, vector = _masked(layers)
+    layers = cut(layers)
     kids = layers.filter("parent_id is not null").select("doc_id", F.col("parent_id").alias("layer_id")).distinct().withColumn("is_group", F.lit(True))
-    box = boxes(layers)
+    box = cut(boxes(layers))
     outer = box.select("doc_id", F.col("layer_id").alias("parent_id"), F.col("l").alias("ol"), F.col("t").alias("ot"), F.col("w").alias("ow"), F.col("h").alias("oh"))
     rows = layers.join(kids, ["doc_id", "layer_id"], "left").join(box, ["doc_id", "layer_id"]).join(outer, ["doc_id", "parent_id"], "left").join(flowing(layers), ["doc_id", "layer_id"])
     rows = rows.withColumns({"is_group": F.coalesce("is_group", F.lit(False)), "is_adj": F.col("adjustment").isNotNull(), "shown": ~F.coalesce("hidden", F.lit(False)), "masked": pixel | vector, "pixel_masked": pixel, "vector_masked": vector})
@@ -77,6 +83,7 @@ def import_layers(layers: DataFrame, text_mode: str = "editable", unsupported: s
     editable = F.col("text").isNotNull() & F.lit(text_mode == "editable")
     decision = F.when(F.col("is_adj"), "adjustment").when(F.col("is_group"), "group").when(editable & (has_text != ""), "text").when(editable, "nothing").when(F.lit(unsupported == "skip"), "skipped").when(F.coalesce("has_pixels", F.lit(False)), "raster").otherwise("empty")
     rows = rows.withColumn("decision", decision).withColumn("mapping", F.when(F.col("is_adj"), map_adjustment(F.col("adjustment"))))
+    rows = cut(rows)
     live = rows.filter(F.col("decision").isin("adjustment", "group", "text", "raster"))
     name = F.coalesce("name", F.when(F.col("is_adj"), F.col("adjustment.type")), F.element_at(F.create_map(*[F.lit(x) for kv in {"group": "Group", "text": "Text", "raster": "Pixel Layer"}.items() for x in kv]), F.col("decision")))
     x, y = F.when(F.col("is_adj"), 0.0).otherwise(F.col("l") - F.coalesce("ol", F.lit(0.0))), F.when(F.col("is_adj"), 0.0).otherwise(F.col("t") - F.coalesce("ot", F.lit(0.0)))

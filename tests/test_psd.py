@@ -36,3 +36,12 @@ def test_layers(spark):
     assert [(r.overlay_id, r.layer_id) for r in psd.masked_overlays(df).collect()] == [("mo", "p")]
     skipped, report = psd.import_layers(df, text_mode="rasterize", unsupported="skip")
     assert skipped.filter("type = 'text'").count() == 0 and "PSD_LAYER_SKIPPED" in {r.code for r in report.collect()}
+
+
+def test_branches_read_written_rows(spark):
+    """Nodes and items are unions of a dozen branches; none of them may plan the joins and folds of the layers again."""
+    nodes, report = psd.import_layers(spark.createDataFrame([layer("a", None, 0, adj(0.7)), layer("x", None, 1)], SCHEMA))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(nodes).count("Join ") == 0 and plan(nodes).count("Window ") == 0
+    assert plan(report).count("Join ") <= 3 and len(plan(report)) < 100_000
+    assert {r.node_id for r in nodes.collect()} == {"a", "x"}
