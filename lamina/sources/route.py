@@ -51,7 +51,7 @@ def import_files(files: DataFrame, layers: DataFrame | None = None, pages: tuple
     of = lambda kind: routed.filter(F.col("kind") == kind).select("doc_id", "content")
 
     slides, slide_assets, slide_report = pptx.import_packages(of("pptx"))
-    elems = cut(svg.load(of("svg")))
+    elems = svg.load(of("svg"))
     complex_ = svg.needs_hierarchy(elems).filter("complex").select("doc_id")
     plain, plain_assets, plain_report = svg.plain_nodes(elems.join(complex_, "doc_id", "left_anti"))
     tree, _, tree_report = svg.hierarchy(of("svg").join(complex_, "doc_id", "left_semi"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lamina.functions import geometry as G
 from lamina.functions import strings as S
 from lamina.operators import ordered, tree
+from lamina.session import cut
 from lamina.sources.xml_shred import shred
 
 # fixed values: tags that hold definitions, tags that need the complex path, tags that draw
@@ -21,10 +22,12 @@ DRAWING = ("circle", "ellipse", "g", "image", "line", "path", "polygon", "polyli
 
 
 def load(files: DataFrame) -> DataFrame:
-    """Element rows of files (doc_id, name, content): doc_id, node_id, parent_id, ord, tag (lower case), attrs, style (map), text, content."""
+    """Element rows of files (doc_id, name, content): doc_id, node_id, parent_id, ord, tag (lower case), attrs, style (map), text, content.
+
+    Files are parsed once and their elements written, as every user reads them many times."""
     text = S.normalize_svg(F.decode("content", "UTF-8"))
     e = shred(files.select("doc_id", F.lit("").alias("part"), F.encode(text, "UTF-8").alias("content")))
-    return e.select("doc_id", F.col("elem_id").alias("node_id"), F.col("parent_id"), F.col("ord"), F.lower("tag").alias("tag"), "attrs", S.declarations(F.coalesce(F.col("attrs")["style"], F.lit(""))).alias("style"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("content", F.lit("")).alias("content"))
+    return cut(e.select("doc_id", F.col("elem_id").alias("node_id"), F.col("parent_id"), F.col("ord"), F.lower("tag").alias("tag"), "attrs", S.declarations(F.coalesce(F.col("attrs")["style"], F.lit(""))).alias("style"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("content", F.lit("")).alias("content")))
 
 
 def attr(n: str) -> Column:
@@ -69,15 +72,30 @@ def stroke() -> Column:  # M9
     return G.parse_color(F.coalesce(attr("stroke"), style_of("stroke")))
 
 
+def group_offsets(elems: DataFrame) -> DataFrame:  # P11
+    """doc_id, node_id, ox, oy, reached of the elements that hold others: offsets down to them, and whether only such stand above. elems have move.
+
+    A group is a row, whatever stands in it, so leaves take no part in the doubling.
+    """
+    groups = elems.filter(F.col("tag").isin("g", "svg", "a"))
+
+    def step(state, hops):
+        higher = state.select("doc_id", F.col("node_id").alias("ancestor_id"), F.col("ox").alias("_x"), F.col("oy").alias("_y"), F.col("reached").alias("_r"))
+        # an ancestor that is no group has no row
+        up = hops.join(higher, ["doc_id", "ancestor_id"], "left").select("doc_id", "node_id", "_x", "_y", F.coalesce("_r", F.lit(False)).alias("_r"))
+        rows = state.join(up, ["doc_id", "node_id"], "left")
+        return rows.select("doc_id", "node_id", *[(F.col(o) + F.coalesce(m, F.lit(0.0))).alias(o) for o, m in (("ox", "_x"), ("oy", "_y"))], (F.col("reached") & F.coalesce("_r", F.lit(True))).alias("reached"))
+
+    start = groups.select("doc_id", "node_id", F.col("move.x").alias("ox"), F.col("move.y").alias("oy"), F.lit(True).alias("reached"))
+    return tree.doubling(groups.select("doc_id", "node_id", "parent_id"), start, step)
+
+
 def plain_nodes(elems: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:  # P11
     """(nodes, assets, report items) of plain files; offsets of ancestors add up."""
     e = elems.withColumn("move", G.only_translation(F.coalesce(attr("transform"), F.lit(""))))
-    up = tree.closure(e.select("doc_id", "node_id", "parent_id"))
-    moves = e.select("doc_id", F.col("node_id").alias("ancestor_id"), "move", "tag")
     # what stands inside a shape is part of the shape, not a node of its own
-    keeps = F.col("tag").isin("g", "svg", "a")
-    path = up.join(moves, ["doc_id", "ancestor_id"]).groupBy("doc_id", "node_id").agg(F.sum("move.x").alias("ox"), F.sum("move.y").alias("oy"), F.bool_and(keeps | (F.col("distance") == 0)).alias("reached"))
-    e = e.join(path.filter("reached"), ["doc_id", "node_id"]).filter("parent_id is not null").join(page_sizes(elems), "doc_id")
+    above = group_offsets(e).filter("reached").select("doc_id", F.col("node_id").alias("parent_id"), F.col("ox").alias("_x"), F.col("oy").alias("_y"))
+    e = e.join(above, ["doc_id", "parent_id"]).withColumns({"ox": F.col("move.x") + F.col("_x"), "oy": F.col("move.y") + F.col("_y")}).join(page_sizes(elems), "doc_id")
     tag = F.col("tag")
     ox, oy = F.col("ox"), F.col("oy")
     size = S.parse_float(F.coalesce(attr("font-size"), style_of("font-size")), 16.0)
@@ -205,7 +223,9 @@ def hierarchy(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:  # S6
 
 def decorations(elems: DataFrame) -> DataFrame:  # P26
     """doc_id, drawn: elements that draw and stand under no definition."""
-    up = tree.closure(elems.select("doc_id", "node_id", "parent_id")).filter("distance > 0")
+    # only in files that have definitions can anything stand under one
+    some = elems.filter(F.col("tag").isin(*STRUCTURAL)).select("doc_id").distinct()
+    up = tree.closure(elems.join(some, "doc_id", "left_semi").select("doc_id", "node_id", "parent_id")).filter("distance > 0")
     under = up.join(elems.filter(F.col("tag").isin(*STRUCTURAL)).select("doc_id", F.col("node_id").alias("ancestor_id")), ["doc_id", "ancestor_id"]).select("doc_id", "node_id").distinct()
     return elems.filter(F.col("tag").isin(*DRAWING)).join(under, ["doc_id", "node_id"], "left_anti").groupBy("doc_id").agg(F.count("*").alias("drawn"))
 

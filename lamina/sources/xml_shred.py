@@ -45,16 +45,32 @@ def shred(parts: DataFrame, owners: Sequence[str] = (), blocks: Sequence[str] =
     names = ["elem_id", "parent_id", "ord", "depth", "tag", "attrs", "text", "content", "owner_id", "rel", "block_id"]
     types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()]
 
+    def batch(docs, where, rows):
+        cols = [pa.array([list(r[k].items()) if k == 5 else r[k] for r in rows], t) for k, t in enumerate(types)]
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(where, pa.string()), *cols], ["doc_id", "part", *names])
+
     def run(batches):
+        # small parts share a batch: one for each part costs more than reading it
+        docs, where, rows, held = [], [], [], 0
         for b in batches:
             for doc, part, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
-                    rows = list(elements(content, own, blk))
+                    got = list(elements(content, own, blk))
                 except (ET.ParseError, ValueError):
-                    rows = [(0, None, 0, 0, None, {}, None, None, None, None, None)]
-                for i in range(0, len(rows), 4096):
-                    some = rows[i : i + 4096]
-                    cols = [pa.array([list(r[k].items()) if k == 5 else r[k] for r in some], t) for k, t in enumerate(types)]
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(some), pa.string()), pa.array([part] * len(some), pa.string()), *cols], ["doc_id", "part", *names])
+                    got = [(0, None, 0, 0, None, {}, None, None, None, None, None)]
+                for i in range(0, len(got), 4096):
+                    some = got[i : i + 4096]
+                    docs += [doc] * len(some)
+                    where += [part] * len(some)
+                    rows += some
+                    if len(rows) >= 4096:
+                        yield batch(docs, where, rows)
+                        docs, where, rows, held = [], [], [], 0
+                held += len(content or b"")
+                if held > 4 << 20 and rows:
+                    yield batch(docs, where, rows)
+                    docs, where, rows, held = [], [], [], 0
+        if rows:
+            yield batch(docs, where, rows)
 
     return parts.select("doc_id", "part", F.col("content").cast("binary").alias("content")).mapInArrow(run, SCHEMA)

@@ -102,3 +102,15 @@ def test_class_rules(spark):
     css = "rect{x:1} .a {fill:red}.b-1,.c_2{y:2;}\n@media x{.d{z:3}} .e{} .f{open"
     rows = spark.createDataFrame([(css,), ("",), (None,)], "c string").select(strings.class_rules(F.col("c")).alias("r")).collect()
     assert [(r.name, r.body) for r in rows[0].r] == [("a", "fill:red"), ("c_2", "y:2;"), ("d", "z:3")] and not rows[1].r and rows[2].r is None
+
+
+def test_markup_is_parsed_once(spark):
+    """Elements are read from written rows; offsets add up over groups, and what stands in a shape or a definition is no node."""
+    f = files(spark, '<svg width="9" height="9"><g transform="translate(1 2)"><g transform="translate(10 20)"><rect id="in" x="3" y="4"/></g></g><rect id="r"><g><rect id="under"/></g></rect><defs><g><rect id="def"/></g></defs></svg>')
+    e = svg.load(f)
+    nodes, _, _ = svg.plain_nodes(e)
+    for df in (e, nodes):
+        assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.name: (r.x, r.y) for r in nodes.collect() if r.type == "rectangle"}
+    assert got == {"in": (14, 26), "r": (0, 0)}
+    assert svg.decorations(e).first().drawn == 6
