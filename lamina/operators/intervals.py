@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators.ordered import depth
+from lamina.session import cut
 
 
 def match_brackets(log: DataFrame, keys: Sequence[str], order: str, opens: Column, closes: Column, payload: Sequence[str] = ()) -> DataFrame:  # J1
@@ -112,7 +113,8 @@ def soft_mask_groups(ops: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataF
     """Outermost groups with a soft mask that hold an image. ops: keys, idx, op, soft_mask, is_image."""
     keys = list(keys)
     pairs = match_brackets(ops, keys, "idx", F.col("op") == "beginGroup", F.col("op") == "endGroup", ["soft_mask"]).filter("soft_mask")
-    pairs = pairs.select(*keys, (F.col("start") - 1).alias("start"), "end").distinct()
+    # pairs, masks and save ranges are read by many joins: written once, the log is matched once for each
+    pairs = cut(pairs.select(*keys, (F.col("start") - 1).alias("start"), "end").distinct())
     images = ops.filter("is_image").select(*keys, F.col("idx").alias("at"))
     full = containing(images, pairs, keys, "at").select(*keys, "start", "end").distinct()
     # outermost: no other mask group starts before and ends after
@@ -124,9 +126,9 @@ def soft_mask_groups(ops: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataF
 def image_segments(ops: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:  # J3
     """Ranges to draw images by: soft-mask groups, and for each other image its innermost save range free of them, else itself."""
     keys = list(keys)
-    masks = soft_mask_groups(ops, keys)
+    masks = cut(soft_mask_groups(ops, keys))
     saves = match_brackets(ops, keys, "idx", F.col("op") == "save", F.col("op") == "restore").select(*keys, (F.col("start") - 1).alias("start"), "end").distinct()
-    free = overlapping(saves, masks, keys, how="left_anti")
+    free = cut(overlapping(cut(saves), masks, keys, how="left_anti"))
     images = ops.filter("is_image").select(*keys, F.col("idx").alias("at"))
     loose = containing(images, masks, keys, "at", how="left_anti")
     own = innermost(loose, free, keys, "at").select(*keys, F.coalesce("start", "at").alias("start"), F.coalesce("end", "at").alias("end"))

@@ -183,3 +183,13 @@ def test_intervals_of_all_lengths(spark):
     got = intervals.innermost(spark.createDataFrame(points, "key string, at long"), frame(a), ["key"], "at").collect()
     want = [(k, p, *(min(((-x[1], x[2]) for x in a if x[1] <= p <= x[2]), default=(None, None)))) for k, p in points]
     assert sorted(map(str, map(tuple, got))) == sorted(str((k, p, None if s is None else -s, e)) for k, p, s, e in want)
+
+
+def test_pages_share_a_batch(spark):
+    """Many small pages are folded in sorted batches, not in a call for each page; a page without rows keeps its segment."""
+    ops = spark.range(300).selectExpr("cast(id as string) doc_id", "explode(array(named_struct('idx', 1L, 'op', 'setGState', 'alpha', id / 300D), named_struct('idx', 2L, 'op', 'paintImageXObject', 'alpha', null))) r").selectExpr("doc_id", "r.*", "cast(null as string) blend", "cast(null as boolean) smask", "cast(null as boolean) soft_mask")
+    seg = spark.range(301).selectExpr("cast(id as string) doc_id", "2L start", "2L end")
+    styles = pdf.image_styles(ops, seg)
+    assert "InPandas" not in styles._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: r.opacity for r in styles.collect()}
+    assert got == {str(i): i / 300 for i in range(300)} | {"300": 1.0}
