@@ -8,8 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lamina.functions.filters import clamped_sum
 from lamina.functions.strings import utf16_length
@@ -161,3 +164,48 @@ def latest(df: DataFrame, keys, version: str) -> DataFrame:  # 2.10
 def merge_later_wins(df: DataFrame, keys, priority: Sequence[Column]) -> DataFrame:  # U5
     w = Window.partitionBy(*keys).orderBy(*[p.desc() for p in priority])
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+
+
+def fold_documents(rows: DataFrame, needs: Sequence[str], fold, adds: str, order: Sequence[str]) -> DataFrame:
+    """Rows with the columns `adds` (DDL). fold gets a list of each column of `needs` over one document's rows, in order, and returns a list of each new one.
+
+    A document is bounded by what one file can hold, so its rows meet in one task; columns that the fold
+    doesn't need stay Arrow data.
+    """
+    new = StructType.fromDDL(adds)
+    fields, columns = list(to_arrow_schema(new)), list(rows.columns)
+    needs, doc = [columns.index(c) for c in needs], columns.index("doc_id")
+
+    def folded(parts):
+        table = pa.Table.from_batches(parts)
+        docs, cols = table.column(doc).to_pylist(), [table.column(c).to_pylist() for c in needs]
+        out, i = [[] for _ in fields], 0
+        while i < len(docs):
+            j = i + 1
+            while j < len(docs) and docs[j] == docs[i]:
+                j += 1
+            for o, got in zip(out, fold(*[c[i:j] for c in cols]), strict=True):
+                o.extend(got)
+            i = j
+        arrays = [*table.columns, *[pa.chunked_array([pa.array(o, f.type)]) for o, f in zip(out, fields, strict=True)]]
+        yield from pa.Table.from_arrays(arrays, names=[*columns, *[f.name for f in fields]]).to_batches()
+
+    def run(batches):
+        held = []  # rows of one document, which may go on in the next batch
+        for b in batches:
+            docs = b.column(doc).to_pylist()
+            if not docs:
+                continue
+            k = len(docs) - 1
+            while k and docs[k - 1] == docs[-1]:
+                k -= 1
+            if k or (held and held[0].column(doc)[0].as_py() != docs[0]):
+                if whole := [*held, *([b.slice(0, k)] if k else [])]:
+                    yield from folded(whole)
+                held = []
+            held.append(b.slice(k))
+        if held:
+            yield from folded(held)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(run, StructType([*rows.schema.fields, *new.fields]))

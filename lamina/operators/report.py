@@ -53,11 +53,3 @@ def page_name(name: Column, source: Column) -> Column:  # P28
 def added(after: DataFrame, before: DataFrame, key: str) -> DataFrame:  # J20, U4
     """What is new since `before`: the rows to take back when a render fails."""
     return after.join(before.select(key), key, "left_anti")
-
-
-def adjustment_items(rows: DataFrame) -> DataFrame:  # P37; rows: doc_id, name, mapped, unsupported
-    """An info row where anything was mapped, a fallback row where anything wasn't."""
-    names = lambda c: F.array_join(c, ", ")
-    ok = rows.filter(F.size("mapped") > 0).select("doc_id", item("PSD_ADJUSTMENT_NATIVE", names("mapped"), F.col("name")).alias("item"))
-    part = rows.filter(F.size("unsupported") > 0).select("doc_id", item("PSD_ADJUSTMENT_PARTIAL", names("unsupported"), F.col("name")).alias("item"))
-    return ok.unionByName(part).select("doc_id", "item.*")

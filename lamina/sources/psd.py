@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lamina.functions.filters import combine_filters, has_filters, map_adjustment
 from lamina.functions.geometry import color, hex_color, unit_channel, unit_opacity
 from lamina.functions.strings import text_align
-from lamina.operators import tree
-from lamina.operators.report import adjustment_items, item
+from lamina.operators import ordered, tree
+from lamina.operators.report import item
 from lamina.session import cut
 
 EMPTY = "map<string,double>"
@@ -66,26 +66,105 @@ def flowing(layers: DataFrame) -> DataFrame:  # W11
     return path.select("doc_id", F.col("node_id").alias("layer_id"), combine_filters(F.flatten(F.transform("p", lambda x: x["f"]))).alias("filters"))
 
 
+NEEDED = ("layer_id", "parent_id", "ord", "_l", "_t", "_w", "_h", "_given", "shown", "is_adj", "masked", "_clip", "_effect", "_image")
+FOLDED = f"first boolean, is_group boolean, l double, t double, w double, h double, ol double, ot double, ow double, oh double, _flow array<array<{EMPTY}>>, reaches boolean"
+
+
+def _folded(ids, parents, ords, left, top, width, height, given, shown, is_adj, masked, clipped, effects, image):
+    """What `boxes`, `flowing` and `masked_overlays` find, for one document's layers in their order; an effect is a shown adjustment's filters."""
+    n, at, levels = len(ids), {}, {}
+    for i in range(n):
+        at.setdefault(ids[i], i)
+        levels.setdefault(parents[i], []).append(i)
+    at.pop(None, None)
+    up = [at.get(p) for p in parents]
+    below = [levels.get(i, ()) if i is not None else () for i in ids]
+    order = [i for i in range(n) if up[i] is None]
+    for i in order:
+        if below[i] and at[ids[i]] == i:
+            order.extend(below[i])
+    if len(order) < n:
+        raise ValueError("the parents form a cycle")
+    # NaN is the greatest number, as in Spark
+    more = lambda a, b: b if b != b or b > a else a
+    less = lambda a, b: b if a != a or b < a else a
+    box = []
+    for i in range(n):
+        if given[i] or not below[i]:
+            box.append((left[i], top[i], width[i], height[i]))
+            continue
+        kids = [k for k in below[i] if shown[k]]
+        if not kids:
+            box.append((0.0, 0.0, 1.0, 1.0))
+            continue
+        k = kids[0]
+        l, t, r, b = left[k], top[k], left[k] + width[k], top[k] + height[k]  # noqa: E741
+        for k in kids[1:]:
+            l, t, r, b = less(l, left[k]), less(t, top[k]), more(r, left[k] + width[k]), more(b, top[k] + height[k])  # noqa: E741
+        box.append((l, t, more(1.0, r - l), more(1.0, b - t)))
+    flow, reaches = [[]] * n, [False] * n
+    drawn = [image[i] and not below[i] for i in range(n)]
+    for i in reversed(order):
+        if drawn[i] and up[i] is not None:
+            drawn[up[i]] = True
+    for level in levels.values():
+        if not any(effects[i] for i in level):
+            continue
+        free, block = [], []
+        for i in level:
+            flow[i] = [*free, [*block]] if block else [*free]
+            if not is_adj[i]:
+                block = []
+            elif effects[i] and not masked[i]:
+                if clipped[i]:
+                    block.append(effects[i])
+                else:
+                    free.append([effects[i]])
+        # backwards: whether an image follows, and whether the next ordinary layer is or holds one
+        some = following = False
+        later, ordinal = [], None
+        for i in reversed(level):
+            if ords[i] is None:
+                break
+            if ords[i] != ordinal:
+                for k in later:
+                    some, following = some or drawn[k], drawn[k]
+                later, ordinal = [], ords[i]
+            if not is_adj[i]:
+                later.append(i)
+            elif effects[i] and masked[i]:
+                reaches[i] = following if clipped[i] else some
+    for i in order:
+        if up[i] is not None and flow[up[i]]:
+            flow[i] = flow[up[i]] + flow[i]
+    none = (None,) * 4
+    outer = [none if u is None else box[u] for u in up]
+    plain = [None if is_adj[i] or below[i] else flow[i] for i in range(n)]
+    return [True] + [False] * (n - 1), [bool(b) for b in below], *map(list, zip(*box, strict=True)), *map(list, zip(*outer, strict=True)), plain, reaches
+
+
 def import_layers(layers: DataFrame, text_mode: str = "editable", unsupported: str = "rasterize") -> tuple[DataFrame, DataFrame]:  # S2, P21 to P24, X8, P37
     """(nodes, report items). Options are literals, so the branches fold away.
 
-    Layers, boxes and the joined rows are written once: nodes and items are a dozen branches of one union, and
-    each would else plan and run all joins and folds again.
+    Each document's tree is folded in one pass and the rows are written once: nodes and items are branches of that
+    table, without a join or a window of their own.
     """
     layers, pixel, vector = _masked(layers)
-    layers = cut(layers)
-    kids = layers.filter("parent_id is not null").select("doc_id", F.col("parent_id").alias("layer_id")).distinct().withColumn("is_group", F.lit(True))
-    box = cut(boxes(layers))
-    outer = box.select("doc_id", F.col("layer_id").alias("parent_id"), F.col("l").alias("ol"), F.col("t").alias("ot"), F.col("w").alias("ow"), F.col("h").alias("oh"))
-    rows = layers.join(kids, ["doc_id", "layer_id"], "left").join(box, ["doc_id", "layer_id"]).join(outer, ["doc_id", "parent_id"], "left").join(flowing(layers), ["doc_id", "layer_id"])
-    rows = rows.withColumns({"is_group": F.coalesce("is_group", F.lit(False)), "is_adj": F.col("adjustment").isNotNull(), "shown": ~F.coalesce("hidden", F.lit(False)), "masked": pixel | vector, "pixel_masked": pixel, "vector_masked": vector})
-    has_text = F.coalesce(F.col("text.characters"), F.lit(""))
+    is_adj, shown = F.col("adjustment").isNotNull(), ~F.coalesce("hidden", F.lit(False))
     editable = F.col("text").isNotNull() & F.lit(text_mode == "editable")
-    decision = F.when(F.col("is_adj"), "adjustment").when(F.col("is_group"), "group").when(editable & (has_text != ""), "text").when(editable, "nothing").when(F.lit(unsupported == "skip"), "skipped").when(F.coalesce("has_pixels", F.lit(False)), "raster").otherwise("empty")
-    rows = rows.withColumn("decision", decision).withColumn("mapping", F.when(F.col("is_adj"), map_adjustment(F.col("adjustment"))))
-    rows = cut(rows)
-    live = rows.filter(F.col("decision").isin("adjustment", "group", "text", "raster"))
-    name = F.coalesce("name", F.when(F.col("is_adj"), F.col("adjustment.type")), F.element_at(F.create_map(*[F.lit(x) for kv in {"group": "Group", "text": "Text", "raster": "Pixel Layer"}.items() for x in kv]), F.col("decision")))
+    pixels = F.coalesce("has_pixels", F.lit(False))
+    left, top = F.coalesce("left", F.lit(0.0)), F.coalesce("top", F.lit(0.0))
+    rows = layers.withColumns({"is_adj": is_adj, "shown": shown, "masked": pixel | vector, "pixel_masked": pixel, "vector_masked": vector, "mapping": F.when(is_adj, map_adjustment(F.col("adjustment"))), "_type": F.col("adjustment.type")})
+    rows = rows.withColumns({"_l": left, "_t": top, "_w": F.greatest(F.lit(1.0), F.coalesce("right", left + 1) - left), "_h": F.greatest(F.lit(1.0), F.coalesce("bottom", top + 1) - top), "_given": F.col("right").isNotNull() & F.col("bottom").isNotNull()})
+    rows = rows.withColumns({"_clip": F.coalesce("clipping", F.lit(False)), "_effect": F.when(F.col("shown") & has_filters(F.col("mapping.filters")), F.col("mapping.filters")), "_image": ~is_adj & pixels & ~editable & F.lit(unsupported != "skip")})
+    rows = ordered.fold_documents(rows.drop("adjustment", "left", "top", "right", "bottom", "hidden", "clipping"), NEEDED, _folded, FOLDED, ["ord", "layer_id"])
+    has_text = F.coalesce(F.col("text.characters"), F.lit(""))
+    decision = F.when(F.col("is_adj"), "adjustment").when(F.col("is_group"), "group").when(editable & (has_text != ""), "text").when(editable, "nothing").when(F.lit(unsupported == "skip"), "skipped").when(pixels, "raster").otherwise("empty")
+    filters = combine_filters(F.transform(F.coalesce("_flow", F.array().cast(f"array<array<{EMPTY}>>")), combine_filters))
+    rows = cut(rows.withColumns({"filters": filters, "decision": decision}).drop("_flow", "_given", "_clip", "_image", "_l", "_t", "_w", "_h"))
+    drawn = F.col("decision").isin("adjustment", "group", "text", "raster")
+    live = rows.filter(drawn & F.col("layer_id").isNotNull())
+    name = F.coalesce("name", F.when(F.col("is_adj"), F.col("_type")), F.element_at(F.create_map(*[F.lit(x) for kv in {"group": "Group", "text": "Text", "raster": "Pixel Layer"}.items() for x in kv]), F.col("decision")))
     x, y = F.when(F.col("is_adj"), 0.0).otherwise(F.col("l") - F.coalesce("ol", F.lit(0.0))), F.when(F.col("is_adj"), 0.0).otherwise(F.col("t") - F.coalesce("ot", F.lit(0.0)))
     width, height = F.when(F.col("is_adj"), F.coalesce("ow", "w")).otherwise(F.col("w")), F.when(F.col("is_adj"), F.coalesce("oh", "h")).otherwise(F.col("h"))
     wrap = F.col("masked") & (F.col("decision") != "group")
@@ -105,24 +184,17 @@ def import_layers(layers: DataFrame, text_mode: str = "editable", unsupported: s
         return got.withColumns({"is_mask": F.lit(True), "blur": F.when(F.col("_feather") > 0, F.col("_feather"))}).drop("_feather")
 
     nodes = outer_nodes.unionByName(content).unionByName(mask_nodes("", ":mask", -1)).unionByName(mask_nodes("vector_", ":vector-mask", 0))
-    nm = F.col("name")
-    say = lambda when, code, text: rows.filter(when).select("doc_id", item(code, F.lit(text), nm).alias("i")).select("doc_id", "i.*")
-    flows = has_filters(F.col("filters"))
-    report = say(F.col("decision") == "empty", "PSD_EMPTY_LAYER", "a layer without pixels was skipped").unionByName(say(F.col("decision") == "raster", "PSD_RASTER_LAYER", "pixels were kept as an image"))
-    report = report.unionByName(say(F.col("decision") == "skipped", "PSD_LAYER_SKIPPED", "skipped by the chosen strategy")).unionByName(say((F.col("decision") == "text") & flows, "PSD_ADJUSTMENT_NON_IMAGE_TARGET", "image filters don't apply to text"))
-    drawn = F.col("decision").isin("adjustment", "group", "text", "raster")
-    report = report.unionByName(say(F.col("pixel_masked") & drawn, "PSD_PIXEL_MASK_NATIVE", "the mask was kept")).unionByName(say(F.col("vector_masked") & drawn, "PSD_VECTOR_MASK_NATIVE", "the vector mask was kept"))
     # an overlay that reaches no image, neither a layer nor one in a group, changes nothing
-    leaf = ~F.coalesce("is_group", F.lit(False)) & F.col("adjustment").isNull() & F.coalesce("has_pixels", F.lit(False)) & ~editable & F.lit(unsupported != "skip")
-    flags = layers.join(kids, ["doc_id", "layer_id"], "left").select("doc_id", F.col("layer_id").alias("node_id"), "parent_id", F.when(leaf, 1).otherwise(0).alias("image"))
-    images = tree.subtree_sums(flags, F.col("image")).filter("total > 0").select("doc_id", F.col("node_id").alias("layer_id"))
-    used = masked_overlays(layers).join(images, ["doc_id", "layer_id"], "left_semi").select("doc_id", F.col("overlay_id").alias("layer_id")).distinct()
-    idle = rows.filter(F.col("is_adj") & F.col("masked") & F.col("shown") & has_filters(F.col("mapping.filters"))).join(used, ["doc_id", "layer_id"], "left_anti")
-    report = report.unionByName(idle.select("doc_id", item("PSD_MASKED_ADJUSTMENT_EMPTY", F.lit("no image lies in its reach"), nm).alias("i")).select("doc_id", "i.*"))
-    report = report.unionByName(say(F.col("is_adj") & F.col("masked") & F.col("shown") & has_filters(F.col("mapping.filters")), "PSD_MASKED_ADJUSTMENT_NATIVE", "rebuilt as a mask with filtered copies"))
-    report = report.unionByName(adjustment_items(rows.filter("is_adj").select("doc_id", "name", "mapping.mapped", "mapping.unsupported")))
-    report = report.unionByName(layers.select("doc_id").distinct().select("doc_id", item("PSD_IMPORT", F.lit("layers were imported")).alias("i")).select("doc_id", "i.*"))
-    return nodes, report
+    overlay = F.col("is_adj") & F.col("masked") & F.col("shown") & has_filters(F.col("mapping.filters"))
+    names = lambda c: F.array_join(f"mapping.{c}", ", ")
+    said = [
+        (F.col("decision") == "empty", "PSD_EMPTY_LAYER", "a layer without pixels was skipped"), (F.col("decision") == "raster", "PSD_RASTER_LAYER", "pixels were kept as an image"), (F.col("decision") == "skipped", "PSD_LAYER_SKIPPED", "skipped by the chosen strategy"),
+        ((F.col("decision") == "text") & has_filters(F.col("filters")), "PSD_ADJUSTMENT_NON_IMAGE_TARGET", "image filters don't apply to text"), (F.col("pixel_masked") & drawn, "PSD_PIXEL_MASK_NATIVE", "the mask was kept"), (F.col("vector_masked") & drawn, "PSD_VECTOR_MASK_NATIVE", "the vector mask was kept"),
+        (overlay & ~F.col("reaches"), "PSD_MASKED_ADJUSTMENT_EMPTY", "no image lies in its reach"), (overlay, "PSD_MASKED_ADJUSTMENT_NATIVE", "rebuilt as a mask with filtered copies"), (F.col("is_adj") & (F.size("mapping.mapped") > 0), "PSD_ADJUSTMENT_NATIVE", names("mapped")), (F.col("is_adj") & (F.size("mapping.unsupported") > 0), "PSD_ADJUSTMENT_PARTIAL", names("unsupported")),
+    ]
+    told = [F.when(F.col("layer_id").isNotNull() & when, item(code, m if isinstance(m, Column) else F.lit(m), F.col("name"))) for when, code, m in said]
+    told.append(F.when(F.col("first"), item("PSD_IMPORT", F.lit("layers were imported"))))
+    return nodes, rows.select("doc_id", F.explode(F.filter(F.array(*told), lambda i: i.isNotNull())).alias("i")).select("doc_id", "i.*")
 
 
 def masked_overlays(layers: DataFrame) -> DataFrame:  # W11

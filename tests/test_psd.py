@@ -45,3 +45,44 @@ def test_branches_read_written_rows(spark):
     assert plan(nodes).count("Join ") == 0 and plan(nodes).count("Window ") == 0
     assert plan(report).count("Join ") <= 4 and len(plan(report)) < 100_000
     assert {r.node_id for r in nodes.collect()} == {"a", "x"}
+
+
+def test_layers_are_folded_once(spark, monkeypatch):
+    """One table is written, and items are one branch of it; the fold finds what the operators on whole tables find, also where a document spans batches."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(3), []
+    for doc in range(12):
+        groups = [None]
+        for i in range(rng.randrange(1, 40)):
+            kind, parent = rng.random(), rng.choice(groups)
+            box = {"left": rng.choice([None, -5.0, float(i)]), "right": rng.choice([None, 30.0 + i]), "hidden": rng.choice([None, False, False, True]), "clipping": rng.random() < 0.4, "has_pixels": rng.random() < 0.2, "mask_on": rng.random() < 0.4}
+            rows.append((f"d{doc}", *layer(f"n{i}", parent, i, adj(rng.choice([0.0, 0.3, -0.6])) if kind < 0.4 else None, **box)[1:]))
+            if kind > 0.7:
+                groups.append(f"n{i}")
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("vector_mask_on", F.lit(False))
+    written, real = [], psd.cut
+    monkeypatch.setattr(psd, "cut", lambda d: written.append(real(d)) or written[-1])
+    monkeypatch.setattr(psd.tree, "cut", lambda d: written.append(real(d)) or written[-1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        nodes, report = psd.import_layers(df)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert len(written) == 1 and plan.count("Relation") == 1 and "Join" not in plan
+    got = {(r.doc_id, r.layer_id): r for r in written[0].collect()}
+    assert len(got) == len(rows) == sum(1 for _ in psd.boxes(df).collect())
+    for r in psd.boxes(df).collect():
+        assert (r.l, r.t, r.w, r.h) == tuple(got[r.doc_id, r.layer_id][c] for c in "ltwh")
+    for r in psd.flowing(df).collect():
+        g = got[r.doc_id, r.layer_id]
+        assert g.is_adj or g.is_group or g.filters == r.filters
+    flags = df.select("doc_id", F.col("layer_id").alias("node_id"), "parent_id").join(written[0].select("doc_id", F.col("layer_id").alias("node_id"), ((F.col("decision") == "raster")).cast("int").alias("n")), ["doc_id", "node_id"])
+    images = {(r.doc_id, r.node_id) for r in psd.tree.subtree_sums(flags, F.col("n")).filter("total > 0").collect()}
+    hits = psd.masked_overlays(df).collect()
+    reach = {(r.doc_id, r.overlay_id) for r in hits if (r.doc_id, r.layer_id) in images}
+    assert hits and reach == {k for k, r in got.items() if r.reaches} and len({(r.doc_id, r.overlay_id) for r in hits}) > len(reach)
+    assert nodes.count() > 0 and report.filter("code = 'PSD_IMPORT'").count() == 12
