@@ -167,7 +167,13 @@ def merge_later_wins(df: DataFrame, keys, priority: Sequence[Column]) -> DataFra
 
 
 def fold_documents(rows: DataFrame, needs: Sequence[str], fold, adds: str, order: Sequence[str]) -> DataFrame:
-    """Rows with the columns `adds` (DDL). fold gets a list of each column of `needs` over one document's rows, in order, and returns a list of each new one.
+    """As `fold_ordered`, for rows in any order."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fold_ordered(rows.repartition(n, "doc_id").sortWithinPartitions("doc_id", *order), needs, fold, adds)
+
+
+def fold_ordered(rows: DataFrame, needs: Sequence[str], fold, adds: str) -> DataFrame:
+    """Rows, which stand document by document, with the columns `adds` (DDL). fold gets a list of each column of `needs` over one document's rows, in order, and returns a list of each new one.
 
     A document is bounded by what one file can hold, so its rows meet in one task; columns that the fold
     doesn't need stay Arrow data.
@@ -207,5 +213,4 @@ def fold_documents(rows: DataFrame, needs: Sequence[str], fold, adds: str, order
         if held:
             yield from folded(held)
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "doc_id").sortWithinPartitions("doc_id", *order).mapInArrow(run, StructType([*rows.schema.fields, *new.fields]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *new.fields]))

@@ -114,3 +114,25 @@ def test_markup_is_parsed_once(spark):
     got = {r.name: (r.x, r.y) for r in nodes.collect() if r.type == "rectangle"}
     assert got == {"in": (14, 26), "r": (0, 0)}
     assert svg.decorations(e).first().drawn == 6
+
+
+def test_plain_nodes_are_one_pass(spark, monkeypatch):
+    """What elements have from those above them is found while they are read: one table is written, and nodes are rows of it, without a join."""
+    written, real = [], svg.cut
+    for m in (svg, svg.tree):
+        monkeypatch.setattr(m, "cut", lambda d: written.append(real(d)) or written[-1])
+    deep = "".join(f'<g transform="translate({i % 3} 1)">' for i in range(300)) + '<rect id="low" x="1" y="1"/>' + "</g>" * 300
+    f = files(spark, f'<svg width="9">{deep}<rect id="last"/></svg>').unionByName(files(spark, '<svg viewBox="0 0 7 8"><circle id="c" cx="2" cy="3" r="1"/></svg>').replace("s", "t", ["doc_id"]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        nodes, assets, report = svg.plain_nodes(svg.load(f.coalesce(1)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert len(written) == 1 and "Join" not in plan
+    got = {(r.doc_id, r.name): r for r in nodes.filter("type <> 'group'").collect()}
+    assert set(got) == {("s", "low"), ("s", "last"), ("t", "c")} and (got["s", "low"].x, got["s", "low"].y, got["s", "last"].x) == (301, 301, 0)
+    assert got["t", "c"].x == 1 and nodes.filter("type = 'group' and width = 9 and height = 1000").count() == 300
+    assert {r.code for r in report.collect()} == {"SVG_VECTOR_IMPORT"} and assets.count() == 0
+    with pytest.raises(Exception, match="not an SVG"):
+        svg.plain_nodes(svg.load(files(spark, "<html><rect/></html>")))[0].collect()
