@@ -61,10 +61,14 @@ def unpack(files: DataFrame, pattern: str = "") -> DataFrame:  # S1, S15
     return files.select("doc_id", "content").mapInArrow(run, "doc_id string, part string, content binary")
 
 
-def expand(files: DataFrame) -> DataFrame:  # S15, O2
-    """Files with ZIP archives replaced by their supported entries in natural order; ord numbers a selection's files."""
+def entries(files: DataFrame) -> DataFrame:  # S15
+    """Files with ZIP archives replaced by their supported entries, in any order; _key: an entry's natural order."""
     plain = files.filter(~is_zip(F.col("name"))).select("doc_id", "name", "content", F.lit("").alias("_key"))
     inner = unpack(files.filter(is_zip(F.col("name"))), r"\.(pptx|psd|ai|svg|pdf)$").filter("part is not null")
     inner = inner.select(F.concat("doc_id", F.lit("!"), "part").alias("doc_id"), F.element_at(F.split("part", "/"), -1).alias("name"), "content", natural_key(F.col("part")).alias("_key"))
-    both = plain.unionByName(inner)
-    return both.filter(file_extension(F.col("name")).isin(*SUPPORTED)).withColumn("format", detect_format(F.col("name"))).orderBy(F.element_at(F.split("doc_id", "!"), 1), "_key").drop("_key")
+    return plain.unionByName(inner).filter(file_extension(F.col("name")).isin(*SUPPORTED)).withColumn("format", detect_format(F.col("name")))
+
+
+def expand(files: DataFrame) -> DataFrame:  # S15, O2
+    """Files with ZIP archives replaced by their supported entries in natural order; ord numbers a selection's files."""
+    return entries(files).orderBy(F.element_at(F.split("doc_id", "!"), 1), "_key").drop("_key")

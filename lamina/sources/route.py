@@ -46,8 +46,9 @@ def import_files(files: DataFrame, layers: DataFrame | None = None, pages: tuple
     # the batch is refused before anything is read, so this check runs at once
     if over := packages.oversized(files).select("name").head(1):
         raise ValueError(f"over the size limit: {over[0].name}")
-    # written once: archives are unpacked and markup is read by one pass, and the importers' plans stay apart
-    routed = cut(kinds(packages.expand(files)))
+    # written once: archives are unpacked and markup is read by one pass, and the importers' plans stay apart;
+    # unsorted, as a sort by ranges would unpack all archives a second time for its sample
+    routed = cut(kinds(packages.entries(files).drop("_key")))
     of = lambda kind: routed.filter(F.col("kind") == kind).select("doc_id", "content")
 
     slides, slide_assets, slide_report = pptx.import_packages(of("pptx"))

@@ -136,3 +136,20 @@ def test_plain_nodes_are_one_pass(spark, monkeypatch):
     assert {r.code for r in report.collect()} == {"SVG_VECTOR_IMPORT"} and assets.count() == 0
     with pytest.raises(Exception, match="not an SVG"):
         svg.plain_nodes(svg.load(files(spark, "<html><rect/></html>")))[0].collect()
+
+
+def test_router_unpacks_without_a_sort(spark, monkeypatch):
+    """A sort by ranges reads its input twice, so archives would be unpacked twice."""
+    from lamina.sources import route
+
+    plans = []
+
+    def first(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        raise KeyError("only the first table matters here")
+
+    monkeypatch.setattr(route, "cut", first)
+    z = spark.createDataFrame([("z", "sel.zip", 9, package(**{"a.svg": '<svg width="9"><rect/></svg>'}))], "doc_id string, name string, size long, content binary")
+    with pytest.raises(KeyError):
+        route.import_files(z)
+    assert "MapInArrow" in plans[0] and "Sort" not in plans[0]
