@@ -44,36 +44,41 @@ def import_files(files: DataFrame, layers: DataFrame | None = None, pages: tuple
     pages without layers become tiles with asset_ref null.
     """
     # the batch is refused before anything is read, so this check runs at once
-    if over := packages.oversized(files).select("name").head(1):
-        raise ValueError(f"over the size limit: {over[0].name}")
+    if over := packages.oversized(files).agg(F.min("name").alias("name")).first().name:
+        raise ValueError(f"over the size limit: {over}")
     # written once: archives are unpacked and markup is read by one pass, and the importers' plans stay apart;
-    # unsorted, as a sort by ranges would unpack all archives a second time for its sample
-    routed = cut(kinds(packages.entries(files).drop("_key")))
+    # unsorted, as a sort by ranges would unpack all archives a second time for its sample; spread, as many small files
+    # of one archive or split would be one task for every importer
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routed = cut(kinds(packages.entries(files).drop("_key")).repartition(n, "doc_id"))
     of = lambda kind: routed.filter(F.col("kind") == kind).select("doc_id", "content")
 
+    # each importer reads its files once and writes what it finds; nodes and items are rows of those tables
     slides, slide_assets, slide_report = pptx.import_packages(of("pptx"))
-    elems = svg.load(of("svg"))
-    complex_ = svg.needs_hierarchy(elems).filter("complex").select("doc_id")
+    elems = svg.load(of("svg"), matrices=True)
+    complex_ = cut(svg.needs_hierarchy(elems).filter("complex").select("doc_id"))
     plain, plain_assets, plain_report = svg.plain_nodes(elems.join(complex_, "doc_id", "left_anti"))
-    tree, _, tree_report = svg.hierarchy(of("svg").join(complex_, "doc_id", "left_semi"))
-    nodes, reports = [slides, plain, tree], [slide_report, plain_report, tree_report]
-    known = routed.select("doc_id").filter(F.lit(False))
-    if layers is not None:
+    tree, _, tree_report = svg.hierarchy(of("svg").join(complex_, "doc_id", "left_semi"), elems.join(complex_, "doc_id", "left_semi"))
+    nodes, reports = [(slides, "pptx"), (plain, "svg"), (cut(tree), "svg")], [slide_report, plain_report, tree_report]
+    undecoded = []
+    if layers is None:
+        undecoded.append(of("psd").select("doc_id", F.lit("psd").alias("kind")))
+    else:
         mine = layers.join(of("psd").select("doc_id"), "doc_id", "left_semi")
         n, r = psd.import_layers(mine)
-        nodes.append(n)
+        nodes.append((n, "psd"))
         reports.append(r)
-        known = known.unionByName(mine.select("doc_id"))
-    if pages is not None:
-        ops, groups, items = (p.join(of("pdf").select("doc_id"), "doc_id", "left_semi") for p in pages)
-        layered = page_logs.has_layers(ops).filter("layered").select("doc_id")
-        n, r = page_logs.import_pages(ops.join(layered, "doc_id", "left_semi"), groups.join(layered, "doc_id", "left_semi"), items.join(layered, "doc_id", "left_semi"))
-        tiles, fallback = page_logs.raster_fallback(ops)
+        undecoded.append(of("psd").select("doc_id", F.lit("psd").alias("kind")).join(layers.select("doc_id"), "doc_id", "left_anti"))
+    if pages is None:
+        undecoded.append(of("pdf").select("doc_id", F.lit("pdf").alias("kind")))
+    else:
+        read = page_logs.read_pages(*pages, of("pdf"))
+        n, r = page_logs.layered_pages(read)
+        tiles, fallback = page_logs.flat_pages(read)
         images = tiles.select("doc_id", F.concat_ws("/", "doc_id", F.col("tile").cast("string")).alias("node_id"), F.col("doc_id").alias("parent_id"), F.col("tile").alias("ord"), F.lit("image").alias("type"), F.concat(F.lit("Tile "), (F.col("tile") + 1).cast("string")).alias("name"), "x", "y", "width", "height")
-        nodes += [n, images]
+        nodes += [(n, "pdf"), (images, "pdf")]
         reports += [r, fallback]
-        known = known.unionByName(ops.select("doc_id"))
-    undecoded = routed.filter(F.col("kind").isin("psd", "pdf")).select("doc_id", "kind").join(known.distinct(), "doc_id", "left_anti")
+        undecoded.append(read.filter("row = 'none'").select("doc_id", F.lit("pdf").alias("kind")))
 
     def union(frames: list[DataFrame]) -> DataFrame:
         out = frames[0]
@@ -81,5 +86,5 @@ def import_files(files: DataFrame, layers: DataFrame | None = None, pages: tuple
             out = out.unionByName(f, allowMissingColumns=True)
         return out
 
-    found = union([cut(_aligned(n)) for n in nodes]).join(routed.select("doc_id", "kind"), "doc_id")
-    return Imported(found, union([slide_assets, plain_assets]), union([cut(r.select(*ITEM)) for r in reports]), undecoded)
+    found = union([_aligned(n).withColumn("kind", F.lit(kind)) for n, kind in nodes])
+    return Imported(found, union([slide_assets, plain_assets]), union([r.select(*ITEM) for r in reports]), union(undecoded))

@@ -153,3 +153,45 @@ def test_router_unpacks_without_a_sort(spark, monkeypatch):
     with pytest.raises(KeyError):
         route.import_files(z)
     assert "MapInArrow" in plans[0] and "Sort" not in plans[0]
+
+
+def test_slides_are_read_once(spark):
+    """A package is unpacked and read in one pass: nodes, assets and items are rows of what it wrote, without a join or a window; odd parts change nothing for the others."""
+    pic = '<p:pic><p:nvPicPr><p:cNvPr name="{0}"/></p:nvPicPr><p:blipFill><a:blip r:embed="{0}"/></p:blipFill><p:spPr/></p:pic>'
+    inner = "<a:tbl><a:tr><a:tc/></a:tr></a:tbl>"
+    table = f'<p:graphicFrame><a:graphic><a:tbl><a:tr/><a:tr><a:tc><a:txBody><a:p><a:r><a:t>one</a:t></a:r></a:p><a:p><a:fld><a:t>2</a:t></a:fld></a:p></a:txBody>{inner}</a:tc></a:tr></a:tbl></a:graphic></p:graphicFrame>'
+    slide = f'<p:sld {NS}><p:cSld><p:spTree>{"".join(pic.format(i) for i in ("twice", "lost", "up"))}{table}<p:other>{shape("Astray", 0)}</p:other></p:spTree></p:cSld></p:sld>'
+    rels = '<Relationships><Relationship Id="twice" Target="../media/i.png"/><Relationship Id=" twice " Target="/ppt/media/./j.png"/><Relationship Id="up" Target="../../../ppt/media/i.png"/></Relationships>'
+    good = package(**{"ppt/slides/slide10.xml": "<broken", "ppt/slides/slide2.xml": slide, "ppt/slides/_rels/slide2.xml.rels": rels, "ppt/media/i.png": b"I", "ppt/media/j.png": b"J", "ppt/media/k.png": b"K"})
+    nodes, assets, report = pptx.import_packages(spark.createDataFrame([("d", good), ("x", bytearray(b"not a zip"))], "doc_id string, content binary"))
+    for df in (nodes, assets, report):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and "Join" not in plan and "Window" not in plan
+    got = sorted((r.name, r.type, r.asset_ref or r.characters or "") for r in nodes.collect())
+    assert got == [("Cell 2.1", "rectangle", ""), ("Cell 2.1 Text", "text", "one\n2"), ("Slide 1", "frame", ""), ("Slide 2", "frame", ""), ("Table", "group", ""), ("twice", "image", "ppt/media/i.png"), ("twice", "image", "ppt/media/j.png"), ("up", "image", "ppt/media/i.png")]
+    assert sorted((r.name, bytes(r.data)) for r in assets.collect()) == [("i.png", b"I"), ("j.png", b"J")]
+    assert sorted((r.doc_id, r.level, r.node_name or r.message) for r in report.collect()) == [("d", "info", "8 nodes imported"), ("d", "warning", "lost")]
+
+
+def test_router_spreads_files(spark):
+    """Files of every kind reach their importer in one call; one task's files become tasks for all cores."""
+    from lamina.sources import route
+
+    one = lambda i, n, data: (i, n, len(data), bytearray(data))
+    deck = package(**{"ppt/slides/slide1.xml": f"<p:sld {NS}><p:cSld><p:spTree>{shape('A', 0)}</p:spTree></p:cSld></p:sld>"})
+    rows = [one("z", "z.zip", package(**{f"{i}.svg": f'<svg width="9"><rect id="r{i}"/></svg>' for i in range(20)})), one("s", "s.svg", b'<svg width="9"><defs/><rect id="r"/></svg>'), one("k", "k.pptx", deck), one("p", "p.pdf", b"%PDF-"), one("f", "f.pdf", b"%PDF-"), one("u", "u.pdf", b"%PDF-"), one("q", "q.psd", b"8BPS")]
+    files = spark.createDataFrame(rows, "doc_id string, name string, size long, content binary").coalesce(1)
+    ops = spark.createDataFrame([("p", 0, "beginMarkedContentProps", "OC", "a", 9.0), ("p", 1, "endMarkedContent", None, None, 9.0), ("f", 0, "fill", None, None, 9.0), ("other", 0, "fill", None, None, 9.0)], "doc_id string, idx long, op string, tag string, group_id string, page_w double").selectExpr("*", "page_w as page_h", "string(null) as args", "cast(null as array<string>) as deps")
+    groups = spark.createDataFrame([("p", "a", "Art", True)], "doc_id string, group_id string, name string, visible boolean")
+    items = spark.createDataFrame([], "doc_id string, idx long, kind string, text string, x double, y double, width double, height double, font string, has_eol boolean")
+    written, real = [], route.cut
+    route.cut = lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df)
+    try:
+        got = route.import_files(files, None, (ops, groups, items))
+    finally:
+        route.cut = real
+    assert "RepartitionByExpression [doc_id" in written[0] and "Sort" not in written[0]
+    nodes = sorted((r.doc_id, r.kind, r.type, r.name) for r in got.nodes.collect())
+    assert nodes == sorted([*((f"z!{i}.svg", "svg", "rectangle", f"r{i}") for i in range(20)), ("s", "svg", "svg", "r"), ("k", "pptx", "frame", "Slide 1"), ("k", "pptx", "rectangle", "A"), ("p", "pdf", "frame", "Art"), ("f", "pdf", "image", "Tile 1")])
+    assert sorted((r.doc_id, r.kind) for r in got.undecoded.collect()) == [("q", "psd"), ("u", "pdf")]
+    assert sorted(r.code for r in got.report.filter("doc_id in ('p', 'f', 'k', 's')").collect()) == ["AI_EMPTY_LAYER_PRESERVED", "AI_PDF_FALLBACK", "AI_PDF_HIERARCHY_IMPORT", "PPTX_IMPORT", "SVG_HIERARCHY_IMPORT"]
